@@ -1,6 +1,6 @@
 """Repeated passages by content-defined chunking with a gear rolling hash.
 
-A text is cut where the hash of the last 32 bytes has its top bits clear, so cuts depend on content only
+A text is cut where the hash of the last 16 bytes has some bits clear, so cuts depend on content only
 and an insertion moves no cut beyond its neighbourhood. Chunks are deduplicated by a 128-bit digest; runs of
 chunks that other documents also have are the repeated passages.
 """
@@ -20,12 +20,12 @@ from pyspark.sql.types import StructType
 
 from vicinage.llm.tables import materialize, text_of
 
-SPAN = 32  # bytes that the rolling hash covers
-BITS = 5  # clear top bits at a cut: a candidate each 32 bytes on average
-SHORTEST, LONGEST = 16, 256
+SPAN = 16  # bytes that the rolling hash covers; the bits looked at come from these
+BITS = 4  # clear bits at a cut: a candidate each 16 bytes on average
+SHORTEST, LONGEST = 24, 256
 #: A run of repeated chunks is a passage from this many bytes on. A run covers a shared passage but for the
-#: parts before its first and behind its last cut, so shared passages of twice the length are found.
-PASSAGE = 96
+#: parts before its first and behind its last cut: of shared passages of 51 words one in a thousand is missed.
+PASSAGE = 64
 
 #: One 32-bit number for each byte value, from a digest of the value.
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b])) for b in range(256)], dtype=np.uint32)
@@ -43,7 +43,7 @@ def cuts_of(data: np.ndarray) -> list[int]:
         wider[reach:] += h[:-reach] << np.uint32(reach)
         h = wider
         reach *= 2
-    open_ = h >> np.uint32(32 - BITS) == 0
+    open_ = h & np.uint32(((1 << BITS) - 1) << (SPAN - BITS)) == 0
     ends = np.flatnonzero(open_) + 1
     ends = ends[ends < n]
     ends = ends[(data[ends] & 0xC0) != 0x80]
@@ -68,7 +68,7 @@ def chunks(docs: DataFrame) -> DataFrame:
     start and end are code points, size is bytes, _high and _low the digest. _row tells rows of docs apart, whatever their ids.
     """
     rows = docs.select("doc_id", text_of().alias("text"))
-    schema = StructType().add("_row", "long").add(rows.schema["doc_id"]).add("chunk", "integer").add("start", "long").add("end", "long").add("size", "integer").add("_high", "long").add("_low", "long")
+    schema = StructType().add("_row", "long").add(rows.schema["doc_id"]).add("chunk", "integer").add("start", "integer").add("end", "integer").add("size", "integer").add("_high", "long").add("_low", "long")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 36
@@ -97,33 +97,36 @@ def chunks(docs: DataFrame) -> DataFrame:
                 row += 1
             pairs = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             joined = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
-            columns = [joined(owners, np.int64), pa.array(docs_, batch.schema.field("doc_id").type), joined(numbers, np.int32), joined(starts, np.int64), joined(ends, np.int64), joined(sizes, np.int32), pairs[:, 0].copy(), pairs[:, 1].copy()]
+            columns = [joined(owners, np.int64), pa.array(docs_, batch.schema.field("doc_id").type), joined(numbers, np.int32), joined(starts, np.int32), joined(ends, np.int32), joined(sizes, np.int32), pairs[:, 0].copy(), pairs[:, 1].copy()]
             yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], schema.fieldNames())
 
     return rows.mapInArrow(cut, schema)
 
 
 def repeated_passages(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
-    """Runs of chunks that more than one row of docs has: doc_id, start, end, n_chunks, n_bytes, first_doc_id, n_copies, kept.
+    """Runs of chunks that more than one document has: doc_id, start, end, n_chunks, n_bytes, first_doc_id, n_copies, kept.
 
     start and end are code points of the row's text. first_doc_id is the smallest id that has the run's
     first chunk and n_copies the most copies that one of its chunks has; kept is true where every chunk of the run has
-    its first occurrence (by id; null ids come first). Runs of under `passage` bytes, such as a licence line, aren't
-    listed. Null and empty texts have no chunks; repeated rows repeat one another's passages; an empty
-    table gives no rows.
+    its first occurrence (by id; rows with a null id count as one document, the first). Runs of under `passage` bytes, such as a licence line, aren't
+    listed. Null and empty texts have no chunks; rows that repeat an id are one document;
+    an empty table gives no rows.
     """
-    made = materialize(chunks(docs), "chunk-rows")
-    shared = made.groupBy("_high", "_low").agg(F.min(F.struct("doc_id", "_row")).alias("_first"), F.max("_row").alias("_r1"), F.min("_row").alias("_r0"), F.count(F.lit(1)).alias("_n"))
-    shared = shared.where("_r0 <> _r1").select("_high", "_low", "_first", "_n")
-    # Written, so that the join below reads two plain tables and Spark may split a digest with many rows.
-    shared = materialize(shared, "chunk-shared")
-    hits = materialize(made.join(shared, ["_high", "_low"]).select("_row", "doc_id", "chunk", "start", "end", "size", "_n", "_first"), "chunk-hits")
+    made = materialize(chunks(docs), "chunk-rows").withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
+    # Half a digest leaves few chunks by mistake and makes the two large shuffles smaller; the rest is compared below.
+    # Every small side is written first: the joins read two plain tables, so that Spark may split a digest with many rows.
+    often = made.groupBy("_low").agg(F.min("_id").alias("_a"), F.max("_id").alias("_b")).where("_a <> _b").select("_low")
+    often = materialize(often, "chunk-often")
+    hits = materialize(made.join(often, "_low"), "chunk-hits")
+    shared = hits.groupBy("_high", "_low").agg(F.min(F.struct("_id", "doc_id", "_row")).alias("_first"), F.max("_id").alias("_b"), F.count(F.lit(1)).alias("_n"))
+    shared = materialize(shared.where("_first._id <> _b").select("_high", "_low", "_first", "_n"), "chunk-shared")
+    hits = materialize(hits.join(shared, ["_high", "_low"]).select("_row", "doc_id", "chunk", "start", "end", "size", "_n", "_first"), "chunk-repeats")
     order = Window.partitionBy("_row").orderBy("chunk")
     runs = hits.withColumn("_run", F.col("chunk") - F.row_number().over(order))
     found = runs.groupBy("_row", "_run").agg(
         F.first("doc_id").alias("doc_id"),
-        F.min("start").alias("start"),
-        F.max("end").alias("end"),
+        F.min("start").cast("long").alias("start"),
+        F.max("end").cast("long").alias("end"),
         F.count(F.lit(1)).alias("n_chunks"),
         F.sum("size").alias("n_bytes"),
         F.min_by(F.col("_first.doc_id"), F.col("chunk")).alias("first_doc_id"),
