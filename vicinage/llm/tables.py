@@ -43,3 +43,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def text_of(column: str = "text"):
     """A text column with null as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def bounded_sample(df: DataFrame, rows: int, key: str, spare: float = 2) -> DataFrame:
+    """At most `rows` rows of df, those whose hashed key is smallest.
+
+    Rows are thinned by hash before the sort, so that what tasks send to the driver is bounded as well.
+    spare: how many times `rows` the thinning leaves, for rows that are dropped later or unevenly hashed.
+    """
+    total, wide = df.count(), 1 << 40
+    if total > 2 * spare * rows:
+        df = df.where(F.pmod(F.xxhash64(key), F.lit(wide)) < int(wide * spare * rows / total))
+    return df.orderBy(F.pmod(F.xxhash64(key), F.lit(wide)), key).limit(rows)

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinage.llm.tables import text_of
+from vicinage.llm.tables import bounded_sample, text_of
 
 #: Seed words of the categories: a toxic row with one of them is an example of the category. The models
 #: choose their words from all that training rows have; the seeds only name the categories.
@@ -133,7 +133,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int) ->
     passed over; of several labels of an id the largest counts.
     """
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
-    chosen = chosen.groupBy(F.col("doc_id").alias("_id")).agg(F.max(label).cast("int").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
+    chosen = bounded_sample(chosen.groupBy(F.col("doc_id").alias("_id")).agg(F.max(label).cast("int").alias("_label")), rows, "_id")
     text = docs.select("doc_id", text_of().alias("text")).where(F.octet_length("text") <= LONGEST_FIT_BYTES)
     return text.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "text", "_label")
 
