@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vicinage.llm import chat, chunk_dedup, exact_dedup, packing, pii, quality, tokens, toxicity
+from vicinage.llm import chat, chunk_dedup, decontamination, exact_dedup, packing, pii, quality, tokens, toxicity
 from vicinage.llm.tables import read
 
 
@@ -38,6 +38,12 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(read(spark, sf_dir, "documents", "doc_id", "text"), digest_all=True)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item."""
+    docs, items = read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text")
+    return decontamination.contaminations(docs, items).drop("text_sha256")
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text of documents."""
     return pii.find_personal_data(read(spark, sf_dir, "documents", "doc_id", "text"))
@@ -63,6 +69,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_decontamination": op5_decontamination,
     "op7_personal_data": op7_personal_data,
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
