@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from vicinage.llm.tables import text_of
+from vicinage.llm.tables import bounded_sample, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 OUTSIDE = len(KINDS)
-#: Texts that the field is fitted on, at most; chosen by a hash of the text among those with candidates.
-FIT_ROWS, FIT_CHARS = 1500, 20_000
+#: Documents that the field is fitted on, at most, and the longest text among them.
+FIT_ROWS, FIT_CHARS = 6000, 20_000
 #: A token is labelled only if its marginal probability is this high.
 SURE = 0.9
 ROUNDS = 8
@@ -275,10 +275,11 @@ def shown(spans: list[tuple[int, int, int]]) -> str:
 
 
 def fit_on(docs: DataFrame, rows: int = FIT_ROWS) -> Field:
-    """Fit on at most `rows` texts of at most FIT_CHARS characters, the first by hash of those with candidates."""
-    text = text_of()
-    sample = docs.select(text.alias("t")).where(F.col("t").rlike("[0-9@]") & (F.length("t") <= FIT_CHARS)).orderBy(F.xxhash64("t"), "t").limit(rows)
-    return fit([r["t"] for r in sample.collect()])
+    """Fit on the texts with candidates, of at most FIT_CHARS characters, among at most `rows` documents chosen by hash of their id."""
+    ids = bounded_sample(docs.select(F.col("doc_id").alias("_id")).where("_id IS NOT NULL"), rows, "_id").distinct()
+    texts = docs.select("doc_id", text_of().alias("t")).where(F.col("t").rlike("[0-9@]") & (F.length("t") <= FIT_CHARS))
+    found = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("_id", "t").collect()
+    return fit([r["t"] for r in sorted(found, key=lambda r: (r["_id"], r["t"]))])
 
 
 def find_personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame:
