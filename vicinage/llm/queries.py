@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vicinage.llm import chat, chunk_dedup, decontamination, exact_dedup, packing, pii, quality, tokens, toxicity
+from vicinage.llm import chat, chunk_dedup, decontamination, exact_dedup, near_dedup, packing, pii, quality, tokens, toxicity
 from vicinage.llm.tables import read
 
 
@@ -44,6 +44,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminations(docs, items).drop("text_sha256")
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents."""
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text of documents."""
     return pii.find_personal_data(read(spark, sf_dir, "documents", "doc_id", "text"))
@@ -70,6 +75,7 @@ QUERIES = {
     "op3_chat_formatting": op3_chat_formatting,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_decontamination": op5_decontamination,
+    "op6_near_dedup": op6_near_dedup,
     "op7_personal_data": op7_personal_data,
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
