@@ -91,7 +91,7 @@ def pivot_join(left: DataFrame, right: DataFrame | None, limit: float, pivots: i
 
     The bins of all pivots make the key of an equi-join; the row with fewer copies is spread to its neighbour bins.
     """
-    width = max(limit, 1e-300) ** 0.5 * (1 + 1e-9)
+    width = max(max(limit, 0.0) ** 0.5 * (1 + 1e-9), 1e-6)  # wider bins are sound as well
     base = left if right is None else right
     chosen = [r["vec"] for r in base.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()]
     bins = lambda v: [F.floor(F.sqrt(M.squared_l2(v, F.array(*[F.lit(float(x)) for x in p]))) / width).cast("long") for p in chosen]
