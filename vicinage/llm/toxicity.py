@@ -30,7 +30,7 @@ SEEDS = {
 #: Labelled rows that the chain is fitted on, at most; the first by hash of those that aren't held out.
 FIT_ROWS = 6000
 LONGEST_FIT_BYTES = 200_000
-WORDS, FOLDS, SEEN_IN = 400, 5, 4
+WORDS, FOLDS, SEEN_IN, CLEAR = 400, 5, 4, 4.0
 THRESHOLD = 0.5
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -58,7 +58,7 @@ class Linear:
 
 
 def choose(texts: list[set[str]], y: np.ndarray) -> list[str]:
-    """The words whose frequency differs most between the classes, by a z-score; ties by name."""
+    """The words whose frequency differs most between the classes, by a z-score of at least CLEAR; ties by name."""
     with_, without = Counter(), Counter()
     for words, label in zip(texts, y):
         (with_ if label else without).update(words)
@@ -68,7 +68,9 @@ def choose(texts: list[set[str]], y: np.ndarray) -> list[str]:
         a, b = with_[w], without[w]
         if a + b >= SEEN_IN:
             p = (a + b) / (n1 + n0)
-            scores.append((-abs(a / n1 - b / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-9), w))
+            z = abs(a / n1 - b / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-9)
+            if z >= CLEAR:
+                scores.append((-z, w))
     return [w for _, w in sorted(scores)[:WORDS]]
 
 
@@ -110,7 +112,7 @@ def fit_chain(texts: list[set[str]], toxic: np.ndarray) -> Chain:
     names, models = (*SEEDS, "toxic"), []
     if not len(texts):
         return Chain(names, [Linear({}, np.zeros(i), 0.0) for i in range(len(names))])
-    fold = np.arange(len(texts)) % FOLDS
+    fold = np.where(toxic > 0, np.cumsum(toxic > 0), np.cumsum(toxic <= 0)) % FOLDS  # every fold has its share of both classes
     earlier = np.zeros((len(texts), 0))
     for name in names:
         y = toxic if name == "toxic" else toxic * np.array([not words.isdisjoint(SEEDS[name]) for words in texts])
