@@ -141,12 +141,34 @@ def block_pairs(points: DataFrame, limit: float, kind: str = "box") -> DataFrame
 
 
 def block_join(points: DataFrame, limit: float, kind: str = "box") -> DataFrame:
-    """Pairs i <= j within the squared distance, found in the block pairs that bounds leave. points: id, vec, block."""
+    """Pairs i <= j within the squared distance, found in the block pairs that bounds leave. points: id, vec, block.
+
+    Each pair of blocks is one group of two blocks' rows; a matrix product sifts and the folded distance decides.
+    """
+    import pandas as pd
+
+    from vicinage.operators.tiles import folded, matrix, rough
+
     kept = block_pairs(points, limit, kind).select("b1", "b2", "all_in")
-    a, b = points.select(F.col("id").alias("_x"), F.col("vec").alias("_a"), F.col("block").alias("b1")), points.select(F.col("id").alias("_y"), F.col("vec").alias("_b"), F.col("block").alias("b2"))
-    pairs = a.join(kept, "b1").join(b, "b2").where((F.col("b1") < F.col("b2")) | (F.col("_x") <= F.col("_y")))
-    pairs = pairs.where(F.col("all_in") | (M.squared_l2("_a", "_b") <= limit))
-    return pairs.select(F.least("_x", "_y").alias("i"), F.greatest("_x", "_y").alias("j"))
+    rows = points.select("id", "vec", "block")
+    left = rows.withColumnRenamed("block", "b1").join(kept, "b1").select("b1", "b2", "all_in", "id", "vec", F.lit(True).alias("_left"))
+    right = rows.withColumnRenamed("block", "b2").join(kept.where("b1 < b2"), "b2").select("b1", "b2", "all_in", "id", "vec", F.lit(False).alias("_left"))
+
+    def pairs(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        same = key[0] == key[1]
+        one, two = group[group["_left"]], group if same else group[~group["_left"]]
+        x, y, i, j = matrix(one["vec"]), matrix(two["vec"]), one["id"].to_numpy(), two["id"].to_numpy()
+        wanted = i[:, None] <= j[None, :] if same else np.ones((len(i), len(j)), bool)
+        if not group["all_in"].iloc[0]:
+            near, slack = rough("l2", x, y)
+            wanted &= near <= limit + slack
+        a, b = np.nonzero(wanted)
+        if not group["all_in"].iloc[0]:
+            inside = folded("l2", x[a], y[b]) <= limit
+            a, b = a[inside], b[inside]
+        return pd.DataFrame({"i": np.minimum(i[a], j[b]), "j": np.maximum(i[a], j[b])})
+
+    return left.unionByName(right).groupBy("b1", "b2").applyInPandas(pairs, "i long, j long")
 
 
 def pruned_share(points: DataFrame, limit: float, kind: str = "box") -> DataFrame:
