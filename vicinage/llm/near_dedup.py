@@ -28,9 +28,14 @@ TREES = 16
 #: Minwise tokens of the embedding; the first TREES are those of the trees' roots.
 TOKENS = 48
 #: A node up to this size is compared exhaustively; a larger one branches, up to DEEPEST times.
-SMALL, DEEPEST, CHILDREN = 400, 4, 2
+SMALL, DEEPEST, CHILDREN = 2000, 4, 2
+#: Trees of the first round. What they connect is known in the next, which looks at all other trees for links between
+#: different components only.
+FIRST = 2
 #: A large node's members are compared with this many of them before it branches.
 PIVOTS = 8
+#: Agreeing tokens of a likely pair: at similarity 0.75, 36 of 48 are expected, and 3 more or less.
+LIKELY = 21
 #: Sets that are wanted again are found by a broadcast of up to this many ids, and by a shuffle beyond.
 BROADCAST_IDS = 2_000_000
 
@@ -89,8 +94,8 @@ def sets_of(docs: DataFrame, full: bool = False) -> DataFrame:
     return rows.mapInArrow(made, schema)
 
 
-def _branches(parents: DataFrame, level: int) -> DataFrame:
-    """Children (node, id) of rows (node, id, tokens): node is the hash of the path. At level 0 there are no parents yet."""
+def _branches(parents: DataFrame, trees: range | None = None) -> DataFrame:
+    """Children (node, id) of rows (node, id, tokens): node is the hash of the path. Given trees, those of their roots."""
     schema = "node long, id long"
 
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,9 +105,8 @@ def _branches(parents: DataFrame, level: int) -> DataFrame:
             tokens = np.frombuffer(b"".join(batch["tokens"].to_pylist()), np.uint32).reshape(-1, TOKENS).astype(np.uint64)
             ids = batch["id"].to_numpy()
             with np.errstate(over="ignore"):
-                if level == 0:
-                    tree = np.arange(TREES, dtype=np.uint64)
-                    paths, at = np.tile(tree, (len(ids), 1)), np.tile(np.arange(TREES), (len(ids), 1))
+                if trees is not None:
+                    paths, at = (np.tile(np.array(trees, kind), (len(ids), 1)) for kind in (np.uint64, np.int64))
                 else:
                     node = batch["node"].to_numpy().view(np.uint64)[:, None]
                     turn = np.arange(CHILDREN, dtype=np.uint64) + np.uint64(1)
@@ -118,20 +122,12 @@ def _branches(parents: DataFrame, level: int) -> DataFrame:
     return parents.mapInArrow(descend, schema)
 
 
-def linked_pairs(sets: list[np.ndarray], old: int = 0) -> list[tuple[int, int]]:
+def linked_pairs(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links among sets that connect what is connected: a spanning forest of the true links.
 
-    Pairs of two of the first `old` sets are left out. Shared counts come from the sorted union of all sets.
+    Shared counts come from the sorted union of all sets.
     """
     m = len(sets)
-    parent = list(range(m))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
     sizes = np.array([len(s) for s in sets])
     values = np.concatenate(sets)
     owner = np.repeat(np.arange(m, dtype=np.int64), sizes)
@@ -154,42 +150,99 @@ def linked_pairs(sets: list[np.ndarray], old: int = 0) -> list[tuple[int, int]]:
         shared += strip @ strip.T
     united = sizes[:, None] + sizes[None, :] - shared
     links = 100 * shared >= PERCENT * united
-    for i, j in zip(*np.nonzero(np.triu(links, 1))):
-        if j >= old:
-            a, b = root(int(i)), root(int(j))
-            if a != b:
-                parent[a] = b
-                out.append((int(i), int(j)))
+    left = np.ones(m, bool)
+    for begin in range(m):
+        front = np.array([begin]) if left[begin] else np.zeros(0, np.int64)
+        left[front] = False
+        while len(front):
+            step = links[front][:, left]
+            reached = step.any(0)
+            new = np.flatnonzero(left)[reached]
+            out += zip(front[step.argmax(0)[reached]].tolist(), new.tolist())
+            left[new] = False
+            front = new
     return out
 
 
-def _compared(groups: DataFrame) -> DataFrame:
-    """Links (a, b) of rows (node, part, new, id, hashes), one (node, part) after another in sorted partitions.
+def _sifted(groups: DataFrame) -> DataFrame:
+    """Rows (node, part, id, tokens, component) without those that have no likely partner in their group: (node, id).
 
-    Rows with new = 0 aren't compared with one another.
+    Partners are of different components. A pair is likely when at least LIKELY of its tokens agree; at similarity 0.75 fewer do in one pair of a
+    million. What likely pairs connect becomes a node named by a hash of its members, so that the same
+    members found in several trees are one node.
     """
 
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, tokens, owners, nodes, out = None, [], [], [], [], []
+
+        def close():
+            if len(set(owners)) < 2:
+                return
+            x = np.frombuffer(b"".join(tokens), np.uint32).reshape(-1, TOKENS)
+            agree = np.zeros((len(ids), len(ids)), np.uint8)
+            for column in x.T:
+                agree += column[:, None] == column[None, :]
+            of = np.array(owners)
+            near = (agree >= LIKELY) & (of[:, None] != of[None, :])
+            left = set(range(len(ids)))
+            while left:
+                reached, front = set(), {left.pop()}
+                while front:
+                    reached |= front
+                    front = set(np.flatnonzero(near[list(front)].any(0)).tolist()) & left
+                    left -= front
+                members = sorted({ids[i] for i in reached})
+                if len(members) > 1:
+                    name = xxhash.xxh64_intdigest(np.array(members, np.int64).tobytes()) - (1 << 63)
+                    nodes.extend([name] * len(members))
+                    out.extend(members)
+
+        def batch():
+            made = pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.int64())], ["node", "id"])
+            nodes.clear()
+            out.clear()
+            return made
+
+        for b in batches:
+            for node, part, i, t, c in zip(*(b[c].to_pylist() for c in ("node", "part", "id", "tokens", "component"))):
+                if (node, part) != now:
+                    close()
+                    now = (node, part)
+                    for kept in (ids, tokens, owners):
+                        kept.clear()
+                ids.append(i)
+                tokens.append(t)
+                owners.append(c)
+            yield batch()
+        close()
+        yield batch()
+
+    order = ["node", "part", "id"]
+    return groups.select(*order, "tokens", "component").repartition("node", "part").sortWithinPartitions(*order).mapInArrow(sift, "node long, id long").distinct()
+
+
+def _compared(groups: DataFrame) -> DataFrame:
+    """Links (a, b) of rows (node, id, hashes), one node after another in sorted partitions."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, sets, old = None, [], [], 0
+        now, ids, sets = None, [], []
 
         def links():
-            found = linked_pairs(sets, old) if len(ids) > 1 else []
+            found = linked_pairs(sets) if len(ids) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found], pa.int64()), pa.array([ids[j] for _, j in found], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for node, part, new, i, h in zip(*(batch[c].to_pylist() for c in ("node", "part", "new", "id")), batch["hashes"]):
-                if (node, part) != now:
+            for node, i, h in zip(*(batch[c].to_pylist() for c in ("node", "id")), batch["hashes"]):
+                if node != now:
                     if ids:
                         yield links()
-                    now, ids, sets, old = (node, part), [], [], 0
-                old += not new
+                    now, ids, sets = node, [], []
                 ids.append(i)
                 sets.append(np.frombuffer(h.as_py(), np.uint64))
         if ids:
             yield links()
 
-    order = ["node", "part", "new", "id"]
-    return groups.select(*order, "hashes").repartition("node", "part").sortWithinPartitions(*order).mapInArrow(compare, "a long, b long")
+    return groups.select("node", "id", "hashes").repartition("node").sortWithinPartitions("node", "id").mapInArrow(compare, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -225,7 +278,7 @@ def components(edges: DataFrame) -> DataFrame:
 def _sets_for(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """id and hashes of the given ids, written."""
     wanted = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, docs["doc_id"] == ids["id"], "left_semi")
-    return materialize(sets_of(wanted, full=True).select(F.col("doc_id").alias("id"), "hashes").where("hashes IS NOT NULL").dropDuplicates(["id"]), "near-sets")
+    return materialize(sets_of(wanted, full=True).select(F.col("doc_id").alias("id"), "hashes").where("hashes IS NOT NULL"), "near-sets")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -243,17 +296,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = materialize(classes, "near-classes")
     embedded = classes.select("id", "tokens")
 
-    nodes = materialize(_branches(embedded, 0), "near-nodes")
-    links, known, level = None, None, 0
-    sets = None
+    nodes = materialize(_branches(embedded, range(FIRST)), "near-nodes")
+    links, level = None, 0
+    known = embedded.select("id", F.col("id").alias("component"))
     while True:
-        tagged = nodes if known is None else nodes.join(known, "id", "left").withColumn("_c", F.coalesce("component", "id"))
-        tagged = tagged if known is not None else tagged.withColumn("_c", F.col("id"))
+        tagged = nodes.join(known, "id", "left").withColumn("_c", F.coalesce("component", "id")) if level else nodes.withColumn("_c", F.col("id"))
         stats = tagged.groupBy("node").agg(F.count(F.lit(1)).alias("_n"), F.min("_c").alias("_low"), F.max("_c").alias("_high"), F.sum(F.shiftright(F.xxhash64("id"), 16)).alias("_sum"), F.bit_xor(F.xxhash64("id")).alias("_xor"))
         stats = materialize(stats.where("_low <> _high"), "near-stats")  # nodes of one row or one component are done
         # Nodes of the same members, as many pairs have in several trees, are compared once.
         small = stats.where(F.col("_n") <= SMALL).groupBy("_n", "_sum", "_xor").agg(F.min("node").alias("node")).select("node")
-        leaves = nodes.join(small, "node").select("node", F.lit(0).cast("long").alias("part"), F.lit(1).alias("new"), "id")
+        leaves = nodes.join(small, "node").select("node", F.lit(0).cast("long").alias("part"), "id")
         large = stats.where(F.col("_n") > SMALL).groupBy("_n", "_sum", "_xor").agg(F.min("node").alias("node")).select("node", "_n")
         large = materialize(large, "near-large")
         more = not large.isEmpty()
@@ -262,25 +314,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             ranked = F.pmod(F.xxhash64("node", "id"), F.lit(1 << 40))
             pivots = inside.withColumn("_r", ranked).groupBy("node", "_n", F.pmod("_r", F.lit(PIVOTS)).alias("_slot")).agg(F.min_by("id", "_r").alias("id"))
             parts = (F.col("_n") / SMALL).cast("long") + 1
-            spread = pivots.select("node", F.explode(F.sequence(F.lit(1).cast("long"), parts)).alias("part"), F.lit(0).alias("new"), "id")
+            spread = pivots.select("node", F.explode(F.sequence(F.lit(1).cast("long"), parts)).alias("part"), "id")
             if level < DEEPEST:
-                members = inside.select("node", (F.pmod(F.xxhash64("id", "node"), parts) + 1).alias("part"), F.lit(1).alias("new"), "id")
+                members = inside.select("node", (F.pmod(F.xxhash64("id", "node"), parts) + 1).alias("part"), "id")
                 members = members.join(pivots.select("node", "id"), ["node", "id"], "left_anti")
                 leaves = leaves.unionByName(spread).unionByName(members)
             else:
                 leaves = leaves.unionByName(_all_against_rest(inside.join(known, "id", "left").withColumn("_c", F.coalesce("component", "id")), parts))
-        leaves = materialize(leaves, "near-leaves")
-        if sets is None:
-            sets = _sets_for(docs, leaves.select("id").distinct() if not more else leaves.select("id").unionByName(inside.select("id")).distinct())
+        told = embedded.join(known, "id", "left").withColumn("component", F.coalesce("component", "id")) if level else embedded.withColumn("component", F.col("id"))
+        leaves = materialize(_sifted(leaves.join(told, "id")), "near-leaves")
+        sets = _sets_for(docs, leaves.select("id").distinct())
         found = materialize(_compared(leaves.join(sets, "id")), "near-links")
         links = found if links is None else links.unionByName(found)
-        if not more or level == DEEPEST:
-            break
         known = components(links)
+        if level and not more or level == DEEPEST:
+            break
+        nodes = _branches(inside.select("node", "id").join(embedded, "id")) if more else None
+        if not level:
+            others = _branches(embedded, range(FIRST, TREES))
+            nodes = others if nodes is None else others.unionByName(nodes)
+        nodes = materialize(nodes, "near-nodes")
         level += 1
-        nodes = materialize(_branches(inside.select("node", "id").join(embedded, "id"), level), "near-nodes")
 
-    joined = components(links)
+    joined = known
     linked = classes.join(joined, "id", "left").where("_n > 1 OR component IS NOT NULL").select("class", F.coalesce("component", "id").alias("component"))
     linked = materialize(linked, "near-class-components")
     out = rows.select("doc_id", "n_shingles", "class").join(linked, "class", "left")
@@ -299,8 +355,8 @@ def _all_against_rest(inside: DataFrame, parts) -> DataFrame:
     groups = rest.select("node", "_g").distinct()
     block = F.pmod(F.xxhash64("id", "node"), parts)
     members = inside.select("node", block.alias("_b"), "id").join(groups, "node")
-    return members.select("node", (F.col("_b") * 1_000_000 + F.col("_g") + 1).alias("part"), F.lit(1).alias("new"), "id").unionByName(
-        rest.select("node", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("_b"), "_g", "id").select("node", (F.col("_b") * 1_000_000 + F.col("_g") + 1).alias("part"), F.lit(1).alias("new"), "id")
+    return members.select("node", (F.col("_b") * 1_000_000 + F.col("_g") + 1).alias("part"), "id").unionByName(
+        rest.select("node", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("_b"), "_g", "id").select("node", (F.col("_b") * 1_000_000 + F.col("_g") + 1).alias("part"), "id")
     ).distinct()
 
 
