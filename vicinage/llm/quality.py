@@ -80,6 +80,19 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return x, owner
 
 
+def grouped(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """The texts in order, in groups of about TOGETHER bytes: features take some forty bytes a byte of text."""
+    group, size = [], 0
+    for text in texts:
+        group.append(text)
+        size += len(text)
+        if size >= TOGETHER:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 @dataclass
 class Attention:
     """Passage encoder, gated attention and scorer."""
@@ -101,13 +114,7 @@ class Attention:
         return z, h, t, s, a, bag, sigmoid(bag @ self.p["o"] + self.p["c"])
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        out, group, size = [], [], 0
-        for i, text in enumerate(texts):
-            group.append(text)
-            size += len(text)
-            if size >= TOGETHER or i + 1 == len(texts):
-                out.append(self.forward(*passages(group), len(group))[-1])
-                group, size = [], 0
+        out = [self.forward(*passages(group), len(group))[-1] for group in grouped(texts)]
         return np.concatenate(out) if out else np.zeros(0)
 
 
@@ -117,7 +124,9 @@ def fit(texts: list[bytes], y: np.ndarray, steps: int = 300, seed: int = 7) -> A
     p = {"w": rng.normal(0, FEATURES**-0.5, (FEATURES, HIDDEN)), "b": np.zeros(HIDDEN), "v": rng.normal(0, HIDDEN**-0.5, (HIDDEN, GATE)), "u": rng.normal(0, HIDDEN**-0.5, (HIDDEN, GATE)), "a": np.zeros(GATE), "o": np.zeros(HIDDEN), "c": np.zeros(1)}
     if not texts:
         return Attention(np.zeros(FEATURES), np.ones(FEATURES), p)
-    x, owner = passages(texts)
+    parts = [passages(group) for group in grouped(texts)]
+    x = np.concatenate([p for p, _ in parts])
+    owner = np.concatenate([o + at for (_, o), at in zip(parts, np.cumsum([0] + [o[-1] + 1 for _, o in parts]))])
     model = Attention(x.mean(0), x.std(0) + 1e-3, p)
     p["a"] = rng.normal(0, 0.1, GATE)
     p["o"] = rng.normal(0, 0.1, HIDDEN)
