@@ -171,3 +171,26 @@ def test_stream_equals_replay(spark, tmp_path):
         index.on_batch(spark.read.parquet(str(tmp_path / "in" / f"p{part}")), part)
     events = spark.createDataFrame(log, "seq long, op string, id long")
     assert sorted(out) == rows(updates.replay(events, base, vec, 1.0))
+
+
+def test_farthest_pivots(spark):
+    x = rng.normal(size=(40, 3)).astype(np.float32).astype(np.float64)
+    chosen = [0]
+    while len(chosen) < 5:
+        gap = ((x[:, None] - x[chosen][None]) ** 2).sum(2).min(1)
+        chosen.append(int(gap.argmax()))
+    assert np.allclose(blocks.farthest_pivots(frame(spark, x), 5), x[chosen])
+    got = {r.id: r.pivot for r in blocks.nearest_pivot(frame(spark, x), x[chosen].tolist()).collect()}
+    assert got == {k: int(((x[k] - x[chosen]) ** 2).sum(1).argmin()) for k in range(40)}
+
+
+def test_hadamard_keeps_distances(spark):
+    x = rng.normal(size=(12, 8))
+    y = np.array([r[0] for r in frame(spark, x, "double").orderBy("id").select(M.hadamard("vec", 8)).collect()])
+    assert np.allclose(((x[:, None] - x[None]) ** 2).sum(2), ((y[:, None] - y[None]) ** 2).sum(2))
+
+
+def test_samples_are_nested(spark):
+    df = spark.range(100)
+    small, large = ({r.id for r in relations.seeded_sample(df, n, 3).collect()} for n in (10, 30))
+    assert len(small) == 10 and small < large

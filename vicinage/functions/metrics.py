@@ -115,3 +115,12 @@ def condensed_pair(k, n: int) -> tuple[Column, Column]:
     begin = lambda r: r * (2 * n - r - 1) / 2
     i = F.when(begin(i + 1) <= k, i + 1).when(begin(i) > k, i - 1).otherwise(i)
     return i, (k - begin(i)).cast("long") + i + 1
+
+
+def hadamard(a, size: int) -> Column:
+    """Orthonormal Walsh-Hadamard transform of a vector of a power of two coordinates: distances are kept."""
+    if size & (size - 1) or size < 1:
+        raise ValueError("the size is a power of two")
+    sign = lambda i, k: F.when(F.bit_count(i.bitwiseAND(k)) % 2 == 0, 1.0).otherwise(-1.0)
+    places = F.sequence(F.lit(0), F.lit(size - 1))
+    return F.transform(places, lambda k: _fold(F.zip_with(a, places, lambda x, i: x.cast("double") * sign(i, k))) / size**0.5)

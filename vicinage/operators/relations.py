@@ -148,6 +148,11 @@ def budget(scored: DataFrame, share: float) -> DataFrame:
     return scored.orderBy("score", "id").limit(-(-int(n * share * 1_000_000) // 1_000_000))
 
 
+def seeded_sample(df: DataFrame, rows: int, seed: int, key: str = "id") -> DataFrame:
+    """`rows` rows in an order that depends on the key and the seed only: smaller samples are prefixes of larger ones."""
+    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(rows)
+
+
 def paired_bootstrap(ratios: list[float], draws: int = 10_000, seed: int = 0) -> tuple[float, float, float]:
     """Geometric mean of paired ratios and its 95 % interval by resampling; a driver-side report on few numbers."""
     import numpy as np
