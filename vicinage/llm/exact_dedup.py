@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinage.llm.tables import materialize, text_of
+from vicinage.llm.tables import materialize, text_of, without
 
 #: Characters that the prefix hash covers.
 PREFIX = 128
@@ -74,11 +74,11 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
     repeated = pairs.where("doc_id IS NOT NULL AND _kept").select("doc_id").distinct()
     named = docs.where("doc_id IS NOT NULL")
     if pairs.where("doc_id IS NULL OR _kept").isEmpty():
-        return docs.where("doc_id IS NULL").unionByName(named.join(gone, "doc_id", "left_anti").select(docs.columns))
+        return docs.where("doc_id IS NULL").unionByName(without(named, gone))
     unclear = docs.where("doc_id IS NULL").unionByName(named.join(repeated, "doc_id", "left_semi").select(docs.columns))
     unclear = unclear.withColumn("_digest", F.sha2(text_of(), 256))
     bad = pairs.where("NOT _kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
     unclear = unclear.join(bad, F.expr("doc_id <=> _id AND _digest = _sha"), "left_anti")
     unclear = unclear.dropDuplicates(["doc_id", "_digest"]).drop("_digest")
-    clear = named.join(gone.union(repeated), "doc_id", "left_anti").select(docs.columns)
+    clear = without(named, gone.union(repeated))
     return clear.unionByName(unclear.select(docs.columns))

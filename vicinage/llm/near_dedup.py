@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from vicinage.llm.tables import materialize, text_of
+from vicinage.llm.tables import materialize, text_of, without
 
 SHINGLE = 5
 #: Linked when 100 * shared >= 75 * united.
@@ -363,4 +363,4 @@ def _all_against_rest(inside: DataFrame, parts) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs with the smallest id of their component, with all their columns; rows without an id stay."""
     found = materialize(near_duplicates(docs), "near-result")
-    return docs.join(found.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return without(docs, found.where("NOT kept").select("doc_id").distinct())

@@ -40,6 +40,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids are broadcast up to this many bytes as text; a larger list meets the rows in a shuffle join.
+BROADCAST_ID_BYTES = 32 << 20
+
+
+def without(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of df whose key isn't among ids (a table of that column, read from storage); null keys stay.
+
+    A measured list of bounded size is broadcast, so that texts stay where they are; a larger one is joined by a shuffle.
+    """
+    measured = ids.agg(F.coalesce(F.sum(F.octet_length(F.col(key).cast("string")) + 8), F.lit(0)).alias("n")).first()["n"]
+    return df.join(F.broadcast(ids) if measured <= BROADCAST_ID_BYTES else ids, key, "left_anti").select(df.columns)
+
+
 def text_of(column: str = "text"):
     """A text column with null as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))
