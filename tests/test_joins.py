@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from tests.conftest import rows
 from vicinage.functions import metrics as M
 from vicinage.operators import blocks, joins, relations, tiles
+from vicinage.plans import queries
 from vicinage.streaming import updates
 
 
@@ -132,6 +133,27 @@ def test_factorised_join_is_a_set(spark):
     assert rows(relations.factorised_join(left, right)) == [(1, 7), (2, 7)]
 
 
+def embeddings(spark, folder, x, labels=None):
+    """A folder of tables that holds only embeddings, for registered queries."""
+    made = [(i, [float(v) for v in r], int(labels[i]) if labels is not None else 0) for i, r in enumerate(x)]
+    spark.createDataFrame(made, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    return str(folder)
+
+
+def test_ranked_range_join_is_whole_beyond_k(spark, tmp_path):
+    """Queries 0 and 10 have 31 and 8 rows within the limit, 20 and 30 fewer than k."""
+    x = np.full((70, 2), 50.0) + np.arange(70)[:, None] * 3
+    x[[0, *range(31, 61)]] = rng.normal(size=(31, 2)) * 0.05
+    x[[10, *range(1, 8)]] = [-40.0, 0.0] + rng.normal(size=(8, 2)) * 0.05
+    x[[20, 21]] = [[-80.0, 0.0], [-80.0, 1.0]]
+    x = x.astype(np.float32)
+    x[40] = x[41]
+    d = ((x[:, None].astype(float) - x[None]) ** 2).sum(2)
+    want = [(q, r + 1, int(j)) for q in range(0, 70, 10) for r, j in enumerate(j for j in np.lexsort((np.arange(70), d[q])) if d[q, j] <= queries.LIMIT)]
+    got = rows(queries.QUERIES["knn_then_filter"](spark, embeddings(spark, tmp_path, x)))
+    assert got == sorted(want) and sum(w[0] == 0 for w in want) > 8
+
+
 def test_condensed_pairs(spark):
     n = 23
     from pyspark.sql import functions as F

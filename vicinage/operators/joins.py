@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinage.functions import metrics as M
-from vicinage.operators.tiles import over_tiles, pairs_within
+from vicinage.operators.tiles import nearest, over_tiles, pairs_within
+from vicinage.plans.storage import written
 
 STRATEGIES = ("tiles", "naive", "cascade", "pivot")
 
@@ -35,6 +36,20 @@ def mirrored(pairs: DataFrame) -> DataFrame:
     return pairs.unionByName(pairs.where("i < j").select(F.col("j").alias("i"), F.col("i").alias("j")))
 
 
+def ranked_range_join(queries: DataFrame, base: DataFrame, k: int, limit: float) -> DataFrame:
+    """(q, rank, id, d): all rows of base within the limit of each query, nearest first, ties by id.
+
+    The k nearest are searched first. A query whose k-th is still within the limit may have more: it is answered
+    again by a range join, in place of its first answer.
+    """
+    found = written(nearest(queries, base, k).where(F.col("d") <= limit), "nearest")
+    saturated = written(found.where(F.col("rank") == k).select(F.col("q").alias("id")), "saturated")
+    whole = pairs_within(queries.join(saturated, "id", "left_semi").select("id", "vec"), base, limit, distances=True).toDF("q", "id", "d")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))
+    settled = found.join(saturated.toDF("q"), "q", "left_anti").select("q", "rank", "id", "d")
+    return settled.unionByName(whole.withColumn("rank", rank))
+
+
 def cascade(left: DataFrame, right: DataFrame | None, limit: float) -> DataFrame:
     """(i, j, stage, state) of every pair that the first certificate doesn't reject.
 

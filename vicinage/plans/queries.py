@@ -134,9 +134,9 @@ def knn_graph_without_self(spark, sf_dir):
 
 @query(_KNN.format(d=_D2, on="a.vec_id % 10 = 0", k=8).replace("WHERE rank <= 8", f"WHERE rank <= 8 AND d2 <= {LIMIT}").replace("AS rank FROM", f"AS rank, {_D2} AS d2 FROM"))
 def knn_then_filter(spark, sf_dir):
-    """A range join emulated by nearest neighbours: right as long as no query has more than k within the limit."""
+    """A range join by nearest neighbours, whole however many rows a query has within the limit. Its SQL stops at 8 a query."""
     v = vectors(spark, sf_dir)
-    return tiles.nearest(v.where("id % 10 = 0"), v, 8).where(F.col("d") <= LIMIT).select("q", F.col("rank").cast("long").alias("rank"), "id")
+    return joins.ranked_range_join(v.where("id % 10 = 0"), v, 8, LIMIT).select("q", F.col("rank").cast("long").alias("rank"), "id")
 
 
 @query(f"SELECT a.vec_id AS i, b.vec_id AS j FROM embeddings a JOIN embeddings b ON a.vec_id <= b.vec_id WHERE {_SUM.format(a='a', b='b', f='abs(z[1]::DOUBLE - z[2]::DOUBLE)')} <= 7.0")
