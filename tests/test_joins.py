@@ -154,6 +154,19 @@ def test_ranked_range_join_is_whole_beyond_k(spark, tmp_path):
     assert got == sorted(want) and sum(w[0] == 0 for w in want) > 8
 
 
+@pytest.mark.parametrize("size", [512, 7])
+def test_factorised_self_join_reads_all_rows(spark, tmp_path, size, monkeypatch):
+    """A third of the rows has one label; residues of ids modulo 3 don't matter."""
+    x, label = (rng.normal(size=(90, 5)) * 0.5).astype(np.float32), np.where(np.arange(90) < 30, 0, np.arange(90) % 7)
+    want = [(i, j) for i, j in expected(x, 1.6) if i < j and label[i] == label[j]]
+    monkeypatch.setattr(tiles.over_tiles_by, "__defaults__", (size,))
+    folder = embeddings(spark, tmp_path, x, label)
+    assert rows(queries.QUERIES["factorised_self_join"](spark, folder)) == want
+    assert {i % 3 for p in want for i in p} == {0, 1, 2}
+    twice = spark.createDataFrame([(w, i, [float(v) for v in x[i]]) for i in range(90) for w in (0, 1)], "w int, id long, vec array<float>")
+    assert rows(relations.factorised_self_join(twice, 1.6)) == [(i, j) for i, j in expected(x, 1.6) if i < j]
+
+
 def test_condensed_pairs(spark):
     n = 23
     from pyspark.sql import functions as F

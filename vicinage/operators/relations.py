@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinage.functions import metrics as M
-from vicinage.operators.tiles import over_tiles, smallest
+from vicinage.operators.tiles import over_tiles, pairs_within_groups, smallest
 
 # --- multi-vector objects
 
@@ -73,6 +73,14 @@ def factorised_join(left: DataFrame, right: DataFrame, limit: float | None = Non
     return (pairs if limit is None else pairs.where(M.squared_l2("qv", "bv") <= limit)).select("q", "b")
 
 
+def factorised_self_join(rows: DataFrame, limit: float) -> DataFrame:
+    """Distinct pairs (i, j), i < j, of rows (w, id, vec) that share a witness and lie within the limit.
+
+    Witnesses with many rows are split into blocks, and pairs beyond the limit never leave their tile.
+    """
+    return pairs_within_groups(rows, "w", limit).where("i < j").distinct()
+
+
 def neighbourhood_groups(pairs: DataFrame) -> DataFrame:
     """(size, rows): how many rows have each number of rows with the very same set of partners."""
     sets = pairs.groupBy("i").agg(F.sha2(F.array_join(F.sort_array(F.collect_set("j")).cast("array<string>"), ","), 256).alias("_set"))

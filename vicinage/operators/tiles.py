@@ -49,17 +49,28 @@ def over_tiles(left: DataFrame, right: DataFrame | None, kernel: Kernel, schema:
         a = left.select("id", "vec", block(n).alias("_i"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("_j"), F.lit(True).alias("_left"))
         b = right.select("id", "vec", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_i"), block(m).alias("_j"), F.lit(False).alias("_left"))
         dealt = a.unionByName(b)
-    itself = right is None
+    return _grouped(dealt, kernel, schema, right is None)
+
+
+def over_tiles_by(df: DataFrame, key: str, kernel: Kernel, schema: str, rows: int = BLOCK_ROWS) -> DataFrame:
+    """over_tiles of the rows of each key with themselves, of key, id and vec. A key with many rows is split into blocks; null keys match nothing."""
+    sizes = df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_n"))
+    dealt = df.join(sizes, key).withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
+    dealt = dealt.select(key, "id", "vec", "_b", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_o"))
+    dealt = dealt.select(key, "id", "vec", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), (F.col("_b") <= F.col("_o")).alias("_left"))
+    return _grouped(dealt, kernel, schema, True, key)
+
 
+def _grouped(dealt: DataFrame, kernel: Kernel, schema: str, itself: bool, *by: str) -> DataFrame:
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        same = itself and key[0] == key[1]
+        same = itself and key[-2] == key[-1]
         a = rows if same else rows[rows["_left"]]
         b = rows if same else rows[~rows["_left"]]
         if not len(a) or not len(b):
             return kernel(np.zeros(0, np.int64), np.zeros((0, 1)), np.zeros(0, np.int64), np.zeros((0, 1)), same)
         return kernel(a["id"].to_numpy(), matrix(a["vec"]), b["id"].to_numpy(), matrix(b["vec"]), same)
 
-    return dealt.groupBy("_i", "_j").applyInPandas(run, schema)
+    return dealt.groupBy(*by, "_i", "_j").applyInPandas(run, schema)
 
 
 def folded(metric: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -98,9 +109,15 @@ def pairs_within(left: DataFrame, right: DataFrame | None, limit: float, metric:
 
     A matrix product sifts, with slack on the safe side; the folded distance decides.
     """
-    schema = "i long, j long" + (", d double" if distances else "")
-    itself = right is None
+    return over_tiles(left, right, _within(limit, metric, distances, right is None), "i long, j long" + (", d double" if distances else ""))
+
+
+def pairs_within_groups(df: DataFrame, key: str, limit: float, metric: str = "l2") -> DataFrame:
+    """Pairs i <= j of rows (key, id, vec) that share a key and lie within the limit, once for each key that they share."""
+    return over_tiles_by(df, key, _within(limit, metric, False, True), "i long, j long")
+
 
+def _within(limit: float, metric: str, distances: bool, itself: bool) -> Kernel:
     def kernel(ids, x, others, y, same):
         if not len(ids):
             return pd.DataFrame({"i": [], "j": []} | ({"d": []} if distances else {}))
@@ -116,7 +133,7 @@ def pairs_within(left: DataFrame, right: DataFrame | None, limit: float, metric:
             i, j = np.minimum(i, j), np.maximum(i, j)
         return pd.DataFrame({"i": i, "j": j} | ({"d": d} if distances else {}))
 
-    return over_tiles(left, right, kernel, schema)
+    return kernel
 
 
 def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", itself: bool = True) -> DataFrame:
