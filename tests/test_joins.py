@@ -167,6 +167,25 @@ def test_factorised_self_join_reads_all_rows(spark, tmp_path, size, monkeypatch)
     assert rows(relations.factorised_self_join(twice, 1.6)) == [(i, j) for i, j in expected(x, 1.6) if i < j]
 
 
+@pytest.mark.parametrize("size", [512, 7])
+def test_projected_scan_splits_labels(spark, tmp_path, size, monkeypatch):
+    x, label = (rng.normal(size=(60, 20)) * 0.12).astype(np.float32), np.where(np.arange(60) < 30, 0, np.arange(60) % 3)
+    monkeypatch.setattr(tiles.over_tiles_by, "__defaults__", (size,))
+    want = [(i, j) for i, j in expected(x[:, :16], 0.3) if i < j and label[i] == label[j]]
+    assert rows(queries.QUERIES["projected_scan"](spark, embeddings(spark, tmp_path, x, label))) == want and want
+
+
+def test_progressive_scan_has_all_pairs_and_bands(spark, tmp_path):
+    x = (rng.normal(size=(70, 64)) * rng.choice([0.02, 0.05, 0.09], (70, 1))).astype(np.float32)
+    x[5] = x[50]
+    want = []
+    for limit in (0.2, 0.3):
+        alive = [set(expected(x[:, :rank], limit)) for rank in (16, 32, 64)]
+        want += [(i, j, limit, 64 if (i, j) in alive[2] else 32 if (i, j) in alive[1] else 16) for i, j in alive[0] if i < j]
+    got = rows(queries.QUERIES["progressive_scan"](spark, embeddings(spark, tmp_path, x, np.arange(70) % 10)))
+    assert got == sorted(want) and {w[3] for w in want} == {16, 32, 64} and len(want) < 70 * 69
+
+
 def test_condensed_pairs(spark):
     n = 23
     from pyspark.sql import functions as F

@@ -117,6 +117,39 @@ def pairs_within_groups(df: DataFrame, key: str, limit: float, metric: str = "l2
     return over_tiles_by(df, key, _within(limit, metric, False, True), "i long, j long")
 
 
+def progressive(df: DataFrame, ranks: tuple[int, ...], limits: tuple[float, ...]) -> DataFrame:
+    """(i, j, threshold, rank) for all pairs i < j: the last rank up to which the squared distance of the leading coordinates is within the limit.
+
+    Partial distances never fall, so a pair survives all smaller ranks too. A pair that the first rank rules out for
+    a limit has no row for it. Each band is added for survivors only.
+    """
+
+    def kernel(ids, x, others, y, same):
+        out = [pd.DataFrame({"i": [], "j": [], "threshold": [], "rank": []})]
+        if len(ids):
+            near, slack = rough("l2", x[:, : ranks[0]], y[:, : ranks[0]])
+            keep = near <= max(limits) + slack
+            if same:
+                keep &= ids[:, None] < others[None, :]
+            a, b = np.nonzero(keep)
+            total, last = np.zeros(len(a)), np.zeros((len(limits), len(a)), np.int32)
+            begin, alive = 0, np.arange(len(a))
+            for rank in ranks:
+                for d in range(begin, min(rank, x.shape[1])):
+                    gap = x[a[alive], d] - y[b[alive], d]
+                    total[alive] += gap * gap
+                for k, limit in enumerate(limits):
+                    last[k, alive[total[alive] <= limit]] = rank
+                begin, alive = rank, alive[total[alive] <= max(limits)]
+            i, j = np.minimum(ids[a], others[b]), np.maximum(ids[a], others[b])
+            for k, limit in enumerate(limits):
+                got = last[k] > 0
+                out.append(pd.DataFrame({"i": i[got], "j": j[got], "threshold": limit, "rank": last[k, got]}))
+        return pd.concat(out if len(out) == 1 else out[1:])
+
+    return over_tiles(df, None, kernel, "i long, j long, threshold double, rank int")
+
+
 def _within(limit: float, metric: str, distances: bool, itself: bool) -> Kernel:
     def kernel(ids, x, others, y, same):
         if not len(ids):

@@ -415,10 +415,15 @@ def group_disjoint_split(spark, sf_dir):
 
 @query(f"WITH d AS (SELECT a.vec_id AS i, b.vec_id AS j, list_zip(a.embedding[1:16], b.embedding[1:16]) AS z FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.label = b.label) SELECT i, j FROM d WHERE list_reduce(list_transform(z, lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)), lambda u, v: u + v) <= 0.3")
 def projected_scan(spark, sf_dir):
-    """Pairs of one label that leading coordinates alone don't rule out."""
-    v = vectors(spark, sf_dir, "label")
-    a, b = v.toDF("i", "_a", "label"), v.toDF("j", "_b", "label")
-    return a.join(b, "label").where((F.col("i") < F.col("j")) & (M.partial_squared_l2("_a", "_b", 16) <= 0.3)).select("i", "j")
+    """Pairs of one label that leading coordinates alone don't rule out. All pairs and bands: progressive_scan."""
+    v = vectors(spark, sf_dir, "label").withColumn("vec", F.slice("vec", 1, 16))
+    return tiles.pairs_within_groups(v, "label", 0.3).where("i < j")
+
+
+@query()
+def progressive_scan(spark, sf_dir):
+    """All pairs, by the bands 0-16, 16-32 and 32-64: the last rank that each survives, for each threshold."""
+    return tiles.progressive(vectors(spark, sf_dir), (16, 32, 64), (0.2, 0.3))
 
 
 _LOG = "CASE event_type WHEN 'purchase' THEN 'delete' WHEN 'click' THEN 'query' ELSE 'insert' END"
