@@ -208,6 +208,37 @@ def test_decontamination(spark, items):
     assert {r.doc_id for r in decontamination.drop_contaminated(docs, items).collect()} == set(range(81)) - {d for d, _ in want}
 
 
+@pytest.mark.parametrize("literals", [20_000, 1])
+def test_decontamination_of_swapped_parts(spark, monkeypatch, literals):
+    """No shared shingle of the best window stands at its own place in the item; whole, cut at an end, and by brute force."""
+    monkeypatch.setattr(decontamination, "LITERALS", literals)
+    bench = {k: prose(n, 700 + k).split() for k, n in enumerate((40, 59, 33, 90))}
+    texts = []
+    for k, w in bench.items():
+        for cut in (len(w) // 2, len(w) // 3, len(w) // 4):
+            for before, after in ((30, 30), (0, 30), (30, 0), (0, 0)):
+                texts.append(" ".join([prose(before, k + 40), *w[cut:], *w[:cut], prose(after, k + 60)]))
+        texts.append(" ".join([prose(20, k), *w[20:], *w[10:20], *w[:10]]))
+        texts.append(" ".join([*w[len(w) // 2 :], *w[3 : len(w) // 2], prose(9, k)]))
+    want = {}
+    for d, text in enumerate(texts):
+        sh, _ = shingles(text)
+        for k, words in bench.items():
+            own = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+            m, best = sum(own.values()), (0, 0)
+            for at in range(-(m - 1), len(sh)):
+                win = Counter(sh[max(0, at) : max(0, at + m)])
+                both = sum((win & own).values())
+                best = max(best, (both / (sum(win.values()) + m - both), -max(0, at)))
+            if best[0] >= 0.75:
+                want[d, k] = round(best[0], 9), -best[1]
+    items = spark.createDataFrame([(k, " ".join(w)) for k, w in bench.items()], "item_id long, text string")
+    docs = table(spark, texts)
+    got = {(r.doc_id, r.item_id): (round(r.similarity, 9), r.start_word) for r in decontamination.contaminations(docs, items).collect()}
+    assert got == want and len(want) > 30
+    assert want[0, 0] == (0.8, 30)
+
+
 @pytest.mark.parametrize("small", [400, 5])
 def test_near_duplicates(spark, small):
     r = random.Random(6)

@@ -1,7 +1,7 @@
 """Benchmark decontamination with SimHash windows. Built-in functions only.
 
-A document is compared in windows of as many words as a benchmark item has. A window that shares no word
-shingle with any item has similarity 0 to all and is passed over; all others get a 64-bit SimHash. Fingerprints
+A document is compared in windows of as many words as a benchmark item has, at every start. A window that covers
+too few shingles of an item to reach the similarity is passed over; all others get a 64-bit SimHash. Fingerprints
 are looked up by 25 blocks of bits: two that differ in at most 24 bits agree on a block, so none within the
 radius is missed. What is found is compared exactly, as bags of shingles: each counts as often as it occurs.
 """
@@ -28,6 +28,18 @@ _SIMHASH = """aggregate(sequence(0, 63), 0L, (bits, b) -> bits | shiftleft(
 _BAG = "transform({0}, (h, i) -> xxhash64(h, size(filter(slice({0}, 1, i), g -> g = h))))"
 
 
+def _starts(need: str) -> str:
+    """Starts of windows that cover at least `need` of the places _p; the place at index a is the first that they cover."""
+    reach = f"get(_p, a + {need} - 1) - n + 5"
+    return f"""IF(size(_p) < {need}, CAST(array() AS array<int>), flatten(transform(
+    filter(sequence(0, size(_p) - {need}), a -> {reach} <= get(_p, a)), a -> sequence(greatest({reach}, get(_p, a - 1) + 1), get(_p, a)))))"""
+
+
+#: Of two bags of m shingles 6/7 must be shared for a similarity of 0.75. A window cut by an end of the document may do with 3/4 of m.
+_STARTS = f"""concat(filter({_starts("int((6 * (n - 4) + 6) div 7)")}, s -> s BETWEEN 0 AND _len - n + 4),
+    filter({_starts("int((3 * (n - 4) + 3) div 4)")}, s -> NOT s BETWEEN 0 AND _len - n + 4))"""
+
+
 def words_of(text: Column) -> Column:
     """Lower-case words between white space; none for an empty text."""
     trimmed = F.btrim(F.lower(text), F.lit(" \t\n\x0b\x0c\r"))
@@ -59,8 +71,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     are empty and match nothing, as do items without words; repeated rows and null ids give rows of their own.
     """
     items = materialize(_items(benchmark), "decontam-items")
-    shingles = items.select("item_id", "n", F.posexplode("_h").alias("_at", "_hash"))
-    shingles = materialize(shingles, "decontam-shingles")
+    shingles = materialize(items.select("item_id", "n", F.explode("_h").alias("_hash")).distinct(), "decontam-shingles")
     sizes = [r["n"] for r in items.where(F.col("n") < SHINGLE).select("n").distinct().collect()]  # at most four
     rows = docs.select("doc_id", text_of().alias("_text")).select("doc_id", "_text", words_of(F.col("_text")).alias("_words"))
 
@@ -78,26 +89,27 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         near = rows.select("doc_id", "_text", "_words", hits.alias("_hits"), F.monotonically_increasing_id().alias("_row")).where("size(_hits) > 0")
         near = near.select("_row", "doc_id", F.sha2("_text", 256).alias("text_sha256"), _shingles().alias("_h"), "_hits")
         near = materialize(near, "decontam-near")
-        places = near.select("_row", F.inline("_hits").alias("_at_word", "_hash", "_width"))
+        places = near.select("_row", F.size("_h").alias("_len"), F.inline("_hits").alias("_at_word", "_hash", "_width"))
     else:
         near = rows.select("doc_id", F.sha2("_text", 256).alias("text_sha256"), *[_shingles(w).alias(f"_h{w}") for w in [SHINGLE, *sizes]])
         near = materialize(near.withColumn("_row", F.monotonically_increasing_id()), "decontam-all")
         places = None
         for w, h in zip([SHINGLE, *sizes], hashes):
-            part = near.select("_row", F.posexplode(f"_h{w}").alias("_at_word", "_hash")).join(h, "_hash").select("_row", "_at_word", "_hash", F.lit(w).alias("_width"))
+            part = near.select("_row", F.size(f"_h{SHINGLE}").alias("_len"), F.posexplode(f"_h{w}").alias("_at_word", "_hash")).join(h, "_hash").select("_row", "_len", "_at_word", "_hash", F.lit(w).alias("_width"))
             places = part if places is None else places.unionByName(part)
         places = materialize(places, "decontam-places")
         near = near.withColumnRenamed(f"_h{SHINGLE}", "_h")
 
-    aligned = places.join(shingles, "_hash").where((F.col("_width") == SHINGLE) & (F.col("n") >= SHINGLE) | (F.col("_width") == F.col("n")))
-    aligned = materialize(aligned.select("_row", "item_id", "n", (F.col("_at_word") - F.col("_at")).alias("_start")).distinct(), "decontam-aligned")
+    held = places.join(shingles, "_hash").where((F.col("_width") == SHINGLE) & (F.col("n") >= SHINGLE) | (F.col("_width") == F.col("n")))
+    held = materialize(held.select("_row", "_len", "item_id", "n", "_at_word"), "decontam-held")
 
     # A short item is one shingle: where it occurs, the similarity is 1.
-    short = aligned.where(F.col("n") < SHINGLE).select("_row", "item_id", F.lit(1.0).alias("similarity"), F.lit(0).alias("hamming"), F.col("_start").alias("start_word"), F.col("n").alias("n_words"))
+    short = held.where(F.col("n") < SHINGLE).select("_row", "item_id", F.lit(1.0).alias("similarity"), F.lit(0).alias("hamming"), F.col("_at_word").alias("start_word"), F.col("n").alias("n_words"))
 
-    windows = aligned.where(F.col("n") >= SHINGLE).select("_row", "n", "_start").distinct().join(near.select("_row", "_h"), "_row")
-    windows = windows.withColumn("_from", F.greatest("_start", F.lit(0)))
-    windows = windows.withColumn("_w", F.expr("slice(_h, _from + 1, least(n - 4 + _start, size(_h)) - _from)")).where("size(_w) > 0")
+    windows = held.where(F.col("n") >= SHINGLE).groupBy("_row", "_len", "item_id", "n").agg(F.sort_array(F.collect_list("_at_word")).alias("_p"))
+    windows = windows.select("_row", "_len", "n", F.explode(F.expr(_STARTS)).alias("_start"))
+    windows = windows.select("_row", "n", F.greatest("_start", F.lit(0)).alias("_from"), F.expr("least(_start + n - 4, _len)").alias("_to")).distinct().join(near.select("_row", "_h"), "_row")
+    windows = windows.withColumn("_w", F.expr("slice(_h, _from + 1, _to - _from)"))
     windows = windows.select("_row", "n", F.col("_from").alias("start_word"), "_w", F.expr(_SIMHASH.format("_w")).alias("_wfp"))
     windows = materialize(windows, "decontam-windows")
     blocks = lambda fp: F.expr(f"transform(array({_BLOCKS}), b -> struct(b.no AS no, shiftright({fp}, b.low) & b.mask AS bits))")
