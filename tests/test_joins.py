@@ -186,6 +186,39 @@ def test_progressive_scan_has_all_pairs_and_bands(spark, tmp_path):
     assert got == sorted(want) and {w[3] for w in want} == {16, 32, 64} and len(want) < 70 * 69
 
 
+def test_stage_state_counts_equal_brute_force_bounds(spark, tmp_path):
+    """Each pair of a float32 table by the int8 bound, the single-precision guard and the fold, one at a time."""
+    x = (rng.normal(size=(60, 8)) * 0.5).astype(np.float32)
+    x[1], x[0] = 0.0, [1.4**0.5, 0, 0, 0, 0, 0, 0, 0]
+    x = x.astype(np.float64)
+    want = dict.fromkeys([(1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (2, 2), (3, 0), (3, 1)], 0)
+
+    def coded(v):
+        scale = np.abs(v).max() / 127 or 1.0
+        return np.rint(v / scale) * scale, np.linalg.norm(v - np.rint(v / scale) * scale)
+
+    for i in range(60):
+        for j in range(i, 60):
+            (p, e), (q, f) = coded(x[i]), coded(x[j])
+            centre = np.linalg.norm(p - q)
+            pad = 1e-7 * (1 + centre)
+            if (centre + e + f + pad) ** 2 <= queries.LIMIT or max(0, centre - e - f - pad) ** 2 > queries.LIMIT:
+                want[1, int((centre + e + f + pad) ** 2 <= queries.LIMIT)] += 1
+                continue
+            want[1, 2] += 1
+            d = float(((x[i].astype(np.float32) - x[j].astype(np.float32)) ** 2).sum(dtype=np.float32))
+            guard = 1e-6 * 8 * (1 + d)
+            if d + guard <= queries.LIMIT or d - guard > queries.LIMIT:
+                want[2, int(d + guard <= queries.LIMIT)] += 1
+                continue
+            want[2, 2] += 1
+            want[3, int(sum((x[i] - x[j]) ** 2) <= queries.LIMIT)] += 1
+    got = rows(queries.QUERIES["stage_state_counts"](spark, embeddings(spark, tmp_path, x)))
+    assert got == sorted((*k, n) for k, n in want.items())
+    assert want[2, 2] and want[2, 0] and want[2, 1] and want[1, 0] and want[1, 1]
+    assert want[1, 1] + want[2, 1] + want[3, 1] == len(expected(x, queries.LIMIT))
+
+
 def test_condensed_pairs(spark):
     n = 23
     from pyspark.sql import functions as F

@@ -101,6 +101,17 @@ def cascade(left: DataFrame, right: DataFrame | None, limit: float) -> DataFrame
     return over_tiles(left, right, kernel, "i long, j long, stage int, state int")
 
 
+def stage_state_counts(left: DataFrame, limit: float) -> DataFrame:
+    """(stage, state, pairs) of the cascade over a self-join, i <= j: 1 accepted, 0 rejected, 2 passed on to the next stage."""
+    n = left.count()
+    decided = cascade(left, None, limit).groupBy("stage", "state").agg(F.count(F.lit(1)).alias("pairs"))
+    found = {(r["stage"], r["state"]): r["pairs"] for r in decided.collect()}  # at most five rows
+    later = {s: sum(k for (t, _), k in found.items() if t > s) for s in (1, 2)}
+    found[1, 0] = n * (n + 1) // 2 - sum(found.values())
+    out = [(s, state, later[s] if state == 2 else found.get((s, state), 0)) for s in (1, 2, 3) for state in (0, 1, 2) if (s, state) != (3, 2)]
+    return left.sparkSession.createDataFrame(out, "stage int, state int, pairs long")
+
+
 def pivot_join(left: DataFrame, right: DataFrame | None, limit: float, pivots: int = 2) -> DataFrame:
     """Metric bins: rows within sqrt(limit) of one another differ by at most one bin of distance to any pivot.
 

@@ -90,6 +90,12 @@ def stage_counts(spark, sf_dir):
     return found.agg(F.coalesce(F.sum(F.when(one, F.col("n"))), F.lit(0)).alias("accepted"), F.coalesce(F.sum(F.when(one, F.col("d"))), F.lit(0)).alias("accepted_or_undecided_then_accepted"))
 
 
+@query()
+def stage_state_counts(spark, sf_dir):
+    """Pairs that each stage of the cascade rejects, accepts and passes on; stage_counts has the total accepted, as its SQL does."""
+    return joins.stage_state_counts(vectors(spark, sf_dir), LIMIT)
+
+
 @query(f"{_ALL} SELECT i, j FROM p")
 def refpoint_bin_join(spark, sf_dir):
     return upper(spark, sf_dir, strategy="pivot")
