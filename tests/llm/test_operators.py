@@ -160,11 +160,11 @@ def test_exact_dedup(spark, odd):
     assert sorted(t or "" for _, t, *_ in exact_dedup.drop_duplicates(odd).collect()) == sorted(sizes)
     lazy = {r.doc_id: r.text_sha256 for r in exact_dedup.duplicate_groups(odd).collect()}
     assert lazy[4] is None and lazy[0] is not None
-    exact_dedup.BROADCAST_KEYS, keep = 0, exact_dedup.BROADCAST_KEYS
+    exact_dedup.BROADCAST_BYTES, keep = -1, exact_dedup.BROADCAST_BYTES
     try:
         assert sorted(map(str, exact_dedup.duplicate_groups(odd, digest_all=True).drop("text_sha256").collect())) == sorted(str(r) for r in spark.createDataFrame(got).select("doc_id", "keep_id", "group_size", "kept").collect())
     finally:
-        exact_dedup.BROADCAST_KEYS = keep
+        exact_dedup.BROADCAST_BYTES = keep
 
 
 def shingles(text):
@@ -200,18 +200,18 @@ def test_decontamination(spark, items):
     docs = table(spark, texts)
     got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontamination.contaminations(docs, items).collect()}
     assert got == want and len(want) > 20
-    decontamination.LITERALS, keep = 1, decontamination.LITERALS
-    try:  # the way for benchmarks too large for the scan
+    decontamination.ITEM_BYTES, keep = 700, decontamination.ITEM_BYTES
+    try:  # a benchmark that goes to the executors in slices
         assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontamination.contaminations(docs, items).collect()} == want
     finally:
-        decontamination.LITERALS = keep
+        decontamination.ITEM_BYTES = keep
     assert {r.doc_id for r in decontamination.drop_contaminated(docs, items).collect()} == set(range(81)) - {d for d, _ in want}
 
 
-@pytest.mark.parametrize("literals", [20_000, 1])
-def test_decontamination_of_swapped_parts(spark, monkeypatch, literals):
+@pytest.mark.parametrize("together", [200_000, 300])
+def test_decontamination_of_swapped_parts(spark, monkeypatch, together):
     """No shared shingle of the best window stands at its own place in the item; whole, cut at an end, and by brute force."""
-    monkeypatch.setattr(decontamination, "LITERALS", literals)
+    monkeypatch.setattr(decontamination, "TOGETHER", together)
     bench = {k: prose(n, 700 + k).split() for k, n in enumerate((40, 59, 33, 90))}
     texts = []
     for k, w in bench.items():
@@ -267,11 +267,12 @@ def test_near_duplicates(spark, small):
             if both and 100 * both >= 75 * len(sets[i] | sets[j]):
                 a, b = root(i), root(j)
                 parent[max(a, b)] = min(a, b)
-    near_dedup.SMALL, keep = small, near_dedup.SMALL
+    keep = near_dedup.SMALL, near_dedup.BLOCK, near_dedup.TOGETHER
+    near_dedup.SMALL, near_dedup.BLOCK, near_dedup.TOGETHER = small, max(3, small // 40), 40 * small
     try:
         got = near_dedup.near_duplicates(table(spark, texts)).orderBy("doc_id").collect()
     finally:
-        near_dedup.SMALL = keep
+        near_dedup.SMALL, near_dedup.BLOCK, near_dedup.TOGETHER = keep
     assert [(r.n_shingles, r.component_id, r.kept) for r in got] == [(len(s), root(k), root(k) == k) for k, s in enumerate(sets)]
 
 
@@ -354,3 +355,47 @@ def test_chunks(spark):
         assert texts[r.doc_id][r.start : r.end] in texts[r.doc_id ^ 1] and r.kept == (r.doc_id % 2 == 0)
     cut = {r.doc_id: r.text for r in chunk_dedup.cut_repeats(docs, found).collect()}
     assert all(cut[k] == texts[k] for k in range(0, 120, 2)) and all(len(cut[k]) < len(texts[k]) for k in range(1, 118, 2) if k in {r.doc_id for r in got})
+
+
+IDS = {"int": lambda k: k, "string": lambda k: None if k is None else f"d{k:03}"}
+
+
+@pytest.mark.parametrize("kind", IDS)
+def test_stages_tell_rows_by_id_and_text(spark, kind, items):
+    """Repeated and missing ids, ids of other types, and columns with the names that the operators might use themselves."""
+    of = IDS[kind]
+    t, x, y = prose(60, 11), prose(60, 12), prose(60, 13)
+    item = prose(20, 100)
+    names = "_id string, _sha string, _score double, _spans string, _digest string, _row int, _lost_id int, class string, `a.b` int"
+    frame = lambda data: spark.createDataFrame([(of(k), v, "i", "s", 0.5, "p", "d", 1, 2, "c", n) for n, (k, v) in enumerate(data)], f"doc_id {kind}, text string, {names}")
+    left = lambda df: sorted((str(r.doc_id), r.text or "") for r in df.collect())
+    said = lambda data: sorted((str(of(k)), v or "") for k, v in data)
+
+    rows = [(1, t), (2, t), (1, x), (None, y), (None, t), (4, ""), (5, None), (2, t), (6, y + " more")]
+    made = frame(rows)
+    got = exact_dedup.drop_duplicates(made)
+    assert got.columns == made.columns and left(got) == said([(2, t), (1, x), (None, y), (5, None), (6, y + " more")])
+
+    rows = [(3, t), (5, t + " more"), (5, x), (None, t), (None, y), (None, y), (7, ""), (7, None), (9, x), (3, t), (8, "a b"), (10, "A  B")]
+    made = frame(rows)
+    got = near_dedup.drop_near_duplicates(made)
+    assert got.columns == made.columns and left(got) == said([(3, t), (5, x), (None, y), (7, ""), (7, None), (8, "a b")])
+    told = near_dedup.near_duplicates(made).collect()
+    assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in told) == sorted((str(of(a)), str(of(b)), c) for a, b, c in [
+        (3, 3, True), (3, 3, True), (5, 3, False), (5, 5, True), (None, 3, False), (None, None, True), (None, None, True), (7, 7, True), (7, 7, True), (9, 5, False), (8, 8, True), (10, 8, False)])
+
+    rows = [(5, prose(9, 1) + " " + item), (5, x), (6, y), (None, item), (None, t), (7, None)]
+    made = frame(rows)
+    got = decontamination.drop_contaminated(made, items)
+    assert got.columns == made.columns and left(got) == said([(5, x), (6, y), (None, t), (7, None)])
+    for stage in (exact_dedup.drop_duplicates, near_dedup.drop_near_duplicates, lambda d: decontamination.drop_contaminated(d, items)):
+        assert stage(made.limit(0)).columns == made.columns and stage(made.limit(0)).count() == 0
+
+
+def test_near_duplicates_of_long_texts(spark, monkeypatch):
+    """Sets beyond the bytes that are compared together."""
+    monkeypatch.setattr(near_dedup, "TOGETHER", 20_000)
+    base = prose(6000, 77).split()
+    texts = [" ".join(base), " ".join(base[:5500]), " ".join(base[300:]), prose(6000, 78), " ".join(base[:100])]
+    got = near_dedup.near_duplicates(table(spark, texts)).orderBy("doc_id").collect()
+    assert [r.component_id for r in got] == [0, 0, 0, 3, 4]

@@ -1,136 +1,301 @@
-"""Benchmark decontamination with SimHash windows. Built-in functions only.
+"""Benchmark decontamination with SimHash windows.
 
-A document is compared in windows of as many words as a benchmark item has, at every start. A window that covers
-too few shingles of an item to reach the similarity is passed over; all others get a 64-bit SimHash. Fingerprints
-are looked up by 25 blocks of bits: two that differ in at most 24 bits agree on a block, so none within the
-radius is missed. What is found is compared exactly, as bags of shingles: each counts as often as it occurs.
+Every window of a document is fingerprinted, whatever it holds: windows have an item's number of words, rounded
+down to a multiple of four so that one of the item's own phases falls on the grid of their starts. A fingerprint has 64
+bits, each the majority of a bit of the window's word hashes. Fingerprints are looked up by four blocks of 16
+bits; items stand in the index under every block value within two bits of theirs, so that all fingerprints
+within 11 bits are found. What is found is verified exactly: bags of five-word shingles, each counting as
+often as it occurs, of item-sized windows at every start near by.
+
+The work is done in Arrow batches: the same windows with SQL functions only took more than the CPU time allowed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from vicinage.llm.tables import materialize, text_of
+from vicinage.llm.tables import leave_out_texts, materialize, text_of
 
 SHINGLE = 5
 SIMILARITY = 0.75
-RADIUS = 24
-#: Widths of the blocks of a fingerprint: one more than the radius.
-WIDTHS = [3] * 14 + [2] * 11
-#: Item shingles up to this number are tested inside the scan; more of them are joined.
-LITERALS = 20_000
+#: Words from one window's start to the next, and the step of window sizes.
+GRID = 4
+#: Words of the largest windows; longer items are looked up by pieces of this size.
+LARGEST = 240
+#: Items of fewer words are looked up by single shingles at every start: the SimHash of one shingle is its hash.
+SHORTEST = 11
+#: Blocks of 16 bits of a fingerprint, and how many bits of a block may differ.
+BLOCKS, NEAR = 4, 2
+#: By the pigeonhole principle no fingerprint within this distance is missed.
+RADIUS = BLOCKS * (NEAR + 1) - 1
+#: Words of text that are fingerprinted together, and bytes of items that are sent to the executors at a time.
+TOGETHER, ITEM_BYTES = 200_000, 8 << 20
+
+_MASKS = np.array([m for m in range(1 << 16) if m.bit_count() <= NEAR], np.uint16)
+_MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """64-bit hashes of the lower-case words between white space (blank and \\x09 to \\x0D)."""
+    words = text.lower().encode().split()
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def runs(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of `width` words."""
+    n = max(0, len(h) - width + 1)
+    out = np.full(n, width, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(width):
+            out = (out ^ (h[k : k + n] ^ (h[k : k + n] >> np.uint64(29))) * _MIX[k]) * _MIX[0]
+            out ^= out >> np.uint64(32)
+    return out
 
-_BLOCKS = ", ".join(f"struct({i} AS no, {sum(WIDTHS[:i])} AS low, {(1 << w) - 1}L AS mask)" for i, w in enumerate(WIDTHS))
-_SIMHASH = """aggregate(sequence(0, 63), 0L, (bits, b) -> bits | shiftleft(
-    IF(2 * aggregate({0}, 0, (n, h) -> n + CAST(shiftright(h, b) & 1L AS int)) > size({0}), 1L, 0L), b))"""
-#: A bag as a set: the second of two equal shingles is told from the first.
-_BAG = "transform({0}, (h, i) -> xxhash64(h, size(filter(slice({0}, 1, i), g -> g = h))))"
 
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each value is one of the known ones, which are sorted and not none."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
-def _starts(need: str) -> str:
-    """Starts of windows that cover at least `need` of the places _p; the place at index a is the first that they cover."""
-    reach = f"get(_p, a + {need} - 1) - n + 5"
-    return f"""IF(size(_p) < {need}, CAST(array() AS array<int>), flatten(transform(
-    filter(sequence(0, size(_p) - {need}), a -> {reach} <= get(_p, a)), a -> sequence(greatest({reach}, get(_p, a - 1) + 1), get(_p, a)))))"""
 
+def simhash(h: np.ndarray) -> int:
+    """The fingerprint of a bag of word hashes."""
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0)
+    return int(np.packbits(2 * bits > len(h)).view(np.uint64)[0])
 
-#: Of two bags of m shingles 6/7 must be shared for a similarity of 0.75. A window cut by an end of the document may do with 3/4 of m.
-_STARTS = f"""concat(filter({_starts("int((6 * (n - 4) + 6) div 7)")}, s -> s BETWEEN 0 AND _len - n + 4),
-    filter({_starts("int((3 * (n - 4) + 3) div 4)")}, s -> NOT s BETWEEN 0 AND _len - n + 4))"""
 
+def piece_size(n: int) -> int:
+    """Words of the windows in which an item of n words is looked up."""
+    return min(LARGEST, GRID * ((n - GRID + 1) // GRID))
+
+
+class Index:
+    """Items and where their pieces stand: by window size and block, a list of pieces for each of 65,536 values."""
+
+    def __init__(self, items: list[tuple]):
+        self.items = [(key, np.frombuffer(h, np.uint64)) for key, h in items]
+        pieces: dict[int, list[tuple]] = {}
+        self.short: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        self.bags, shingles = [], []
+        for k, (_, h) in enumerate(self.items):
+            n = len(h)
+            own = runs(h, min(SHINGLE, n))
+            self.bags.append(Counter(own.tolist()))
+            shingles.append(own)
+            if n < SHORTEST:
+                for p, value in enumerate(own.tolist()):
+                    self.short.setdefault(min(SHINGLE, n), {}).setdefault(value, []).append((k, p))
+            else:
+                size = piece_size(n)
+                for p in range(n - size + 1):
+                    if p % LARGEST < 2 * GRID:  # all phases, in each stretch of a long item
+                        pieces.setdefault(size, []).append((simhash(h[p : p + size]), k, p))
+        self.shingles = np.unique(np.concatenate(shingles)) if shingles else np.zeros(0, np.uint64)
+        self.sizes: dict[int, tuple] = {}
+        for size, rows in sorted(pieces.items()):
+            fps = np.array([r[0] for r in rows], np.uint64)
+            tables = []
+            for block in range(BLOCKS):
+                values = (fps >> np.uint64(16 * block)).astype(np.uint16)
+                every = (values[:, None] ^ _MASKS[None, :]).ravel()
+                order = np.argsort(every, kind="stable")
+                begin = np.zeros((1 << 16) + 1, np.int32)
+                np.cumsum(np.bincount(every, minlength=1 << 16), out=begin[1:])
+                tables.append((begin, (order // len(_MASKS)).astype(np.int32)))
+            self.sizes[size] = fps, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), tables
+
+
+def window_fingerprints(hashes: list[np.ndarray], sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(size, text, start, fingerprint) of all windows of texts of word hashes, at every start on the grid.
+
+    A window may be short of up to a quarter of its words at a text's ends, where start is negative or the end beyond the text.
+    """
+    spare = max(sizes) // 4 // GRID + 1
+    blocks = np.array([-(-len(h) // GRID) + 2 * spare for h in hashes])
+    first = np.concatenate([[0], np.cumsum(blocks)])
+    bits = np.zeros((first[-1] * GRID, 64), np.uint8)
+    there = np.zeros(first[-1] * GRID, np.uint8)
+    for f, h in zip(first[:-1], hashes):
+        at = (f + spare) * GRID
+        bits[at : at + len(h)] = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
+        there[at : at + len(h)] = 1
+    owner = np.repeat(np.arange(len(hashes)), blocks)
+    totals = np.zeros((first[-1] + 1, 64), np.int16)  # running totals; they wrap, their differences don't
+    np.cumsum(bits.reshape(-1, GRID, 64).sum(1, dtype=np.int16), axis=0, dtype=np.int16, out=totals[1:])
+    words = np.concatenate([[0], np.cumsum(there.reshape(-1, GRID).sum(1, dtype=np.int64))])
+    for size in sizes:
+        q = size // GRID
+        begin = np.flatnonzero((owner[: len(owner) - q + 1] == owner[q - 1 :]) & (4 * (words[q:] - words[:-q]) >= 3 * size)) if len(owner) >= q else np.zeros(0, np.int64)
+        for at in range(0, len(begin), 20_000):
+            b = begin[at : at + 20_000]
+            n = (words[b + q] - words[b]).astype(np.int16)
+            fps = np.packbits(2 * (totals[b + q] - totals[b]) > n[:, None], axis=1).view(np.uint64)[:, 0]
+            yield size, owner[b], (b - first[owner[b]] - spare) * GRID, fps
 
-def words_of(text: Column) -> Column:
-    """Lower-case words between white space; none for an empty text."""
-    trimmed = F.btrim(F.lower(text), F.lit(" \t\n\x0b\x0c\r"))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
 
+def candidates(hashes: list[np.ndarray], index: Index) -> dict[tuple[int, int], dict[int, int]]:
+    """{(text, item): {place where the item would begin: distance of the fingerprints}} of all texts."""
+    found: dict[tuple[int, int], dict[int, int]] = {}
 
-def _hash_at(width: int) -> str:
-    return "xxhash64(" + ", ".join(f"get(_words, i + {k})" for k in range(width)) + ")"
+    def add(text: int, item: int, at: int, distance: int) -> None:
+        places = found.setdefault((text, item), {})
+        places[at] = min(distance, places.get(at, 64))
 
+    if index.sizes:
+        # What verification asks for at least, counted for all texts at once: shingles that some item has.
+        known = [np.concatenate([[0], np.cumsum(among(runs(h, SHINGLE), index.shingles))]) for h in hashes]
+        lengths = np.array([len(k) - 1 for k in known])
+        first = np.concatenate([[0], np.cumsum(lengths + 1)])
+        known = np.concatenate(known) if known else np.zeros(0, np.int64)
+        for size, text, start, fps in window_fingerprints(hashes, list(index.sizes)):
+            piece_fps, item, offset, tables = index.sizes[size]
+            for block, (begin, pieces) in enumerate(tables):
+                value = (fps >> np.uint64(16 * block)).astype(np.uint16).astype(np.int64)
+                number = begin[value + 1] - begin[value]
+                w = np.repeat(np.flatnonzero(number), number[number > 0])
+                nth = np.arange(len(w)) - np.repeat(np.cumsum(number[number > 0]) - number[number > 0], number[number > 0])
+                p = pieces[begin[value[w]] + nth]
+                distance = np.bitwise_count(fps[w] ^ piece_fps[p])
+                near = distance <= RADIUS
+                w, p, distance = w[near], p[near], distance[near]
+                low = np.clip(start[w], 0, lengths[text[w]])
+                high = np.clip(start[w] + size - SHINGLE + 1, 0, lengths[text[w]])
+                shared = known[first[text[w]] + high] - known[first[text[w]] + low]
+                enough = 2 * shared >= high - low  # the similarity asked for needs 3/4 of an item's shingles
+                for k in np.flatnonzero(enough).tolist():
+                    add(int(text[w[k]]), int(item[p[k]]), int(start[w[k]] - offset[p[k]]), int(distance[k]))
+    for width, table in index.short.items():
+        keys = np.array(sorted(table), np.uint64)
+        for t, h in enumerate(hashes):
+            own = runs(h, width)
+            for at in np.flatnonzero(among(own, keys)).tolist():
+                for item, p in table[int(own[at])]:
+                    add(t, item, at - p, 0)
+    return found
 
-def _shingles(width: int = SHINGLE) -> Column:
-    return F.expr(f"IF(size(_words) < {width}, CAST(array() AS array<bigint>), transform(sequence(0, size(_words) - {width}), i -> {_hash_at(width)}))")
 
+def best_window(h: np.ndarray, item: np.ndarray, bag: Counter, places: dict[int, int]) -> tuple[float, int, int] | None:
+    """(similarity, first word, words) of the best item-sized window near the places, the first among equals; None below SIMILARITY."""
+    n = len(item)
+    if n < SHINGLE:
+        return 1.0, min(places), n
+    own = runs(h, SHINGLE)
+    m, reach, best = n - SHINGLE + 1, n // 8 + 8, None
+    starts = sorted({s for p in places for s in range(max(p - reach, 1 - m), min(p + reach + 1, len(own)))})
+    done = set()
+    for s in starts:
+        cut = max(s, 0), min(s + m, len(own))
+        if cut in done or cut[0] >= cut[1]:
+            continue
+        done.add(cut)
+        both = sum(min(c, bag[x]) for x, c in Counter(own[cut[0] : cut[1]].tolist()).items() if x in bag)
+        similarity = both / (cut[1] - cut[0] + m - both)
+        if similarity >= SIMILARITY and (best is None or similarity > best[0]):
+            best = similarity, cut[0], cut[1] - cut[0] + SHINGLE - 1
+    return best
 
-def _items(benchmark: DataFrame) -> DataFrame:
-    """item_id, n (words), bag, fingerprint. Items of fewer than five words have one shingle; empty ones are left out."""
-    items = benchmark.select("item_id", words_of(text_of()).alias("_words")).where("size(_words) > 0")
-    whole = F.expr("array(" + _hash_at(SHINGLE).replace("i + ", "") + ")")
-    items = items.select("item_id", F.size("_words").alias("n"), F.when(F.size("_words") < SHINGLE, whole).otherwise(_shingles()).alias("_h"))
-    return items.select("item_id", "n", "_h", F.expr(_SIMHASH.format("_h")).alias("_fp"), F.expr(_BAG.format("_h")).alias("_bag"))
+
+def _in_parts(hashes: np.ndarray, index: Index) -> list[tuple[int, np.ndarray]]:
+    """A long text in parts that overlap by two largest windows, so that memory is bounded; (first word, hashes)."""
+    if len(hashes) <= TOGETHER:
+        return [(0, hashes)]
+    overlap = 2 * max(index.sizes, default=SHORTEST)
+    return [(at, hashes[at : at + TOGETHER]) for at in range(0, len(hashes) - overlap, max(1, TOGETHER - overlap))]
+
+
+def _matched(rows: DataFrame, items: list[tuple]) -> DataFrame:
+    """doc_id, number of the item, similarity, hamming, start_word, n_words, text_sha256 for texts that hold one of the items."""
+    schema = StructType([rows.schema["doc_id"]]).add("_item", "long").add("similarity", "double").add("hamming", "integer").add("start_word", "long").add("n_words", "long").add("text_sha256", "string")
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(items)
+        for batch in batches:
+            ids, texts = batch["doc_id"], batch["text"]
+            out: list[list] = [[] for _ in range(7)]
+
+            def close(group: list[tuple[int, int, np.ndarray]]) -> dict:
+                """Candidates by (row, item), with places in the whole text."""
+                found = {}
+                for (t, item), places in candidates([h for _, _, h in group], index).items():
+                    row, at, _ = group[t]
+                    found.setdefault((row, item), {}).update({p + at: d for p, d in places.items()})
+                return found
+
+            group, size, hashes, found = [], 0, {}, {}
+
+            def settle():
+                for (row, item), places in sorted(found.items()):
+                    key, words = index.items[item]
+                    best = best_window(hashes[row], words, index.bags[item], places)
+                    if best:
+                        sha = hashlib.sha256(texts[row].as_py().encode()).hexdigest()
+                        for column, value in zip(out, (row, key, best[0], min(places.values()), best[1], best[2], sha)):
+                            column.append(value)
+                found.clear()
+                hashes.clear()
+
+            for row in range(batch.num_rows):
+                hashes[row] = word_hashes(texts[row].as_py())
+                for at, part in _in_parts(hashes[row], index):
+                    group.append((row, at, part))
+                    size += len(part)
+                    if size >= TOGETHER:
+                        for k, places in close(group).items():
+                            found.setdefault(k, {}).update(places)
+                        group, size = [], 0
+                if not group:
+                    settle()
+            for k, places in close(group).items():
+                found.setdefault(k, {}).update(places)
+            settle()
+            at, *rest = out
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(rest, (pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.int64(), pa.string())))], schema.fieldNames())
+
+    return rows.mapInArrow(match, schema)
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents that hold an item: doc_id, item_id, similarity, hamming, start_word, n_words, text_sha256.
 
     One row for each row of docs and item with a window of similarity 0.75 or more: the best window, the first
-    among equals. Similarity is that of bags of five-word shingles, the shared part over the whole. An
-    item of fewer words must occur word for word. Windows at a document's ends may be shorter. Null texts
-    are empty and match nothing, as do items without words; repeated rows and null ids give rows of their own.
+    among equals, and the smallest distance of a fingerprint. Similarity is that of bags of five-word shingles,
+    the shared part over the whole. An item of fewer words must occur word for word. Windows at a document's
+    ends may be shorter. Null texts are empty and match nothing, as do items without words; repeated rows and null
+    ids give rows of their own. Ids may be of any type. Empty tables give no rows. Items go to the executors in
+    slices of ITEM_BYTES, for each of which the documents are read once.
     """
-    items = materialize(_items(benchmark), "decontam-items")
-    shingles = materialize(items.select("item_id", "n", F.explode("_h").alias("_hash")).distinct(), "decontam-shingles")
-    sizes = [r["n"] for r in items.where(F.col("n") < SHINGLE).select("n").distinct().collect()]  # at most four
-    rows = docs.select("doc_id", text_of().alias("_text")).select("doc_id", "_text", words_of(F.col("_text")).alias("_words"))
-
-    hashes = [shingles.where(F.col("n") >= SHINGLE if w == SHINGLE else F.col("n") == w).select("_hash").distinct() for w in [SHINGLE, *sizes]]
-    known = [h.limit(LITERALS + 1).collect() for h in hashes]
-    if all(len(k) <= LITERALS for k in known):
-        # For each width, the places of shingles that an item has.
-        found = [
-            F.expr(f"transform(filter(sequence(0, size(_words) - {w}), i -> {_hash_at(w)} IN ({', '.join(f'{r[0]}L' if r[0] > -(2**63) else f'(-{2**63 - 1}L - 1L)' for r in k)})), i -> struct(i AS at, {_hash_at(w)} AS hash, {w} AS width))")
-            for w, k in zip([SHINGLE, *sizes], known) if k
-        ]
-        found = [F.when(F.size("_words") >= w, f).otherwise(F.expr("CAST(array() AS array<struct<at:int,hash:bigint,width:int>>)")) for w, f in zip([w for w, k in zip([SHINGLE, *sizes], known) if k], found)]
-        hits = F.concat(*found) if found else F.expr("CAST(array() AS array<struct<at:int,hash:bigint,width:int>>)")
-        # The row number, which isn't deterministic, keeps the filter from being pushed below and split words from being made for every place.
-        near = rows.select("doc_id", "_text", "_words", hits.alias("_hits"), F.monotonically_increasing_id().alias("_row")).where("size(_hits) > 0")
-        near = near.select("_row", "doc_id", F.sha2("_text", 256).alias("text_sha256"), _shingles().alias("_h"), "_hits")
-        near = materialize(near, "decontam-near")
-        places = near.select("_row", F.size("_h").alias("_len"), F.inline("_hits").alias("_at_word", "_hash", "_width"))
-    else:
-        near = rows.select("doc_id", F.sha2("_text", 256).alias("text_sha256"), *[_shingles(w).alias(f"_h{w}") for w in [SHINGLE, *sizes]])
-        near = materialize(near.withColumn("_row", F.monotonically_increasing_id()), "decontam-all")
-        places = None
-        for w, h in zip([SHINGLE, *sizes], hashes):
-            part = near.select("_row", F.size(f"_h{SHINGLE}").alias("_len"), F.posexplode(f"_h{w}").alias("_at_word", "_hash")).join(h, "_hash").select("_row", "_len", "_at_word", "_hash", F.lit(w).alias("_width"))
-            places = part if places is None else places.unionByName(part)
-        places = materialize(places, "decontam-places")
-        near = near.withColumnRenamed(f"_h{SHINGLE}", "_h")
-
-    held = places.join(shingles, "_hash").where((F.col("_width") == SHINGLE) & (F.col("n") >= SHINGLE) | (F.col("_width") == F.col("n")))
-    held = materialize(held.select("_row", "_len", "item_id", "n", "_at_word"), "decontam-held")
-
-    # A short item is one shingle: where it occurs, the similarity is 1.
-    short = held.where(F.col("n") < SHINGLE).select("_row", "item_id", F.lit(1.0).alias("similarity"), F.lit(0).alias("hamming"), F.col("_at_word").alias("start_word"), F.col("n").alias("n_words"))
-
-    windows = held.where(F.col("n") >= SHINGLE).groupBy("_row", "_len", "item_id", "n").agg(F.sort_array(F.collect_list("_at_word")).alias("_p"))
-    windows = windows.select("_row", "_len", "n", F.explode(F.expr(_STARTS)).alias("_start"))
-    windows = windows.select("_row", "n", F.greatest("_start", F.lit(0)).alias("_from"), F.expr("least(_start + n - 4, _len)").alias("_to")).distinct().join(near.select("_row", "_h"), "_row")
-    windows = windows.withColumn("_w", F.expr("slice(_h, _from + 1, _to - _from)"))
-    windows = windows.select("_row", "n", F.col("_from").alias("start_word"), "_w", F.expr(_SIMHASH.format("_w")).alias("_wfp"))
-    windows = materialize(windows, "decontam-windows")
-    blocks = lambda fp: F.expr(f"transform(array({_BLOCKS}), b -> struct(b.no AS no, shiftright({fp}, b.low) & b.mask AS bits))")
-    left = windows.select("_row", "n", "start_word", "_w", "_wfp", F.inline(blocks("_wfp")).alias("_no", "_bits"))
-    right = items.where(F.col("n") >= SHINGLE).select("item_id", "n", "_fp", "_bag", F.inline(blocks("_fp")).alias("_no", "_bits"))
-    pairs = left.join(right, ["n", "_no", "_bits"]).withColumn("_xor", F.col("_wfp").bitwiseXOR(F.col("_fp")))
-    pairs = pairs.withColumn("hamming", F.bit_count("_xor")).where(F.col("hamming") <= RADIUS)
-    # A pair is found once: in the first block that it agrees on.
-    pairs = pairs.where(F.expr(f"array_position(transform(array({_BLOCKS}), b -> shiftright(_xor, b.low) & b.mask = 0), true) = _no + 1"))
-    pairs = pairs.withColumn("_shared", F.size(F.array_intersect(F.expr(_BAG.format("_w")), "_bag")))
-    pairs = pairs.withColumn("similarity", F.col("_shared") / (F.size("_w") + F.size("_bag") - F.col("_shared"))).where(F.col("similarity") >= SIMILARITY)
-    exact = pairs.select("_row", "item_id", "similarity", "hamming", "start_word", (F.size("_w") + SHINGLE - 1).alias("n_words"))
-
-    best = exact.unionByName(short).groupBy("_row", "item_id").agg(F.max_by(F.struct("similarity", "hamming", "start_word", "n_words"), F.struct("similarity", -F.col("start_word"))).alias("_b"))
-    return best.join(near.select("_row", "doc_id", "text_sha256"), "_row").select("doc_id", "item_id", "_b.similarity", "_b.hamming", F.col("_b.start_word").cast("long").alias("start_word"), F.col("_b.n_words").cast("long").alias("n_words"), "text_sha256")
+    rows = docs.select("doc_id", text_of().alias("text"))
+
+    @F.pandas_udf("binary")
+    def hashed(texts):
+        return texts.map(lambda t: word_hashes(t).tobytes())
+
+    items = benchmark.select("item_id", hashed(text_of()).alias("_h")).where("octet_length(_h) > 0").withColumn("_item", F.monotonically_increasing_id())
+    items = materialize(items, "decontam-items")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("_h") + 64), F.lit(0)).alias("n")).first()["n"]
+    slices = -(-size // ITEM_BYTES)
+    out = None
+    for n in range(slices):
+        own = items.where(F.pmod(F.xxhash64("_item"), F.lit(slices)) == n).select("_item", "_h").orderBy("_item").collect()  # ITEM_BYTES on average
+        part = _matched(rows, [(r["_item"], bytes(r["_h"])) for r in own])
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = _matched(rows.limit(0), [])
+    return out.join(F.broadcast(items.select("_item", "item_id")) if slices <= 1 else items.select("_item", "item_id"), "_item").select("doc_id", "item_id", "similarity", "hamming", "start_word", "n_words", "text_sha256")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that hold no item, with all their columns. Rows without an id are told by their text."""
-    found = materialize(contaminations(docs, benchmark), "decontam-result")
-    named = docs.where("doc_id IS NOT NULL").join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
-    nameless = docs.where("doc_id IS NULL").withColumn("_sha", F.sha2(text_of(), 256))
-    lost = found.where("doc_id IS NULL").select(F.col("text_sha256").alias("_sha")).distinct()
-    return named.unionByName(nameless.join(lost, "_sha", "left_anti").select(docs.columns))
+    """The rows of docs that hold no item, with all their columns, whatever these are called.
+
+    Rows are told by their text, so that another text of the same id stays and rows without an id are judged like others.
+    """
+    found = materialize(contaminations(docs, benchmark).select("text_sha256").distinct(), "decontam-result")
+    return leave_out_texts(docs, found)

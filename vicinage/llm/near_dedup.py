@@ -8,6 +8,7 @@ enter the trees: equal sets are one class from the start.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from vicinage.llm.tables import materialize, text_of, without
+from vicinage.llm.tables import fresh, leave_out, materialize, small, text_of
 
 SHINGLE = 5
 #: Linked when 100 * shared >= 75 * united.
@@ -36,8 +37,10 @@ FIRST = 2
 PIVOTS = 8
 #: Agreeing tokens of a likely pair: at similarity 0.75, 36 of 48 are expected, and 3 more or less.
 LIKELY = 21
-#: Sets that are wanted again are found by a broadcast of up to this many ids, and by a shuffle beyond.
-BROADCAST_IDS = 2_000_000
+#: Members of a node are dealt to blocks of about this many, and compared a pair of blocks at a time.
+BLOCK = 256
+#: Bytes of full sets that are compared together, but for a pair of sets that are larger themselves.
+TOGETHER = 32 << 20
 
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _ODD = (np.random.default_rng(11).integers(0, 2**63, TOKENS, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -74,22 +77,24 @@ def minwise(hashes: np.ndarray) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, full: bool = False) -> DataFrame:
-    """doc_id, n_shingles, class (hex digest of the set, null when empty), and tokens or, if full, hashes."""
+    """doc_id, n_shingles, class (digest of the set, null when empty), sha (SHA-256 of the text), and tokens or, if full, hashes."""
     rows = docs.select("doc_id", text_of().alias("text"))
-    schema = StructType([rows.schema["doc_id"]]).add("n_shingles", "long").add("class", "string").add("hashes" if full else "tokens", "binary")
+    schema = StructType([rows.schema["doc_id"]]).add("n_shingles", "long").add("class", "binary").add("sha", "binary").add("hashes" if full else "tokens", "binary")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sizes, classes, last = [], [], []
+                sizes, classes, digests, last = [], [], [], []
                 for text in part["text"]:
-                    s = shingle_set(text.as_py())
+                    text = text.as_py()
+                    s = shingle_set(text)
                     data = s.tobytes()
                     sizes.append(len(s))
-                    classes.append(xxhash.xxh3_128_hexdigest(data) if len(s) else None)
+                    classes.append(xxhash.xxh3_128_digest(data) if len(s) else None)
+                    digests.append(None if full else hashlib.sha256(text.encode()).digest())
                     last.append((data if full else minwise(s).tobytes()) if len(s) else None)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(sizes, pa.int64()), pa.array(classes, pa.string()), pa.array(last, pa.binary())], schema.fieldNames())
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in (classes, digests, last))], schema.fieldNames())
 
     return rows.mapInArrow(made, schema)
 
@@ -164,38 +169,69 @@ def linked_pairs(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
+def sketch_of(tokens: np.ndarray) -> bytes:
+    """A byte of each token, enough to count agreements: an unequal token agrees by mistake in one of 256 cases."""
+    return tokens.astype(np.uint8).tobytes()
+
+
+def _blocked(groups: DataFrame) -> DataFrame:
+    """Rows (node, part, id, _m) dealt to pairs of blocks: (node, part, _i, _j, id, _b). _m is the number of members of the group."""
+    n = F.greatest(F.lit(1), F.ceil(F.col("_m") / BLOCK).cast("int"))
+    dealt = groups.withColumn("_k", n).withColumn("_b", F.pmod(F.xxhash64("id", "part"), F.col("_k")).cast("int"))
+    dealt = dealt.select("node", "part", "id", "_b", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_o"))
+    return dealt.select("node", "part", "id", "_b", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"))
+
+
 def _sifted(groups: DataFrame) -> DataFrame:
-    """Rows (node, part, id, tokens, component) without those that have no likely partner in their group: (node, id).
+    """Rows (node, part, _i, _j, _b, id, sketch, n, component) without those that have no likely partner in their pair of blocks: (node, id).
 
-    Partners are of different components. A pair is likely when at least LIKELY of its tokens agree; at similarity 0.75 fewer do in one pair of a
-    million. What likely pairs connect becomes a node named by a hash of its members, so that the same
-    members found in several trees are one node.
+    Partners are of different components. A pair is likely when at least LIKELY of its tokens agree and the sizes of
+    its sets allow the similarity. What likely pairs connect becomes a node named by a hash of its
+    members, so that the same members found in several trees are one node; where its sets take more than TOGETHER
+    bytes, it becomes a node for each pair of its pieces.
     """
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, tokens, owners, nodes, out = None, [], [], [], [], []
+        now, ids, blocks, sketches, sizes, owners, nodes, out = None, [], [], [], [], [], [], []
 
-        def close():
+        def emit(members: list[int]) -> None:
+            nodes.extend([xxhash.xxh64_intdigest(np.array(members, np.int64).tobytes()) - (1 << 63)] * len(members))
+            out.extend(members)
+
+        def close() -> None:
             if len(set(owners)) < 2:
                 return
-            x = np.frombuffer(b"".join(tokens), np.uint32).reshape(-1, TOKENS)
+            x = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, TOKENS)
             agree = np.zeros((len(ids), len(ids)), np.uint8)
             for column in x.T:
                 agree += column[:, None] == column[None, :]
-            of = np.array(owners)
+            of, block, n = np.array(owners), np.array(blocks), np.array(sizes)
             near = (agree >= LIKELY) & (of[:, None] != of[None, :])
-            left = set(range(len(ids)))
+            near &= 100 * np.minimum(n[:, None], n[None, :]) >= PERCENT * np.maximum(n[:, None], n[None, :])
+            if now[2] != now[3]:
+                near &= block[:, None] != block[None, :]
+            left = set(np.flatnonzero(near.any(0)).tolist())
             while left:
                 reached, front = set(), {left.pop()}
                 while front:
                     reached |= front
                     front = set(np.flatnonzero(near[list(front)].any(0)).tolist()) & left
                     left -= front
-                members = sorted({ids[i] for i in reached})
-                if len(members) > 1:
-                    name = xxhash.xxh64_intdigest(np.array(members, np.int64).tobytes()) - (1 << 63)
-                    nodes.extend([name] * len(members))
-                    out.extend(members)
+                at = sorted(reached, key=lambda i: (sizes[i], ids[i]))
+                pieces, size = [[]], 0
+                for i in at:
+                    if pieces[-1] and size + 8 * sizes[i] > TOGETHER // 2:
+                        pieces.append([])
+                        size = 0
+                    pieces[-1].append(i)
+                    size += 8 * sizes[i]
+                if len(pieces) == 1:
+                    emit(sorted(ids[i] for i in at))
+                    continue
+                for p, one in enumerate(pieces):
+                    for two in pieces[p:]:
+                        if near[np.ix_(one, two)].any():
+                            emit(sorted({ids[i] for i in (*one, *two)}))
 
         def batch():
             made = pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.int64())], ["node", "id"])
@@ -204,21 +240,21 @@ def _sifted(groups: DataFrame) -> DataFrame:
             return made
 
         for b in batches:
-            for node, part, i, t, c in zip(*(b[c].to_pylist() for c in ("node", "part", "id", "tokens", "component"))):
-                if (node, part) != now:
+            for key, i, block, t, n, c in zip(zip(*(b[c].to_pylist() for c in by)), *(b[c].to_pylist() for c in ("id", "_b", "sketch", "n", "component"))):
+                if key != now:
                     close()
-                    now = (node, part)
-                    for kept in (ids, tokens, owners):
+                    now = key
+                    for kept in (ids, blocks, sketches, sizes, owners):
                         kept.clear()
-                ids.append(i)
-                tokens.append(t)
-                owners.append(c)
+                for kept, value in zip((ids, blocks, sketches, sizes, owners), (i, block, t, n, c)):
+                    kept.append(value)
             yield batch()
         close()
         yield batch()
 
-    order = ["node", "part", "id"]
-    return groups.select(*order, "tokens", "component").repartition("node", "part").sortWithinPartitions(*order).mapInArrow(sift, "node long, id long").distinct()
+    by = ["node", "part", "_i", "_j"]
+    rows = groups.select(*by, "id", "_b", "sketch", "n", "component").repartition(*by).sortWithinPartitions(*by, "id")
+    return rows.mapInArrow(sift, "node long, id long").distinct()
 
 
 def _compared(groups: DataFrame) -> DataFrame:
@@ -237,6 +273,8 @@ def _compared(groups: DataFrame) -> DataFrame:
                     if ids:
                         yield links()
                     now, ids, sets = node, [], []
+                if ids and ids[-1] == i:  # rows that repeat an id and a set
+                    continue
                 ids.append(i)
                 sets.append(np.frombuffer(h.as_py(), np.uint64))
         if ids:
@@ -275,55 +313,57 @@ def components(edges: DataFrame) -> DataFrame:
             return result.withColumnRenamed("to", "component")
 
 
-def _sets_for(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and hashes of the given ids, written."""
-    wanted = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, docs["doc_id"] == ids["id"], "left_semi")
-    return materialize(sets_of(wanted, full=True).select(F.col("doc_id").alias("id"), "hashes").where("hashes IS NOT NULL"), "near-sets")
-
+def _sets_for(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and hashes of the given classes, written. One row of docs is read for each; rows that share its id may give others, which are left out."""
+    wanted = materialize(classes.join(ids, "id").select("id", "class", F.col("low").alias("_low")), "near-wanted")
+    key = fresh(docs, "_low")[0]
+    rows = docs.join(small(wanted.select(F.col("_low").alias(key)).distinct()), F.col("doc_id").eqNullSafe(F.col(key)), "left_semi")
+    made = sets_of(rows, full=True).where("hashes IS NOT NULL").select("class", "hashes")
+    return materialize(made.join(small(wanted.select("id", "class")), "class").select("id", "hashes"), "near-sets")
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept (doc_id = component_id).
 
-    Words are lower-case and parted by white space; a document's set are its distinct five-word shingles,
-    of fewer words the one sequence, of no words (null and empty texts) nothing, linked with nothing. Links
-    are similarities of at least 0.75 on full sets; component_id is the smallest id that links lead to. Ids are
-    taken as unique: rows that repeat an id and text share a component. A row without an id keeps a null
-    component and is kept. An empty table gives no rows.
-    """
+def _members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n_shingles, class, sha) of docs, and (class, group, component_id) of every class that isn't alone; both written."""
     docs = docs.select("doc_id", "text")
     rows = materialize(sets_of(docs), "near-rows")
-    classes = rows.where("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("id"), F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("_n"))
-    classes = materialize(classes, "near-classes")
+    classes = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("low"), F.first("tokens").alias("tokens"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("_rows"))
+    # The number of a class is fixed by being written; a digest of its own would have to be compared in full.
+    classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()), "near-classes")
     embedded = classes.select("id", "tokens")
+    sketches = materialize(_sketched(classes), "near-sketches")
 
     nodes = materialize(_branches(embedded, range(FIRST)), "near-nodes")
-    links, level = None, 0
-    known = embedded.select("id", F.col("id").alias("component"))
+    links, sets, level = None, None, 0
+    known = None
     while True:
         tagged = nodes.join(known, "id", "left").withColumn("_c", F.coalesce("component", "id")) if level else nodes.withColumn("_c", F.col("id"))
         stats = tagged.groupBy("node").agg(F.count(F.lit(1)).alias("_n"), F.min("_c").alias("_low"), F.max("_c").alias("_high"), F.sum(F.shiftright(F.xxhash64("id"), 16)).alias("_sum"), F.bit_xor(F.xxhash64("id")).alias("_xor"))
         stats = materialize(stats.where("_low <> _high"), "near-stats")  # nodes of one row or one component are done
         # Nodes of the same members, as many pairs have in several trees, are compared once.
-        small = stats.where(F.col("_n") <= SMALL).groupBy("_n", "_sum", "_xor").agg(F.min("node").alias("node")).select("node")
-        leaves = nodes.join(small, "node").select("node", F.lit(0).cast("long").alias("part"), "id")
+        leaf = stats.where(F.col("_n") <= SMALL).groupBy("_n", "_sum", "_xor").agg(F.min("node").alias("node")).select("node", F.col("_n").alias("_m"))
+        leaves = nodes.join(leaf, "node").select("node", F.lit(0).cast("long").alias("part"), "id", "_m")
         large = stats.where(F.col("_n") > SMALL).groupBy("_n", "_sum", "_xor").agg(F.min("node").alias("node")).select("node", "_n")
         large = materialize(large, "near-large")
         more = not large.isEmpty()
+        leaves = _blocked(leaves)
         if more:
             inside = materialize(nodes.join(large, "node"), "near-inside")
-            ranked = F.pmod(F.xxhash64("node", "id"), F.lit(1 << 40))
-            pivots = inside.withColumn("_r", ranked).groupBy("node", "_n", F.pmod("_r", F.lit(PIVOTS)).alias("_slot")).agg(F.min_by("id", "_r").alias("id"))
-            parts = (F.col("_n") / SMALL).cast("long") + 1
-            spread = pivots.select("node", F.explode(F.sequence(F.lit(1).cast("long"), parts)).alias("part"), "id")
+            parts = (F.col("_n") / BLOCK).cast("long") + 1
+            one = lambda df: df.select("node", "part", F.lit(0).alias("_i"), F.lit(0).alias("_j"), F.lit(0).alias("_b"), "id")
             if level < DEEPEST:
+                ranked = F.pmod(F.xxhash64("node", "id"), F.lit(1 << 40))
+                pivots = inside.withColumn("_r", ranked).groupBy("node", "_n", F.pmod("_r", F.lit(PIVOTS)).alias("_slot")).agg(F.min_by("id", "_r").alias("id"))
+                spread = pivots.select("node", F.explode(F.sequence(F.lit(1).cast("long"), parts)).alias("part"), "id")
                 members = inside.select("node", (F.pmod(F.xxhash64("id", "node"), parts) + 1).alias("part"), "id")
                 members = members.join(pivots.select("node", "id"), ["node", "id"], "left_anti")
-                leaves = leaves.unionByName(spread).unionByName(members)
+                leaves = leaves.unionByName(one(spread)).unionByName(one(members))
             else:
-                leaves = leaves.unionByName(_all_against_rest(inside.join(known, "id", "left").withColumn("_c", F.coalesce("component", "id")), parts))
-        told = embedded.join(known, "id", "left").withColumn("component", F.coalesce("component", "id")) if level else embedded.withColumn("component", F.col("id"))
+                leaves = leaves.unionByName(one(_all_against_rest(inside.join(known, "id", "left").withColumn("_c", F.coalesce("component", "id")), parts)))
+        told = sketches.join(known, "id", "left").withColumn("component", F.coalesce("component", "id")) if level else sketches.withColumn("component", F.col("id"))
         leaves = materialize(_sifted(leaves.join(told, "id")), "near-leaves")
-        sets = _sets_for(docs, leaves.select("id").distinct())
+        new = leaves.select("id").distinct()
+        new = _sets_for(docs, classes, new if sets is None else new.join(sets.select("id"), "id", "left_anti"))
+        sets = new if sets is None else sets.unionByName(new)
         found = materialize(_compared(leaves.join(sets, "id")), "near-links")
         links = found if links is None else links.unionByName(found)
         known = components(links)
@@ -336,12 +376,39 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         nodes = materialize(nodes, "near-nodes")
         level += 1
 
-    joined = known
-    linked = classes.join(joined, "id", "left").where("_n > 1 OR component IS NOT NULL").select("class", F.coalesce("component", "id").alias("component"))
-    linked = materialize(linked, "near-class-components")
-    out = rows.select("doc_id", "n_shingles", "class").join(linked, "class", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    linked = classes.join(known, "id", "left").where("_rows > 1 OR component IS NOT NULL").select("class", "low", F.coalesce("component", "id").alias("group"))
+    linked = materialize(linked, "near-linked")
+    least = linked.groupBy("group").agg(F.min("low").alias("component_id"))
+    return rows.drop("tokens"), materialize(linked.join(least, "group").select("class", "group", "component_id"), "near-class-components")
+
+
+def _sketched(classes: DataFrame) -> DataFrame:
+    """id, sketch and n of each class."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                sketches = [sketch_of(np.frombuffer(t.as_py(), np.uint32)) for t in b["tokens"]]
+                yield pa.RecordBatch.from_arrays([b["id"], pa.array(sketches, pa.binary()), b["n"]], ["id", "sketch", "n"])
+
+    return classes.select("id", "tokens", "n").mapInArrow(made, "id long, sketch binary, n long")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, kept (doc_id = component_id).
+
+    Words are lower-case and parted by white space; a document's set are its distinct five-word shingles,
+    of fewer words the one sequence, of no words (null and empty texts) nothing, linked with nothing. Links
+    are similarities of at least 0.75 on full sets; component_id is the smallest id that links lead to. Ids may be of
+    any type that can be ordered. Rows that repeat an id are documents of their own with the same id. A row
+    without an id belongs to the component of its text: it isn't kept where that has an id, and is kept, with a
+    null component_id, where no row of it has one. An empty table gives no rows.
+    """
+    rows, linked = _members(docs)
+    # A class may hold a third of all rows: both sides are plain scans here, so that Spark may split the hot key.
+    out = rows.select("doc_id", "n_shingles", "class").join(linked.withColumn("_linked", F.lit(True)), "class", "left")
+    out = out.select("doc_id", "n_shingles", F.when(F.col("_linked"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def _all_against_rest(inside: DataFrame, parts) -> DataFrame:
@@ -361,6 +428,16 @@ def _all_against_rest(inside: DataFrame, parts) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs with the smallest id of their component, with all their columns; rows without an id stay."""
-    found = materialize(near_duplicates(docs), "near-result")
-    return without(docs, found.where("NOT kept").select("doc_id").distinct())
+    """One row of each component of near-duplicates, with all its columns, and all rows without words.
+
+    The row with the smallest id stays, a null id being largest and ties going to the smaller SHA-256 of the text;
+    of rows that repeat id and text one stays. Rows are told by id and text, so another text of the same id
+    is judged by itself. Columns may have any names. An empty table stays empty.
+    """
+    rows, linked = _members(docs)
+    pairs = rows.where("class IS NOT NULL").join(linked, "class").groupBy("group", "doc_id", "sha").agg(F.count(F.lit(1)).alias("_n"))
+    pairs = materialize(pairs, "near-pairs")
+    stays = pairs.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "sha")).alias("_keep"))
+    told = pairs.join(materialize(stays, "near-stays"), "group").select("doc_id", F.lower(F.hex("sha")).alias("sha"), "_n", (F.col("doc_id").eqNullSafe(F.col("_keep.doc_id")) & (F.col("sha") == F.col("_keep.sha"))).alias("_stays"))
+    told = materialize(told, "near-told")
+    return leave_out(docs, told.where("NOT _stays").select("doc_id", "sha"), told.where("_stays AND _n > 1").select("doc_id", "sha"))

@@ -179,6 +179,10 @@ def score_quality(docs: DataFrame, labels: DataFrame | None = None, model: Atten
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, model: Attention | None = None) -> DataFrame:
-    """The rows of docs that aren't rejected, with all their columns."""
+    """The rows of docs that aren't rejected, with all their columns, whatever these are called.
+
+    Each row is judged by its own text (null counts as empty), so ids may repeat, be missing or be of any type.
+    An empty table stays empty.
+    """
     model = model or fit_on(docs, labels)
-    return docs.withColumn("_score", quality_score(text_of(), model)).where(F.col("_score") >= THRESHOLD).drop("_score")
+    return docs.where(quality_score(text_of(), model) >= THRESHOLD)

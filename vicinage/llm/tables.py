@@ -1,4 +1,4 @@
-"""Reading inputs and writing intermediate tables to the folder that all executors share."""
+"""Reading inputs, writing intermediate tables to the folder that all executors share, and taking rows out of a table."""
 
 from __future__ import annotations
 
@@ -6,8 +6,9 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 
 def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -40,24 +41,80 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Ids are broadcast up to this many bytes as text; a larger list meets the rows in a shuffle join.
-BROADCAST_ID_BYTES = 32 << 20
+#: Tables are broadcast up to this many bytes, as measured; a larger one meets the rows in a shuffle join.
+BROADCAST_BYTES = 32 << 20
 
 
-def without(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of df whose key isn't among ids (a table of that column, read from storage); null keys stay.
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of a table that is read from storage: lengths of its texts and lists, eight for any other field, and some for each row."""
+    sizes = []
+    for f in df.schema:
+        if isinstance(f.dataType, (StringType, BinaryType)):
+            sizes.append(F.octet_length(f.name))
+        elif f.dataType.typeName() == "array":
+            sizes.append(8 * F.size(f.name))
+        else:
+            sizes.append(F.lit(8))
+    total = F.lit(16)
+    for s in sizes:
+        total = total + F.coalesce(s, F.lit(0))
+    return df.agg(F.coalesce(F.sum(total.cast("long")), F.lit(0)).alias("n")).first()["n"]
 
-    A measured list of bounded size is broadcast, so that texts stay where they are; a larger one is joined by a shuffle.
-    """
-    measured = ids.agg(F.coalesce(F.sum(F.octet_length(F.col(key).cast("string")) + 8), F.lit(0)).alias("n")).first()["n"]
-    return df.join(F.broadcast(ids) if measured <= BROADCAST_ID_BYTES else ids, key, "left_anti").select(df.columns)
+
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if its measured size is within BROADCAST_BYTES."""
+    return F.broadcast(df) if measured_bytes(df) <= BROADCAST_BYTES else df
 
 
-def text_of(column: str = "text"):
+def text_of(column: str = "text") -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def digest_of(column: str = "text") -> Column:
+    """SHA-256 of a text in UTF-8 as lower-case hex; null counts as empty."""
+    return F.sha2(text_of(column), 256)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Each name with as many leading underscores as make it differ from all columns of df, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of df by name; names may hold dots."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
+def leave_out(docs: DataFrame, lost: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
+    """docs without the rows that `lost` names, and with one row only for each that `repeated` names.
+
+    Both are tables (doc_id, sha), read from storage, that name rows by id, null or not, and SHA-256 of the text:
+    other texts of the same id stay. A list of bounded size, as measured, is broadcast and texts stay where
+    they are. Columns keep their names and order, whatever they are called.
+    """
+    sha, key, other = fresh(docs, "_sha", "_lost_id", "_lost_sha")
+    named = docs.withColumn(sha, digest_of())
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(sha) == F.col(other))
+    out = named.join(small(lost.toDF(key, other)), same, "left_anti")
+    if repeated is not None and not repeated.isEmpty():
+        pairs = small(repeated.toDF(key, other))
+        out = out.join(pairs, same, "left_anti").unionByName(out.join(pairs, same, "left_semi").dropDuplicates(["doc_id", sha]))
+    return out.select(columns_of(docs))
+
+
+def leave_out_texts(docs: DataFrame, lost: DataFrame) -> DataFrame:
+    """docs without the rows whose text has a SHA-256 among `lost`, a table of one column read from storage."""
+    sha, other = fresh(docs, "_sha", "_lost_sha")
+    named = docs.withColumn(sha, digest_of())
+    return named.join(small(lost.toDF(other)), F.col(sha) == F.col(other), "left_anti").select(columns_of(docs))
+
+
 def bounded_sample(df: DataFrame, rows: int, key: str, spare: float = 2) -> DataFrame:
     """At most `rows` rows of df, those whose hashed key is smallest.
 
