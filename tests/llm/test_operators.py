@@ -103,24 +103,43 @@ def test_packing(spark):
     assert got.sequence_id.nunique() <= -(-got.length.sum() // 2048) + 1
 
 
-@pytest.mark.parametrize("counts", [{}, {1: 5000}, {2047: 3, 1: 3}, {1025: 10, 1023: 10}, {700: 7, 650: 5, 100: 9}])
-def test_best_fit_plan_equals_sequential_best_fit(counts):
-    plan = packing.best_fit_plan(counts, 2048)
+def sequential_best_fit(lengths, capacity):
     gaps = []
-    for length in sorted(counts, reverse=True):
-        for _ in range(counts[length]):
-            fit = min((g for g in range(len(gaps)) if gaps[g] >= length), key=lambda g: gaps[g], default=None)
-            if fit is None:
-                gaps.append(2048)
-                fit = -1
-            gaps[fit] -= length
-    used = Counter()
-    for length, n in counts.items():
-        rows = plan[plan[:, 0] == length]
-        for rank in range(n):
-            _, first, begin, each, _ = rows[np.searchsorted(rows[:, 1], rank, side="right") - 1]
-            used[begin + (rank - first) // each] += length
-    assert sorted(used.values()) == sorted(2048 - g for g in gaps)
+    for length in sorted(lengths, reverse=True):
+        fit = min((g for g in range(len(gaps)) if gaps[g] >= length), key=lambda g: gaps[g], default=None)
+        if fit is None:
+            gaps.append(capacity)
+            fit = -1
+        gaps[fit] -= length
+    return len(gaps)
+
+
+@pytest.mark.parametrize("counts", [{}, {1: 5000}, {2047: 3, 1: 3}, {1025: 10, 1023: 10}, {700: 7, 650: 5, 100: 9}, "random"])
+def test_best_fit_is_as_good_as_sequential_best_fit(spark, counts):
+    r = random.Random(5)
+    lengths = [max(1, min(2047, int(2 ** r.uniform(0, 11)))) for _ in range(900)] if counts == "random" else [n for n, k in counts.items() for _ in range(k)]
+    pieces = packing.materialize(spark.createDataFrame([(k, n) for k, n in enumerate(lengths)], "_pid long, length long"), "test")
+    got = packing.best_fit(pieces, 2048).collect()
+    assert sorted(g._pid for g in got) == list(range(len(lengths)))
+    bins = {}
+    for g in sorted(got, key=lambda g: g.offset):
+        assert g.offset == bins.get(g.bin, 0)
+        bins[g.bin] = g.offset + lengths[g._pid]
+    assert max(bins.values(), default=0) <= 2048 and len(bins) <= sequential_best_fit(lengths, 2048) + (counts == "random")
+
+
+def test_brackets():
+    r = random.Random(2)
+    for _ in range(300):
+        gap = [r.random() < 0.5 for _ in range(r.randint(0, 30))]
+        stack, want = [], []
+        for k, g in enumerate(gap):
+            if g:
+                stack.append(k)
+            elif stack:
+                want.append((stack.pop(), k))
+        got = packing.matched_in_order(np.array(gap, bool))
+        assert sorted(zip(*(x.tolist() for x in got))) == sorted(want), gap
 
 
 def test_chat_round_trip(spark):
@@ -392,6 +411,14 @@ def test_stages_tell_rows_by_id_and_text(spark, kind, items):
         assert stage(made.limit(0)).columns == made.columns and stage(made.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("together", [1, 40, 10_000])
+def test_decontamination_in_groups(together, monkeypatch):
+    """Groups of texts that end with a batch, one text that is a group, and none at all."""
+    monkeypatch.setattr(decontamination, "TOGETHER", together)
+    assert decontamination.candidates([], decontamination.Index([(0, decontamination.word_hashes(prose(30, 1)).tobytes())])) == {}
+    assert decontamination.Index([]).sizes == {}
+
+
 def test_near_duplicates_of_long_texts(spark, monkeypatch):
     """Sets beyond the bytes that are compared together."""
     monkeypatch.setattr(near_dedup, "TOGETHER", 20_000)

@@ -144,6 +144,8 @@ def window_fingerprints(hashes: list[np.ndarray], sizes: list[int]) -> Iterator[
 def candidates(hashes: list[np.ndarray], index: Index) -> dict[tuple[int, int], dict[int, int]]:
     """{(text, item): {place where the item would begin: distance of the fingerprints}} of all texts."""
     found: dict[tuple[int, int], dict[int, int]] = {}
+    if not hashes:
+        return found
 
     def add(text: int, item: int, at: int, distance: int) -> None:
         places = found.setdefault((text, item), {})
@@ -154,7 +156,7 @@ def candidates(hashes: list[np.ndarray], index: Index) -> dict[tuple[int, int],
         known = [np.concatenate([[0], np.cumsum(among(runs(h, SHINGLE), index.shingles))]) for h in hashes]
         lengths = np.array([len(k) - 1 for k in known])
         first = np.concatenate([[0], np.cumsum(lengths + 1)])
-        known = np.concatenate(known) if known else np.zeros(0, np.int64)
+        known = np.concatenate(known)
         for size, text, start, fps in window_fingerprints(hashes, list(index.sizes)):
             piece_fps, item, offset, tables = index.sizes[size]
             for block, (begin, pieces) in enumerate(tables):
