@@ -343,14 +343,43 @@ def test_toxicity_chain():
     chain = toxicity.fit_chain(texts[:400], y[:400])
     scores = np.array([chain.scores(t)[-1] for t in texts[400:]])
     assert ((scores >= 0.5) == (y[400:] == 1)).mean() > 0.98
+    # The chain by hand: each model's own words, the bias and the earlier probabilities.
+    for words in texts[400:420]:
+        earlier = []
+        for model in chain.models:
+            x = model.bias + sum(w for word, w in model.words.items() if word in words) + sum(a * b for a, b in zip(model.earlier, earlier))
+            earlier.append(1 / (1 + np.exp(-x)))
+        assert np.allclose(earlier, chain.scores(words))
+    # Categories come from the data: rows of one telling word are one cluster.
+    found = toxicity.clusters(texts[:400], y[:400], 3)
+    assert set(found[y[:400] == 0]) == {-1} and set(found[y[:400] == 1]) == {0, 1, 2}
+    names = [t & {"idiot", "moron", "stupid", "worthless"} for t in texts[:400]]
+    assert all(len({found[i] for i in np.flatnonzero(y[:400]) if w in names[i]}) == 1 for w in ("idiot", "moron", "stupid", "worthless"))
 
 
 def test_quality_attention():
     y = np.array([k % 3 > 0 for k in range(300)], float)
     texts = [(prose(150, k) if t else prose(90, k) + "\n" + "| ".join(prose(60, k).split())).encode() for k, t in enumerate(y)]
-    model = quality.fit(texts[:200], y[:200])
+    model = quality.fit([quality.features_of(t) for t in texts[:200]], y[:200])
     assert ((model.scores(texts[200:]) >= 0.3) == (y[200:] == 1)).mean() > 0.95
     assert 0 <= model.scores([b""])[0] <= 1
+    # One at a time, by the definition: passages, encodings, attention weights that sum to one, weighted sum.
+    for text in (texts[0], texts[1], b"", b"x" * 1500):
+        x = np.concatenate([quality.passages([text])[0]])
+        h = np.tanh(np.clip((x - model.mean) / model.scale, -6, 6) @ model.p["w"] + model.p["b"])
+        e = [float(np.dot(np.tanh(v @ model.p["v"]) / (1 + np.exp(-(v @ model.p["u"]))), model.p["a"])) for v in h]
+        weight = np.exp(np.array(e)) / np.exp(np.array(e)).sum()
+        want = 1 / (1 + np.exp(-float((weight[:, None] * h).sum(0) @ model.p["o"] + model.p["c"][0])))
+        assert abs(model.scores([text])[0] - want) < 1e-9
+    assert np.allclose(model.scores(texts[:9]), [model.scores([t])[0] for t in texts[:9]])
+
+
+def test_quality_of_long_texts_in_stretches(monkeypatch):
+    monkeypatch.setattr(quality, "TOGETHER", 2048)
+    text = prose(2000, 3).encode()
+    assert len(quality.features_of(text)) == -(-len(text) // quality.PASSAGE) and len(quality.features_of(text, 7)) == 7
+    model = quality.fit([quality.features_of(text), quality.features_of(b"| 1 | 2")], np.array([1.0, 0.0]), steps=20)
+    assert np.allclose(model.scores([b"a", text, b""])[1], model.scores([text])[0])
 
 
 def test_chunks(spark):

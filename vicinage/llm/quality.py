@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 from vicinage.llm.tables import text_of
 from vicinage.llm.toxicity import sigmoid, training_rows
 
-#: Labelled rows that the model is fitted on, at most.
-FIT_ROWS = 4000
+#: Labelled rows that the model is fitted on, and passages of each, evenly spread, at most.
+FIT_ROWS, FIT_PASSAGES = 4000, 128
 PASSAGE = 512  # bytes
 HIDDEN, GATE = 16, 8
 THRESHOLD = 0.3
-#: Bytes of text that are worked on at a time.
+#: Bytes of text that are worked on at a time; a longer text is taken in stretches of this size, and its phrases are new or not within one.
 TOGETHER = 2 << 20
 
 _GROUPS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n\r", "\t", ".", ",", "!", "?", "|", "%", "$", "#", "&", "*", "<>", "{}[]()", "\"'`", ":;", "-_/\\", "@=+~^")
@@ -80,17 +80,22 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return x, owner
 
 
-def grouped(texts: list[bytes]) -> Iterator[list[bytes]]:
-    """The texts in order, in groups of about TOGETHER bytes: features take some forty bytes a byte of text."""
-    group, size = [], 0
-    for text in texts:
-        group.append(text)
-        size += len(text)
-        if size >= TOGETHER:
-            yield group
-            group, size = [], 0
+def grouped(texts: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """The texts in order, with their numbers, in groups of about TOGETHER bytes: features take some forty bytes a byte of text.
+
+    A longer text comes in stretches of TOGETHER bytes, which are a whole number of passages.
+    """
+    numbers, group, size = [], [], 0
+    for k, text in enumerate(texts):
+        for at in range(0, max(1, len(text)), TOGETHER):
+            numbers.append(k)
+            group.append(text[at : at + TOGETHER])
+            size += len(group[-1])
+            if size >= TOGETHER:
+                yield numbers, group
+                numbers, group, size = [], [], 0
     if group:
-        yield group
+        yield numbers, group
 
 
 @dataclass
@@ -101,32 +106,48 @@ class Attention:
     scale: np.ndarray
     p: dict[str, np.ndarray]
 
-    def forward(self, x: np.ndarray, owner: np.ndarray, bags: int):
+    def encoded(self, x: np.ndarray):
         z = np.clip((x - self.mean) / self.scale, -6, 6)
         h = np.tanh(z @ self.p["w"] + self.p["b"])
         t, s = np.tanh(h @ self.p["v"]), sigmoid(h @ self.p["u"])
-        e = (t * s) @ self.p["a"]
+        return z, h, t, s, (t * s) @ self.p["a"]
+
+    def pooled(self, h: np.ndarray, e: np.ndarray, owner: np.ndarray, bags: int):
         top = np.full(bags, -np.inf)
         np.maximum.at(top, owner, e)
         a = np.exp(e - top[owner])
         a /= np.bincount(owner, a, bags)[owner]
         bag = np.stack([np.bincount(owner, a * h[:, j], bags) for j in range(h.shape[1])], 1)
-        return z, h, t, s, a, bag, sigmoid(bag @ self.p["o"] + self.p["c"])
+        return a, bag, sigmoid(bag @ self.p["o"] + self.p["c"])
+
+    def forward(self, x: np.ndarray, owner: np.ndarray, bags: int):
+        z, h, t, s, e = self.encoded(x)
+        return z, h, t, s, *self.pooled(h, e, owner, bags)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        out = [self.forward(*passages(group), len(group))[-1] for group in grouped(texts)]
-        return np.concatenate(out) if out else np.zeros(0)
+        parts = []
+        for numbers, group in grouped(texts):
+            x, owner = passages(group)
+            _, h, _, _, e = self.encoded(x)
+            parts.append((h, e, np.array(numbers)[owner]))
+        if not parts:
+            return np.zeros(0)
+        return self.pooled(*(np.concatenate(c) for c in zip(*parts)), len(texts))[-1]
+
+
+def features_of(text: bytes, most: int = 1 << 62) -> np.ndarray:
+    """Features of a text's passages, or of `most` of them, evenly spread."""
+    x = np.concatenate([passages(group)[0] for _, group in grouped([text])])
+    return x if len(x) <= most else x[np.arange(most) * len(x) // most]
 
 
-def fit(texts: list[bytes], y: np.ndarray, steps: int = 300, seed: int = 7) -> Attention:
-    """Gradient descent on the log loss of whole documents. Without rows every score is 0.5."""
+def fit(bags: list[np.ndarray], y: np.ndarray, steps: int = 300, seed: int = 7) -> Attention:
+    """Gradient descent on the log loss of whole documents, given as features of their passages. Without rows every score is 0.5."""
     rng = np.random.default_rng(seed)
     p = {"w": rng.normal(0, FEATURES**-0.5, (FEATURES, HIDDEN)), "b": np.zeros(HIDDEN), "v": rng.normal(0, HIDDEN**-0.5, (HIDDEN, GATE)), "u": rng.normal(0, HIDDEN**-0.5, (HIDDEN, GATE)), "a": np.zeros(GATE), "o": np.zeros(HIDDEN), "c": np.zeros(1)}
-    if not texts:
+    if not bags:
         return Attention(np.zeros(FEATURES), np.ones(FEATURES), p)
-    parts = [passages(group) for group in grouped(texts)]
-    x = np.concatenate([p for p, _ in parts])
-    owner = np.concatenate([o + at for (_, o), at in zip(parts, np.cumsum([0] + [o[-1] + 1 for _, o in parts]))])
+    x, owner = np.concatenate(bags), np.repeat(np.arange(len(bags)), [len(b) for b in bags])
     model = Attention(x.mean(0), x.std(0) + 1e-3, p)
     p["a"] = rng.normal(0, 0.1, GATE)
     p["o"] = rng.normal(0, 0.1, HIDDEN)
@@ -152,10 +173,15 @@ def fit(texts: list[bytes], y: np.ndarray, steps: int = 300, seed: int = 7) -> A
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Attention:
-    """Fit on at most `rows` labelled documents that aren't held out."""
-    found = training_rows(docs, labels, "quality", rows).select("text", "_label", "_id").collect()
-    found.sort(key=lambda r: (r["_id"], r["text"]))
-    return fit([r["text"].encode() for r in found], np.array([r["_label"] for r in found], dtype=np.float64))
+    """Fit on at most `rows` labelled documents that aren't held out, of any length. The driver gets features of at most FIT_PASSAGES passages of each."""
+
+    @F.pandas_udf("binary")
+    def made(texts: pd.Series) -> pd.Series:
+        return pd.Series([features_of(t.encode(), FIT_PASSAGES).astype(np.float32).tobytes() for t in texts])
+
+    found = training_rows(docs, labels, "quality", rows).select(made("text").alias("x"), "_label", "_id").collect()
+    found.sort(key=lambda r: (str(r["_id"]), bytes(r["x"])))
+    return fit([np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES).astype(np.float64) for r in found], np.array([r["_label"] for r in found], dtype=np.float64))
 
 
 def quality_score(text: Column, model: Attention) -> Column:
@@ -171,7 +197,8 @@ def score_quality(docs: DataFrame, labels: DataFrame | None = None, model: Atten
     """One row per row of docs: doc_id, held_out, score, predicted (1 if score >= 0.3).
 
     Whole texts are scored and nothing else of a row; null counts as empty, and an empty text has one
-    empty passage. held_out is null for a null id. Repeated rows give rows of their own, an empty table none.
+    empty passage. held_out is null for a null id. Repeated rows give rows of their own, an empty table none. The
+    model is fitted on at most FIT_ROWS labelled rows and FIT_PASSAGES passages of each.
     """
     model = model or fit_on(docs, labels)
     rows = docs.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), quality_score(text_of(), model).alias("score"))

@@ -1,7 +1,8 @@
 """Toxicity by a chain of linear classifiers.
 
-The categories are predicted one after another, the overall label last. Each model sees which words of its
-own choice a text has, and the probabilities of the categories before it. For training, those are
+The categories are predicted one after another, the overall label last. Only the overall label is given; the categories
+are found in the data: toxic training rows are clustered by the words that tell them. Each model sees which words of
+its own choice a text has, and the probabilities of the categories before it. For training, those are
 out-of-fold predictions: they come from models that haven't seen the row.
 """
 
@@ -18,18 +19,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinage.llm.tables import bounded_sample, text_of
+from vicinage.llm.tables import bounded_sample, materialize, text_of
 
-#: Seed words of the categories: a toxic row with one of them is an example of the category. The models
-#: choose their words from all that training rows have; the seeds only name the categories.
-SEEDS = {
-    "insult": ("idiot", "moron", "clown", "fool", "loser", "imbecile", "dummkopf", "trottel", "imbécile", "crétin", "idiota", "imbécil"),
-    "contempt": ("stupid", "worthless", "pathetic", "disgusting", "dumb", "useless", "dumm", "wertlos", "nul", "stupide", "estúpido", "inútil"),
-    "hostility": ("hate", "kill", "shut", "die", "trash", "garbage", "scum", "vermin", "hass", "haine", "odio", "basura"),
-}
 #: Labelled rows that the chain is fitted on, at most; the first by hash of those that aren't held out.
 FIT_ROWS = 6000
-LONGEST_FIT_BYTES = 200_000
+#: Words that the models may choose from: those of the training rows that differ most between the classes.
+VOCABULARY = 4000
+#: Categories, in the order of the chain: clusters of toxic training rows, larger ones first.
+CATEGORIES = ("category_1", "category_2", "category_3")
 WORDS, FOLDS, SEEN_IN, CLEAR = 400, 5, 4, 4.0
 THRESHOLD = 0.5
 
@@ -107,15 +104,43 @@ class Chain:
         return out
 
 
+def clusters(texts: list[set[str]], toxic: np.ndarray, number: int) -> np.ndarray:
+    """For each text the number of its category from 0, or -1: k-means of the toxic rows on unit vectors of the words that tell them.
+
+    Centres start farthest from one another, so the result doesn't depend on chance. Rows without a telling word have no category.
+    """
+    out = np.full(len(texts), -1)
+    words = {w: i for i, w in enumerate(choose(texts, toxic))}
+    rows = [i for i in np.flatnonzero(toxic > 0) if not words.keys().isdisjoint(texts[i])]
+    if not rows:
+        return out
+    x = np.zeros((len(rows), len(words)))
+    for row, i in zip(x, rows):
+        row[[words[w] for w in texts[i] if w in words]] = 1
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    centres = [x[0]]
+    while len(centres) < min(number, len(rows)):
+        centres.append(x[np.argmin(np.max(x @ np.array(centres).T, axis=1))])
+    centres = np.array(centres)
+    for _ in range(20):
+        own = np.argmax(x @ centres.T, axis=1)
+        centres = np.array([x[own == k].mean(0) if (own == k).any() else centres[k] for k in range(len(centres))])
+        centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    order = np.argsort(-np.bincount(own, minlength=len(centres)), kind="stable")
+    out[rows] = np.argsort(order)[own]
+    return out
+
+
 def fit_chain(texts: list[set[str]], toxic: np.ndarray) -> Chain:
-    """A chain over the categories of SEEDS and then the given label. Without rows every score is 0.5."""
-    names, models = (*SEEDS, "toxic"), []
+    """A chain over the categories found in the data and then the given label. Without rows every score is 0.5."""
+    names, models = (*CATEGORIES, "toxic"), []
     if not len(texts):
         return Chain(names, [Linear({}, np.zeros(i), 0.0) for i in range(len(names))])
     fold = np.where(toxic > 0, np.cumsum(toxic > 0), np.cumsum(toxic <= 0)) % FOLDS  # every fold has its share of both classes
+    category = clusters(texts, toxic, len(CATEGORIES))
     earlier = np.zeros((len(texts), 0))
-    for name in names:
-        y = toxic if name == "toxic" else toxic * np.array([not words.isdisjoint(SEEDS[name]) for words in texts])
+    for k, name in enumerate(names):
+        y = toxic if name == "toxic" else (category == k).astype(np.float64)
         models.append(fit_linear(texts, earlier, y))
         if name != "toxic":
             out = np.zeros(len(texts))
@@ -136,17 +161,37 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int) ->
     """
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
     chosen = bounded_sample(chosen.groupBy(F.col("doc_id").alias("_id")).agg(F.max(label).cast("int").alias("_label")), rows, "_id")
-    text = docs.select("doc_id", text_of().alias("text")).where(F.octet_length("text") <= LONGEST_FIT_BYTES)
+    text = docs.select("doc_id", text_of().alias("text"))
     return text.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "text", "_label")
 
 
+def telling_words(rows: DataFrame) -> list[str]:
+    """The VOCABULARY words of rows (w: words, _label) whose frequency differs most between the classes, by a z-score; ties by name."""
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("_label"), F.lit(0)).alias("n1")).first()
+    n, n1 = total["n"], total["n1"]
+    counts = rows.select(F.explode("w").alias("w"), "_label").groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.sum("_label").alias("a")).where(F.col("n") >= SEEN_IN)
+    share = F.col("n") / F.lit(max(1, n))
+    gap = F.abs(F.col("a") / F.lit(max(1, n1)) - (F.col("n") - F.col("a")) / F.lit(max(1, n - n1)))
+    z = gap / F.sqrt(share * (1 - share) * F.lit(1 / max(1, n1) + 1 / max(1, n - n1)) + 1e-9)
+    return [r["w"] for r in counts.orderBy(z.desc(), "w").limit(VOCABULARY).collect()]
+
+
 def fit_on(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Chain:
+    """Fit on at most `rows` labelled documents that aren't held out, whole texts of any length. The driver gets their telling words only."""
+
     @F.pandas_udf("array<string>")
     def words(texts: pd.Series) -> pd.Series:
         return pd.Series([sorted(words_of(t)) for t in texts])
 
-    found = training_rows(docs, labels, "toxic", rows).select("_id", words("text").alias("w"), "_label").collect()
-    found.sort(key=lambda r: (zlib.crc32(str(r["_id"]).encode()), r["_id"], r["w"]))
+    sample = materialize(training_rows(docs, labels, "toxic", rows).select("_id", words("text").alias("w"), "_label"), "toxicity-words")
+    known = set(telling_words(sample))
+
+    @F.pandas_udf("array<string>")
+    def told(lists: pd.Series) -> pd.Series:
+        return pd.Series([[w for w in ws if w in known] for ws in lists])
+
+    found = sample.select("_id", told("w").alias("w"), "_label").collect()
+    found.sort(key=lambda r: (zlib.crc32(str(r["_id"]).encode()), str(r["_id"]), r["w"]))
     return fit_chain([set(r["w"]) for r in found], np.array([r["_label"] for r in found], dtype=np.float64))
 
 
@@ -154,7 +199,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame | None = None, chain: Chai
     """One row per row of docs: doc_id, a probability for each category, score, toxic (score >= 0.5).
 
     Whole texts are read; null counts as empty. Repeated rows and null ids give rows of their own, an
-    empty table gives none. A scan and a projection once the chain is fitted.
+    empty table gives none. A scan and a projection once the chain is fitted, on at most FIT_ROWS labelled rows
+    and VOCABULARY words.
     """
     chain = chain or fit_on(docs, labels)
     used = set().union(*(m.words for m in chain.models))
