@@ -455,3 +455,49 @@ def test_near_duplicates_of_long_texts(spark, monkeypatch):
     texts = [" ".join(base), " ".join(base[:5500]), " ".join(base[300:]), prose(6000, 78), " ".join(base[:100])]
     got = near_dedup.near_duplicates(table(spark, texts)).orderBy("doc_id").collect()
     assert [r.component_id for r in got] == [0, 0, 0, 3, 4]
+
+
+def mentions(seed, number):
+    """Texts with personal data, said again without its cue, next to like data that wasn't said before: (text, spans of the second mentions, spans of the others)."""
+    r, out = random.Random(seed), []
+    for k in range(number):
+        d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+        full = {0: f"ann.{d(3)}@host{d(1)}.example.com", 1: f"{r.randint(100, 255)}.{r.randint(100, 255)}.{r.randint(10, 99)}.{r.randint(10, 99)}", 3: f"+1 ({d(3)}) 555-{d(4)}"}
+        kind = r.choice([0, 1, 3])
+        other = {0: f"bob.{d(3)}@host{d(1)}.example.com", 1: f"{r.randint(100, 255)}.{r.randint(100, 255)}.{r.randint(10, 99)}.{r.randint(10, 99)}", 3: f"+1 ({d(3)}) 555-{d(4)}"}[kind]
+        again, new = pii.mention(kind, full[kind]), pii.mention(kind, other)
+        text = prose(r.randint(3, 60), k) + " " + full[kind] + " " + prose(r.randint(20, 200), k + 1) + " "
+        first, second = (again, new) if r.random() < 0.5 else (new, again)
+        a = len(text)
+        text += first + " " + prose(5, k) + " "
+        b = len(text)
+        text += second
+        at = {first: (a, a + len(first)), second: (b, b + len(second))}
+        out.append((text, (kind, *at[again]), (kind, *at[new])))
+    return out
+
+
+def test_field_finds_second_mentions_by_its_skip_edges():
+    field = pii.fit([t[: min(a[1], b[1])] for t, a, b in mentions(1, 300)])  # the mentions are cut off
+    held = mentions(2, 200)
+    texts = [t for t, _, _ in held]
+    base = [pii.base_spans(t) for t in texts]
+    got = pii.added_spans(texts, base, field)
+    over = lambda spans, want: any(k == want[0] and s < want[2] and want[1] < e for k, s, e in spans)
+    hit, wrong = sum(over(g, w) for g, (_, w, _) in zip(got, held)), sum(over(g, w) for g, (_, _, w) in zip(got, held))
+    assert hit >= 180 and wrong <= 10
+    cut = pii.Field(field.unary, np.stack([field.pair[0], np.zeros((5, 5))]))  # without skip edges
+    blind = pii.added_spans(texts, base, cut)
+    assert sum(over(g, w) for g, (_, w, _) in zip(blind, held)) < hit / 2
+
+
+def test_personal_data_columns_equal_brute_force(spark):
+    texts = ["", None, "mail a.b@c.de or +1 (555) 010-9999 now", "1.2.3.4 4111 1111 1111 1111", *(t for t, _, _ in mentions(3, 40)), "x" * 300_000 + "@y.z", "1" * 5000 + ".1.1.1 ²"]
+    got = pii.find_personal_data(table(spark, texts)).orderBy("doc_id").collect()
+    for r, text in zip(got, texts):
+        want = sorted(plain_spans(text or ""))
+        said = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in want)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == n for k, _, _ in want) for n in range(4)]
+        assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
+        spans = [x.split(":") for x in r.spans.split(",") if x]
+        assert set(said.split(",")) - {""} <= set(r.spans.split(",")) and [(pii.KINDS.index(k), int(a)) for k, a, _ in spans] == sorted((pii.KINDS.index(k), int(a)) for k, a, _ in spans)

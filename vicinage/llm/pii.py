@@ -2,14 +2,18 @@
 
 The field's variables are a document's tokens that hold a digit or an at sign; all others are outside by
 definition. Neighbouring tokens are joined by chain edges, and each token to the last one before it, at
-whatever distance, that repeats it or has the same digits, by a skip edge. Loopy message passing over both
-makes labels agree, so that a number written once in full and later without its prefix is found twice.
+whatever distance, that repeats it, its digits or its name before the at sign, by a skip edge. Loopy message
+passing over both makes labels agree. The field is fitted on texts in which found data is mentioned again without what
+its pattern asks for (a phone number without its plus sign, an address without its domain), next to like numbers
+that were never mentioned: only the skip edge tells the two apart.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,10 +27,12 @@ from vicinage.llm.tables import bounded_sample, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 OUTSIDE = len(KINDS)
-#: Documents that the field is fitted on, at most, and the longest text among them.
-FIT_ROWS, FIT_CHARS = 6000, 20_000
+#: The field is fitted on at most this many documents, on texts of up to so many characters among them, and on the first tokens of a text.
+FIT_ROWS, FIT_CHARS, FIT_TOKENS = 6000, 20_000, 500
 #: A token is labelled only if its marginal probability is this high.
 SURE = 0.9
+#: The tokens that follow directly are taken along if theirs is this high.
+ALONG = 0.75
 ROUNDS = 8
 
 _HINT = re.compile(r"[0-9@]")
@@ -94,7 +100,7 @@ def tokens_of(text: str) -> list[tuple[int, int]]:
 FEATURES = (
     "any", "at sign", "domain", "two at signs", "plus first", "bracketed", "four parts", "part too large", "luhn", "letters", "hyphen", "dot inside", "other sign",
     "digits 0", "digits 1", "digits 2-3", "digits 4", "digits 5-6", "digits 7", "digits 8-11", "digits 12-15", "digits 16-19", "digits 20+",
-    "after a number", "before a number", "after plus", "after brackets",
+    "after a number", "before a number", "after plus", "after brackets", "second after plus",
 )
 _AT = {name: i for i, name in enumerate(FEATURES)}
 _SIZES = ((0, 0), (1, 1), (2, 3), (4, 4), (5, 6), (7, 7), (8, 11), (12, 15), (16, 19), (20, 1 << 60))
@@ -104,7 +110,7 @@ def features(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
     """One row of FEATURES for each token."""
     out = np.zeros((len(spans), len(FEATURES)), np.float32)
     for k, (start, end) in enumerate(spans):
-        core = text[start : min(end, start + 128)].strip(_TRIM)
+        core = text[start:end].strip(_TRIM)
         digits = _DIGITS.findall(core)
         row = out[k]
         row[0] = 1
@@ -114,7 +120,7 @@ def features(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
         row[_AT["plus first"]] = core.startswith("+")
         row[_AT["bracketed"]] = core.startswith("(") and core.endswith(")")
         parts = core.split(".")
-        four = len(parts) == 4 and all(p.isdigit() for p in parts)
+        four = len(parts) == 4 and all(p.isascii() and p.isdigit() for p in parts)
         row[_AT["four parts"]] = four
         row[_AT["part too large"]] = four and any(len(p) > 3 or int(p) > 255 for p in parts)
         row[_AT["luhn"]] = 16 <= len(digits) <= 19 and luhn("".join(digits))
@@ -126,6 +132,7 @@ def features(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
         if k and start - spans[k - 1][1] <= 1:
             row[_AT["after a number"]] = out[k - 1][_AT["before a number"]] = 1
             row[_AT["after plus"]] = out[k - 1][_AT["plus first"]]
+            row[_AT["second after plus"]] = out[k - 1][_AT["after plus"]]
             row[_AT["after brackets"]] = out[k - 1][_AT["bracketed"]]
     return out
 
@@ -134,14 +141,18 @@ def edges_of(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int, in
     """(token, token, 0 for chain or 1 for skip); a token has at most one skip edge to earlier ones of each kind."""
     edges, last = [], {}
     for k, (start, end) in enumerate(spans):
-        if k and start - spans[k - 1][1] <= 1:
+        chained = bool(k) and start - spans[k - 1][1] <= 1
+        if chained:
             edges.append((k - 1, k, 0))
         core = text[start:end].strip(_TRIM)
         digits = "".join(_DIGITS.findall(core))
         names = [core] if "@" in core or len(digits) >= 4 else []
         if len(digits) >= 7:
             names.append("#" + digits[-10:])
-        before = {last[n] for n in names if n in last} - {k - 1}
+            names.append("#" + digits[-7:])  # a phone number's last part stands alone where it is parted by blanks
+        if "@" in core and core.index("@") > 0:
+            names.append("@" + core[: core.index("@")])
+        before = {last[n] for n in names if n in last} - ({k - 1} if chained else set())
         edges += [(j, k, 1) for j in before]
         last |= dict.fromkeys(names, k)
     return edges
@@ -195,16 +206,62 @@ def labels_of(spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) ->
     return labels
 
 
+def mention(kind: int, text: str) -> str:
+    """Found data as it may be mentioned again: without what its pattern asks for."""
+    if kind == 0:
+        return text[: text.index("@") + 1] + text[text.index("@") + 1 :].split(".")[0]
+    if kind == 1:
+        return text.replace(".", "-")
+    if kind == 2:
+        return "-".join(re.findall(".{1,4}", "".join(_DIGITS.findall(text)))) + "/"
+    return text.lstrip("+")
+
+
+def altered(text: str, chance: random.Random) -> str:
+    """The same shape with other digits, or other letters where there are few digits."""
+    kind = r"[0-9]" if len(_DIGITS.findall(text)) > 3 else r"[0-9a-z]"
+    return re.sub(kind, lambda m: chance.choice("0123456789" if m[0].isdigit() else "abcdefghijklmnopqrstuvwxyz"), text)
+
+
+def with_mentions(text: str, base: list[tuple[int, int, int]], chance: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
+    """A text with a second mention of some of its data behind it, among like data that it doesn't have; the text and the mentions' spans."""
+    parts, spans, at = [text, "\n"], [], len(text) + 1
+    for kind, start, end in chance.sample(base, min(3, len(base))):
+        again = mention(kind, text[start:end])
+        for found, said in ((True, again), (False, altered(again, chance))) if chance.random() < 0.5 else ((False, altered(again, chance)), (True, again)):
+            if found:
+                spans.append((kind, at, at + len(said)))
+            parts += [said, " and then "]
+            at += len(said) + len(" and then ")
+    return "".join(parts), spans
+
+
+def unclear(text: str, base: list[tuple[int, int, int]]) -> bool:
+    """Whether a text mentions found data again by itself: what label that has isn't known, so nothing is learnt from it."""
+    if not base:
+        return False
+    spans = tokens_of(text)
+    labels = labels_of(spans, base)
+    return any(kind == 1 and (labels[a] == OUTSIDE) != (labels[b] == OUTSIDE) for a, b, kind in edges_of(text, spans))
+
+
 def fit(texts: list[str], steps: int = 150) -> Field:
-    """Fit to the pattern matches of some texts, by gradient ascent on the approximate likelihood."""
+    """Fit to the pattern matches of some texts and to second mentions of them, by gradient ascent on the approximate likelihood."""
     shape = (len(FEATURES), len(KINDS) + 1)
     weights, pair = np.zeros(shape), np.stack([np.zeros((5, 5)), 0.5 * np.eye(5)])
     rows, labels, edges, n = [], [], [], 0
     for text in texts:
-        spans = tokens_of(text)[:500]
+        base = base_spans(text)
+        if unclear(text, base):
+            continue
+        chance = random.Random(zlib.crc32(text.encode()))
+        text, again = with_mentions(text, base, chance) if base else (text, [])
+        spans = tokens_of(text)
+        if len(spans) > FIT_TOKENS:
+            spans = spans[: FIT_TOKENS // 2] + spans[-FIT_TOKENS // 2 :]
         if spans:
             rows.append(features(text, spans))
-            labels.append(labels_of(spans, base_spans(text)))
+            labels.append(labels_of(spans, base_spans(text) + again))
             edges += [(a + n, b + n, t) for a, b, t in edges_of(text, spans)]
             n += len(spans)
     if not rows:
@@ -235,7 +292,7 @@ def sane(kind: int, text: str) -> bool:
     if kind == 0:
         return bool(re.search(r"[^@\s]@[^@\s]", text))
     if kind == 1:
-        return bool(re.fullmatch(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", text))
+        return bool(re.fullmatch(r"[0-9]{1,3}(?:[.-][0-9]{1,3}){3}", text))
     return 13 <= digits <= 19 if kind == 2 else 7 <= digits <= 15
 
 
@@ -249,14 +306,15 @@ def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], field:
     e = np.array([(a + k, b + k, kind) for t, s, k in zip(texts, spans, starts) for a, b, kind in edges_of(t, s)], dtype=np.int64).reshape(-1, 3)
     marginal, _ = beliefs(x @ field.unary, e, field.pair)
     best = np.where(marginal.max(1) >= SURE, marginal.argmax(1), OUTSIDE)
+    along = np.where(marginal.max(1) >= ALONG, marginal.argmax(1), OUTSIDE)
     out = []
     for i, (text, own) in enumerate(zip(texts, spans)):
         new, k = [], 0
-        labels = best[starts[i] : starts[i + 1]]
+        labels, follows = best[starts[i] : starts[i + 1]], along[starts[i] : starts[i + 1]]
         while k < len(own):
             kind, last = labels[k], k
             if kind != OUTSIDE:
-                while kind in (2, 3) and last + 1 < len(own) and labels[last + 1] == kind and own[last + 1][0] - own[last][1] <= 1:
+                while kind in (2, 3) and last + 1 < len(own) and follows[last + 1] == kind and own[last + 1][0] - own[last][1] <= 1:
                     last += 1
                 start, end = own[k][0], own[last][1]
                 while start < end and text[start] in _TRIM:
@@ -287,7 +345,8 @@ def find_personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame
 
     Counts and digest are of the base matches; spans holds those and what the field adds, as
     kind:start:end in code points, by kind and start. Null texts are empty and have none. Repeated rows
-    and null ids give rows of their own. A scan and a projection; only the field's fit looks at a sample.
+    and null ids give rows of their own. A scan and a projection; only the field's fit looks at a sample, which
+    FIT_ROWS, FIT_CHARS and FIT_TOKENS bound.
     """
     field = field or fit_on(docs)
     rows = docs.select("doc_id", text_of().alias("text"))
