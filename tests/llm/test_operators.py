@@ -501,3 +501,75 @@ def test_personal_data_columns_equal_brute_force(spark):
         assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
         spans = [x.split(":") for x in r.spans.split(",") if x]
         assert set(said.split(",")) - {""} <= set(r.spans.split(",")) and [(pii.KINDS.index(k), int(a)) for k, a, _ in spans] == sorted((pii.KINDS.index(k), int(a)) for k, a, _ in spans)
+
+
+def test_chat_rows_in_any_order(spark):
+    """Formatted rows written and dealt out again, with conversations of several segments."""
+    data = [(c, k, ("user", "assistant")[k % 2], f"{c} {k} " + "x" * 300) for c in (1, 2, 3, None) for k in range(9)]
+    turns = chat.canonical_turns(spark.createDataFrame(data, "conv_id long, turn long, role string, text string"))
+    chat.SEGMENT, keep = 700, chat.SEGMENT
+    try:
+        made = packing.materialize(chat.format_turns(turns), "test")
+    finally:
+        chat.SEGMENT = keep
+    assert made.groupBy("conv_id").count().where("count > 1").count() == 4
+    got = {r.conv_id: r for r in chat.read_back(made.orderBy(chat.F.rand(3)).repartition(5)).collect()}
+    for c in (1, 2, 3, None):
+        own = [(role, text) for conv, _, role, text in data if conv == c]
+        assert got[c].n_turns == 9 and got[c].turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in own).encode()).hexdigest()
+        learnt = "".join(b for a, b in own if a == "assistant")
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
+
+
+def test_chat_records_without_one_layout(spark):
+    odd = ['{"messages": ["hello", null]}', '{"messages": [{"role": "user", "content": "q"}, "x"]}', '{"messages": null}', '{"prompt": "q", "completion": "a", "response": "b"}', '{"prompt": "q", "response": "a", "question": "q", "answer": "b"}', '[1]', '{}']
+    df = spark.createDataFrame(list(enumerate(odd)), "k long, raw string")
+    assert [(r.role, r.text) for r in chat.canonical_json(df, "k", "raw").orderBy("conv_id").collect()] == [(None, x) for x in odd]
+    assert chat.mapping_for({"prompt", "response", "system", "extra"}).name == "guided response"
+    assert chat.mapping_for({"prompt", "completion", "response"}) is None
+
+
+@pytest.mark.parametrize("kind", IDS)
+def test_cut_repeats_tells_rows_by_id_and_text(spark, kind):
+    of = IDS[kind]
+    shared = prose(60, 5)
+    texts = [(1, prose(20, 1) + " " + shared), (2, prose(20, 2) + " " + shared + " " + prose(9, 3)), (2, prose(40, 4)), (None, shared + " " + prose(30, 6)), (5, None), (6, "")]
+    rows = [(of(k), t, "i", "s", 3) for k, t in texts]
+    docs = spark.createDataFrame(rows, f"doc_id {kind}, text string, _id string, _spans string, _hash int")
+    found = packing.materialize(chunk_dedup.repeated_passages(docs), "test")
+    assert sorted((str(r.doc_id), r.kept) for r in found.collect()) == sorted([(str(of(1)), False), (str(of(2)), False), ("None", True)])
+    cut = chunk_dedup.cut_repeats(docs, found)
+    assert cut.columns == docs.columns
+    got = {(str(r.doc_id), len(r.text or "") if r.doc_id == of(2) else 0): r.text for r in cut.collect()}
+    assert got["None", 0] == texts[3][1] and got[str(of(5)), 0] is None and got[str(of(2)), len(texts[2][1])] == texts[2][1]
+    assert len(got[str(of(1)), 0]) < 250 and shared not in "".join(v or "" for (k, _), v in got.items() if k != "None")
+
+
+def test_repeated_passages_equal_brute_force(spark):
+    """Runs of chunks by a loop over all documents."""
+    r = random.Random(8)
+    pool = [prose(40, 3000 + k) for k in range(6)]
+    texts = [" ".join([prose(r.randint(0, 30), k), *(r.choice(pool) for _ in range(r.randint(0, 3))), prose(r.randint(0, 30), k + 50)]) for k in range(40)]
+    made = []
+    for d, text in enumerate(texts):
+        raw = text.encode()
+        cuts = [0, *chunk_dedup.cuts_of(np.frombuffer(raw, np.uint8))]
+        made.append([(raw[a:b], a, b) for a, b in zip(cuts, cuts[1:])])
+    holders, first = {}, {}
+    for d, own in enumerate(made):
+        for k, (piece, _, _) in enumerate(own):
+            holders.setdefault(piece, []).append(d)
+            first.setdefault(piece, d)
+    want = set()
+    for d, own in enumerate(made):
+        run = []
+        for piece in [*own, None]:
+            if piece and len(set(holders[piece[0]])) > 1:
+                run.append(piece)
+                continue
+            size = sum(b - a for _, a, b in run)
+            if size >= chunk_dedup.PASSAGE:
+                want.add((d, run[0][1], run[-1][2], len(run), size, first[run[0][0]], max(len(holders[p]) for p, _, _ in run), all(first[p] == d for p, _, _ in run)))
+            run = []
+    got = {(x.doc_id, x.start, x.end, x.n_chunks, x.n_bytes, x.first_doc_id, x.n_copies, x.kept) for x in chunk_dedup.repeated_passages(table(spark, texts)).collect()}
+    assert got == want and len(want) > 20

@@ -91,12 +91,17 @@ def value_paths(value, prefix: str = "") -> set[str]:
 
 
 def mapping_for(paths: set[str]) -> Mapping | None:
-    """The mapping whose fingerprint the paths have; else of those that need only paths given here the one that needs most."""
+    """The mapping whose fingerprint the paths have.
+
+    Other fields may stand beside a layout's own: if no fingerprint fits, the mapping that needs only paths given here and
+    all that the others of this kind need. Where two layouts are there and neither holds the other, none is chosen.
+    """
     found = BY_FINGERPRINT.get(fingerprint(paths))
     if found:
         return found
     fitting = [m for m in MAPPINGS if set(m.paths) <= paths]
-    return max(fitting, key=lambda m: len(m.paths), default=None)
+    widest = [m for m in fitting if all(set(o.paths) <= set(m.paths) for o in fitting)]
+    return widest[0] if widest else None
 
 
 def canonical_turns(records: DataFrame, key: str = "conv_id") -> DataFrame:
@@ -131,6 +136,8 @@ def turns_of_value(value) -> list[tuple[str, str]] | None:
     as_text = lambda x: "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
     if mapping.items:
         field, role, text = mapping.items
+        if not isinstance(value[field], list) or not all(isinstance(x, dict) for x in value[field]):
+            return None
         return [(ROLES.get(as_text(x.get(role)), as_text(x.get(role))), as_text(x.get(text))) for x in value[field]]
     return [(r, as_text(value.get(f))) for r, f in mapping.pairs if value.get(f) or f not in mapping.optional]
 
@@ -138,7 +145,8 @@ def turns_of_value(value) -> list[tuple[str, str]] | None:
 def canonical_json(records: DataFrame, key: str, column: str) -> DataFrame:
     """conv_id, turn, role, text of a column of JSON records whose layouts may differ from row to row.
 
-    Records that aren't JSON or have no known layout come out as one turn with a null role and the raw text.
+    Records that aren't JSON, have no known layout, more than one, or turns that aren't objects come out as one turn
+    with a null role and the raw text. A null record has no turns.
     """
 
     @F.pandas_udf("array<struct<role:string,text:string>>")
@@ -236,9 +244,10 @@ def format_turns(turns: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of conversations, from the formatted rows alone and in their order within partitions.
+    """Digests of conversations, from the formatted rows alone: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
-    conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+    Rows may come in any order; they are dealt by conversation and sorted by segment, and streamed, since a digest
+    goes over the turns one after another. Rows with a null conv_id are one conversation.
     """
     kind = next(f for f in formatted.select("conv_id").schema)
     schema = StructType([kind]).add("n_turns", "long").add("turns_sha256", "string").add("loss_chars", "long").add("loss_sha256", "string").add("formatted_chars", "long")
@@ -260,7 +269,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         for b in batches:
             id_type = b.schema.field("conv_id").type
             for c, segment, text, loss in zip(b["conv_id"].to_pylist(), b["segment"].to_pylist(), b["formatted"].to_pylist(), b["loss"].to_pylist()):
-                if segment == 0:
+                if now is None or now[0] != c:
                     if now:
                         flush()
                     now = [c, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
@@ -278,4 +287,5 @@ def read_back(formatted: DataFrame) -> DataFrame:
             flush()
             yield batch()
 
-    return formatted.mapInArrow(digests, schema)
+    rows = formatted.select("conv_id", "segment", "formatted", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "segment")
+    return rows.mapInArrow(digests, schema)

@@ -51,6 +51,8 @@ class MergeCounter:
         if spec["model"]["type"] != "BPE" or before["type"] != "ByteLevel" or before["add_prefix_space"] or spec["normalizer"]:
             raise ValueError("a byte-level BPE file without normalizer is asked for")
         vocab = spec["model"]["vocab"]
+        if max(vocab.values()) >= 1 << 17:
+            raise ValueError("a vocabulary of at most 131,072 symbols is asked for: a rule is packed in two times 17 bits")
         self.pre_tokenizer = Tokenizer.from_file(path).pre_tokenizer
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
         self.symbol = vocab  # of a byte as the file writes it
@@ -77,6 +79,8 @@ class MergeCounter:
         An entry whose rule isn't the one noted for its position any more is stale.
         """
         left = len(symbols)
+        if left > 1 << 26:
+            raise ValueError("a piece without a break is longer than 67 million bytes: its positions are packed in 26 bits")
         rule, pop, push = self.rule, heapq.heappop, heapq.heappush
         noted = [rule(a << 17 | b, 0) for a, b in zip(symbols, symbols[1:])]
         heap = [v << 26 | i for i, v in enumerate(noted) if v]
