@@ -286,12 +286,12 @@ def test_near_duplicates(spark, small):
             if both and 100 * both >= 75 * len(sets[i] | sets[j]):
                 a, b = root(i), root(j)
                 parent[max(a, b)] = min(a, b)
-    keep = near_dedup.SMALL, near_dedup.BLOCK, near_dedup.TOGETHER
-    near_dedup.SMALL, near_dedup.BLOCK, near_dedup.TOGETHER = small, max(3, small // 40), 40 * small
+    keep = near_dedup.SMALL, near_dedup.TOGETHER
+    near_dedup.SMALL, near_dedup.TOGETHER = small, 40 * small
     try:
         got = near_dedup.near_duplicates(table(spark, texts)).orderBy("doc_id").collect()
     finally:
-        near_dedup.SMALL, near_dedup.BLOCK, near_dedup.TOGETHER = keep
+        near_dedup.SMALL, near_dedup.TOGETHER = keep
     assert [(r.n_shingles, r.component_id, r.kept) for r in got] == [(len(s), root(k), root(k) == k) for k, s in enumerate(sets)]
 
 

@@ -29,7 +29,7 @@ TREES = 16
 #: Minwise tokens of the embedding; the first TREES are those of the trees' roots.
 TOKENS = 48
 #: A node up to this size is compared exhaustively; a larger one branches, up to DEEPEST times.
-SMALL, DEEPEST, CHILDREN = 2000, 4, 2
+SMALL, DEEPEST, CHILDREN = 512, 5, 2
 #: Trees of the first round. What they connect is known in the next, which looks at all other trees for links between
 #: different components only.
 FIRST = 2
@@ -37,8 +37,6 @@ FIRST = 2
 PIVOTS = 8
 #: Agreeing tokens of a likely pair: at similarity 0.75, 36 of 48 are expected, and 3 more or less.
 LIKELY = 21
-#: Members of a node are dealt to blocks of about this many, and compared a pair of blocks at a time.
-BLOCK = 256
 #: Bytes of full sets that are compared together, but for a pair of sets that are larger themselves.
 TOGETHER = 32 << 20
 
@@ -174,16 +172,8 @@ def sketch_of(tokens: np.ndarray) -> bytes:
     return tokens.astype(np.uint8).tobytes()
 
 
-def _blocked(groups: DataFrame) -> DataFrame:
-    """Rows (node, part, id, _m) dealt to pairs of blocks: (node, part, _i, _j, id, _b). _m is the number of members of the group."""
-    n = F.greatest(F.lit(1), F.ceil(F.col("_m") / BLOCK).cast("int"))
-    dealt = groups.withColumn("_k", n).withColumn("_b", F.pmod(F.xxhash64("id", "part"), F.col("_k")).cast("int"))
-    dealt = dealt.select("node", "part", "id", "_b", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_o"))
-    return dealt.select("node", "part", "id", "_b", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"))
-
-
 def _sifted(groups: DataFrame) -> DataFrame:
-    """Rows (node, part, _i, _j, _b, id, sketch, n, component) without those that have no likely partner in their pair of blocks: (node, id).
+    """Rows (node, part, id, sketch, n, component) without those that have no likely partner in their group: (node, id).
 
     Partners are of different components. A pair is likely when at least LIKELY of its tokens agree and the sizes of
     its sets allow the similarity. What likely pairs connect becomes a node named by a hash of its
@@ -192,7 +182,7 @@ def _sifted(groups: DataFrame) -> DataFrame:
     """
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, blocks, sketches, sizes, owners, nodes, out = None, [], [], [], [], [], [], []
+        now, ids, sketches, sizes, owners, nodes, out = None, [], [], [], [], [], []
 
         def emit(members: list[int]) -> None:
             nodes.extend([xxhash.xxh64_intdigest(np.array(members, np.int64).tobytes()) - (1 << 63)] * len(members))
@@ -205,11 +195,9 @@ def _sifted(groups: DataFrame) -> DataFrame:
             agree = np.zeros((len(ids), len(ids)), np.uint8)
             for column in x.T:
                 agree += column[:, None] == column[None, :]
-            of, block, n = np.array(owners), np.array(blocks), np.array(sizes)
+            of, n = np.array(owners), np.array(sizes)
             near = (agree >= LIKELY) & (of[:, None] != of[None, :])
             near &= 100 * np.minimum(n[:, None], n[None, :]) >= PERCENT * np.maximum(n[:, None], n[None, :])
-            if now[2] != now[3]:
-                near &= block[:, None] != block[None, :]
             left = set(np.flatnonzero(near.any(0)).tolist())
             while left:
                 reached, front = set(), {left.pop()}
@@ -240,20 +228,20 @@ def _sifted(groups: DataFrame) -> DataFrame:
             return made
 
         for b in batches:
-            for key, i, block, t, n, c in zip(zip(*(b[c].to_pylist() for c in by)), *(b[c].to_pylist() for c in ("id", "_b", "sketch", "n", "component"))):
+            for key, i, t, n, c in zip(zip(*(b[c].to_pylist() for c in by)), *(b[c].to_pylist() for c in ("id", "sketch", "n", "component"))):
                 if key != now:
                     close()
                     now = key
-                    for kept in (ids, blocks, sketches, sizes, owners):
+                    for kept in (ids, sketches, sizes, owners):
                         kept.clear()
-                for kept, value in zip((ids, blocks, sketches, sizes, owners), (i, block, t, n, c)):
+                for kept, value in zip((ids, sketches, sizes, owners), (i, t, n, c)):
                     kept.append(value)
             yield batch()
         close()
         yield batch()
 
-    by = ["node", "part", "_i", "_j"]
-    rows = groups.select(*by, "id", "_b", "sketch", "n", "component").repartition(*by).sortWithinPartitions(*by, "id")
+    by = ["node", "part"]
+    rows = groups.select(*by, "id", "sketch", "n", "component").repartition(*by).sortWithinPartitions(*by, "id")
     return rows.mapInArrow(sift, "node long, id long").distinct()
 
 
@@ -336,30 +324,29 @@ def _members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links, sets, level = None, None, 0
     known = None
     while True:
-        tagged = nodes.join(known, "id", "left").withColumn("_c", F.coalesce("component", "id")) if level else nodes.withColumn("_c", F.col("id"))
-        stats = tagged.groupBy("node").agg(F.count(F.lit(1)).alias("_n"), F.min("_c").alias("_low"), F.max("_c").alias("_high"), F.sum(F.shiftright(F.xxhash64("id"), 16)).alias("_sum"), F.bit_xor(F.xxhash64("id")).alias("_xor"))
+        told = small(known) if level else None
+        tagged = nodes.join(told, "id", "left").withColumn("_c", F.coalesce("component", "id")) if level else nodes.withColumn("_c", F.col("id"))
+        stats = tagged.groupBy("node").agg(F.count(F.lit(1)).alias("_n"), F.min("_c").alias("_low"), F.max("_c").alias("_high"), F.bit_xor(F.xxhash64("id")).alias("_xor"))
         stats = materialize(stats.where("_low <> _high"), "near-stats")  # nodes of one row or one component are done
         # Nodes of the same members, as many pairs have in several trees, are compared once.
-        leaf = stats.where(F.col("_n") <= SMALL).groupBy("_n", "_sum", "_xor").agg(F.min("node").alias("node")).select("node", F.col("_n").alias("_m"))
-        leaves = nodes.join(leaf, "node").select("node", F.lit(0).cast("long").alias("part"), "id", "_m")
-        large = stats.where(F.col("_n") > SMALL).groupBy("_n", "_sum", "_xor").agg(F.min("node").alias("node")).select("node", "_n")
+        leaf = stats.where(F.col("_n") <= SMALL).groupBy("_n", "_xor").agg(F.min("node").alias("node")).select("node")
+        leaves = nodes.join(small(materialize(leaf, "near-leaf-nodes")), "node").select("node", F.lit(0).cast("long").alias("part"), "id")
+        large = stats.where(F.col("_n") > SMALL).groupBy("_n", "_xor").agg(F.min("node").alias("node")).select("node", "_n")
         large = materialize(large, "near-large")
         more = not large.isEmpty()
-        leaves = _blocked(leaves)
         if more:
             inside = materialize(nodes.join(large, "node"), "near-inside")
-            parts = (F.col("_n") / BLOCK).cast("long") + 1
-            one = lambda df: df.select("node", "part", F.lit(0).alias("_i"), F.lit(0).alias("_j"), F.lit(0).alias("_b"), "id")
+            parts = (F.col("_n") / SMALL).cast("long") + 1
             if level < DEEPEST:
                 ranked = F.pmod(F.xxhash64("node", "id"), F.lit(1 << 40))
                 pivots = inside.withColumn("_r", ranked).groupBy("node", "_n", F.pmod("_r", F.lit(PIVOTS)).alias("_slot")).agg(F.min_by("id", "_r").alias("id"))
                 spread = pivots.select("node", F.explode(F.sequence(F.lit(1).cast("long"), parts)).alias("part"), "id")
                 members = inside.select("node", (F.pmod(F.xxhash64("id", "node"), parts) + 1).alias("part"), "id")
                 members = members.join(pivots.select("node", "id"), ["node", "id"], "left_anti")
-                leaves = leaves.unionByName(one(spread)).unionByName(one(members))
+                leaves = leaves.unionByName(spread).unionByName(members)
             else:
-                leaves = leaves.unionByName(one(_all_against_rest(inside.join(known, "id", "left").withColumn("_c", F.coalesce("component", "id")), parts)))
-        told = sketches.join(known, "id", "left").withColumn("component", F.coalesce("component", "id")) if level else sketches.withColumn("component", F.col("id"))
+                leaves = leaves.unionByName(_all_against_rest(inside.join(known, "id", "left").withColumn("_c", F.coalesce("component", "id")), parts))
+        told = sketches.join(told, "id", "left").withColumn("component", F.coalesce("component", "id")) if level else sketches.withColumn("component", F.col("id"))
         leaves = materialize(_sifted(leaves.join(told, "id")), "near-leaves")
         new = leaves.select("id").distinct()
         new = _sets_for(docs, classes, new if sets is None else new.join(sets.select("id"), "id", "left_anti"))
