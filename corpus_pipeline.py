@@ -35,8 +35,8 @@ def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents that are left, placed in sequences of at most 2048 tokens."""
-    return packing.pack_documents(docs, tokenizer(), capacity=2048)
+    """Pieces of the documents that are left, with their token ids, placed in sequences of at most 2048 tokens."""
+    return packing.pack_documents(docs, tokenizer(), capacity=2048, keep_ids=True)
 
 
 STAGES = [
