@@ -124,15 +124,15 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int =
     return rows.mapInArrow(pieces, schema)
 
 
-#: A class of lengths reaches down to half its longest, or to a quarter where pieces are this short.
-SHORT = 64
+#: Pieces and gaps that are swept together, at least: a sweep takes no more ranges than that, or than shuffles have partitions.
+RANGE = 50_000
 
 
 def classes_of(capacity: int) -> list[tuple[int, int]]:
-    """(above, up to) of the classes of lengths up to half of capacity, longest first."""
+    """(above, up to) of the classes of lengths up to half of capacity, longest first: each reaches down to a quarter, the last to nothing."""
     out, top = [], capacity // 2
     while top > 0:
-        low = top // 2 if top > SHORT else top // 4
+        low = top // 4 if top > 16 else 0
         out.append((low, top))
         top = low
     return out
@@ -220,7 +220,7 @@ def swept(pieces: DataFrame, slots: DataFrame, ranges: int) -> tuple[DataFrame,
 def best_fit(pieces: DataFrame, capacity: int) -> DataFrame:
     """(_pid, bin, offset) of pieces (_pid, length), read from storage, that are shorter than capacity."""
     spark = pieces.sparkSession
-    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    most = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     lengths = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most capacity numbers
     opening = pieces.where(F.col("length") > capacity // 2)
     bins = materialize(opening.select((2 * F.col("_pid")).alias("bin"), (capacity - F.col("length")).alias("gap")), "pack-gaps")
@@ -246,14 +246,14 @@ def best_fit(pieces: DataFrame, capacity: int) -> DataFrame:
                     offered, widest = offered + g // longest * gaps[g], g
             times = F.when(F.col("gap") >= longest, F.floor(F.col("gap") / longest)).otherwise(1).cast("int")
             slots = bins.where(F.col("gap").between(min(left), widest)).select("bin", "gap", F.least("gap", F.lit(longest).cast("long")).alias("size"), F.explode(F.sequence(F.lit(0), times - 1)).alias("slot"))
-            found, todo, n = swept(todo, slots, ranges)
+            found, todo, n = swept(todo, slots, min(most, -(-(number + offered + sum(gaps.values())) // RANGE)))
             round_ += 1
             if n:
                 placed = placed.unionByName(found.select("_pid", "length", "bin", F.lit(round_).alias("round"), "slot"))
                 used = found.groupBy("bin").agg(F.sum("length").alias("_used"))
                 bins = bins.join(used, "bin", "left").select("bin", (F.col("gap") - F.coalesce("_used", F.lit(0))).alias("gap")).where("gap > 0")
             bins = materialize(bins, "pack-gaps")
-            stuck = 10 * n < number and not new
+            stuck = 5 * n < 2 * number and not new
             left = {r["length"]: r["count"] for r in todo.groupBy("length").count().collect()} if n < number else {}
     before = Window.partitionBy("bin").orderBy("round", "slot", "_pid").rowsBetween(Window.unboundedPreceding, -1)  # at most capacity rows
     return placed.select("_pid", "bin", F.coalesce(F.sum("length").over(before), F.lit(0).cast("long")).alias("offset"))
