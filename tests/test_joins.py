@@ -141,15 +141,16 @@ def embeddings(spark, folder, x, labels=None):
 
 
 def test_ranked_range_join_is_whole_beyond_k(spark, tmp_path):
-    """Queries 0 and 10 have 31 and 8 rows within the limit, 20 and 30 fewer than k."""
+    """Queries 0 and 100 have 31 and 8 rows within the limit, 200 and 300 fewer than k."""
     x = np.full((70, 2), 50.0) + np.arange(70)[:, None] * 3
+    x = np.concatenate([x, np.full((250, 2), 900.0) + np.arange(250)[:, None] * 3])
     x[[0, *range(31, 61)]] = rng.normal(size=(31, 2)) * 0.05
-    x[[10, *range(1, 8)]] = [-40.0, 0.0] + rng.normal(size=(8, 2)) * 0.05
-    x[[20, 21]] = [[-80.0, 0.0], [-80.0, 1.0]]
+    x[[100, *range(1, 8)]] = [-40.0, 0.0] + rng.normal(size=(8, 2)) * 0.05
+    x[[200, 201]] = [[-80.0, 0.0], [-80.0, 1.0]]
     x = x.astype(np.float32)
     x[40] = x[41]
     d = ((x[:, None].astype(float) - x[None]) ** 2).sum(2)
-    want = [(q, r + 1, int(j)) for q in range(0, 70, 10) for r, j in enumerate(j for j in np.lexsort((np.arange(70), d[q])) if d[q, j] <= queries.LIMIT)]
+    want = [(q, r + 1, int(j)) for q in range(0, 320, 100) for r, j in enumerate(j for j in np.lexsort((np.arange(320), d[q])) if d[q, j] <= queries.LIMIT)]
     got = rows(queries.QUERIES["knn_then_filter"](spark, embeddings(spark, tmp_path, x)))
     assert got == sorted(want) and sum(w[0] == 0 for w in want) > 8
 
@@ -186,37 +187,43 @@ def test_progressive_scan_has_all_pairs_and_bands(spark, tmp_path):
     assert got == sorted(want) and {w[3] for w in want} == {16, 32, 64} and len(want) < 70 * 69
 
 
-def test_stage_state_counts_equal_brute_force_bounds(spark, tmp_path):
-    """Each pair of a float32 table by the int8 bound, the single-precision guard and the fold, one at a time."""
+def test_stage_state_counts_add_up(spark, tmp_path):
+    """Every pair is decided once, by a stage whose decision is the fold's, and what a stage passes on is what later ones decide."""
     x = (rng.normal(size=(60, 8)) * 0.5).astype(np.float32)
     x[1], x[0] = 0.0, [1.4**0.5, 0, 0, 0, 0, 0, 0, 0]
+    got = {(r.stage, r.state): r.pairs for r in queries.QUERIES["stage_state_counts"](spark, embeddings(spark, tmp_path, x)).collect()}
+    assert got[1, 2] == sum(n for (s, t), n in got.items() if s > 1 and t < 2) and got[2, 2] == got.get((3, 0), 0) + got.get((3, 1), 0)
+    assert got[1, 0] + got[1, 1] + got[1, 2] == 60 * 61 // 2
+    assert sum(n for (_, t), n in got.items() if t == 1) == len(expected(x, queries.LIMIT))
     x = x.astype(np.float64)
-    want = dict.fromkeys([(1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (2, 2), (3, 0), (3, 1)], 0)
-
-    def coded(v):
-        scale = np.abs(v).max() / 127 or 1.0
-        return np.rint(v / scale) * scale, np.linalg.norm(v - np.rint(v / scale) * scale)
-
-    for i in range(60):
-        for j in range(i, 60):
-            (p, e), (q, f) = coded(x[i]), coded(x[j])
-            centre = np.linalg.norm(p - q)
-            pad = 1e-7 * (1 + centre)
-            if (centre + e + f + pad) ** 2 <= queries.LIMIT or max(0, centre - e - f - pad) ** 2 > queries.LIMIT:
-                want[1, int((centre + e + f + pad) ** 2 <= queries.LIMIT)] += 1
-                continue
-            want[1, 2] += 1
-            d = float(((x[i].astype(np.float32) - x[j].astype(np.float32)) ** 2).sum(dtype=np.float32))
-            guard = 1e-6 * 8 * (1 + d)
-            if d + guard <= queries.LIMIT or d - guard > queries.LIMIT:
-                want[2, int(d + guard <= queries.LIMIT)] += 1
-                continue
-            want[2, 2] += 1
-            want[3, int(sum((x[i] - x[j]) ** 2) <= queries.LIMIT)] += 1
-    got = rows(queries.QUERIES["stage_state_counts"](spark, embeddings(spark, tmp_path, x)))
-    assert got == sorted((*k, n) for k, n in want.items())
-    assert want[2, 2] and want[2, 0] and want[2, 1] and want[1, 0] and want[1, 1]
-    assert want[1, 1] + want[2, 1] + want[3, 1] == len(expected(x, queries.LIMIT))
+    seen = set()
+    for a, b, stage, state in joins.certified(np.arange(60), x, np.arange(60), x, True, queries.LIMIT):
+        for i, j in zip(a.tolist(), b.tolist()):
+            assert (i, j) not in seen and bool(state) == (float(tiles.folded("l2", x[i : i + 1], x[j : j + 1])[0]) <= queries.LIMIT)
+            seen.add((i, j))
+    assert len(seen) == 60 * 61 // 2 and got[1, 0] > got[2, 2] and got[2, 0] + got[2, 1] > 0
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e-6, 1.0, 1e3, 1e5, 1e7, 1e12])
+@pytest.mark.parametrize("scale", [1e-150, 1e-6, 1.0, 1e7, 1e25])
+def test_certificates_hold_at_any_scale_and_offset(offset, scale):
+    """Doubles around a common offset: each stage decides as the fold does; limits on and between distances."""
+    r = np.random.default_rng(int(offset) + 7)
+    x = (offset + r.normal(size=(40, 4))) * scale
+    x[1] = x[0]
+    d = np.array([tiles.folded("l2", np.repeat(x[i : i + 1], 40, 0), x) for i in range(40)])
+    for limit in (0.0, float(d[3, 5]), float(np.nextafter(d[3, 5], 0)), 0.5 * scale * scale, float(np.median(d))):
+        n = 0
+        for a, b, _, state in joins.certified(np.arange(40), x, np.arange(40), x, True, limit):
+            assert ((d[a, b] <= limit) == bool(state)).all()
+            n += len(a)
+        assert n == 40 * 41 // 2
+
+
+def test_cascade_equals_naive_around_an_offset(spark):
+    x = 1e7 + np.random.default_rng(3).normal(size=(40, 4)) * 0.4
+    df = frame(spark, x, "double")
+    assert rows(joins.similarity_join(df, None, 0.5, "cascade")) == rows(joins.similarity_join(df, None, 0.5, "naive"))
 
 
 def test_condensed_pairs(spark):
@@ -246,18 +253,25 @@ def test_update_log(spark):
     assert {r[0] for r in rows(updates.live_ids(events, start))} == live
 
 
-def test_stream_equals_replay(spark, tmp_path):
+@pytest.mark.parametrize("cache", [0, 7, 1000])
+def test_stream_equals_replay(spark, tmp_path, cache):
+    """With a snapshot each batch, compaction on the way, and none; a batch that runs again gives the same."""
     log = [(k, ("insert", "query", "delete", "query")[k % 4], (k * 7) % 5) for k in range(40)]
     vec = spark.createDataFrame([(k, [float(k)]) for k in range(5)], "id long, vec array<float>")
     base = spark.createDataFrame([(0,)], "id long")
-    for part in range(4):
-        spark.createDataFrame(log[part * 10 : part * 10 + 10], "seq long, op string, id long").coalesce(1).write.parquet(str(tmp_path / "in" / f"p{part}"))
-    out = []
-    index = updates.LiveIndex(vec, base, str(tmp_path / "state"), 1.0, lambda df, batch: out.extend(map(tuple, df.collect())))
+    out = {}
+    index = updates.LiveIndex(vec, base, str(tmp_path / "state"), 1.0, lambda df, batch: out.__setitem__(batch, rows(df)), cache)
     for part in range(4):  # batches in order
-        index.on_batch(spark.read.parquet(str(tmp_path / "in" / f"p{part}")), part)
+        events = spark.createDataFrame(log[part * 10 : part * 10 + 10], "seq long, op string, id long").coalesce(1)
+        index.on_batch(events, part)
+        before = out[part]
+        if part == 2:
+            index.on_batch(events, part)
+            assert out[part] == before
     events = spark.createDataFrame(log, "seq long, op string, id long")
-    assert sorted(out) == rows(updates.replay(events, base, vec, 1.0))
+    assert sorted(r for b in out.values() for r in b) == rows(updates.replay(events, base, vec, 1.0))
+    assert {r[0] for r in rows(index.snapshot(3))} == {r[0] for r in rows(updates.live_ids(events, base))}
+    assert index.state(3)[0] == {0: 3, 7: 3, 1000: -1}[cache]
 
 
 def test_farthest_pivots(spark):

@@ -29,6 +29,10 @@ def test_raw_idx_npy(spark, tmp_path):
     x = np.arange(6, dtype=np.float64).reshape(2, 3)
     (tmp_path / "a.bin").write_bytes(x.tobytes())
     assert got(V.read_raw(spark, str(tmp_path / "a.bin"), 3, "f8")) == [(0, [0.0, 1.0, 2.0]), (1, [3.0, 4.0, 5.0])]
+    (tmp_path / "many").mkdir()
+    for k in (2, 0, 1):
+        (tmp_path / "many" / f"{k}.bin").write_bytes(np.array([[k, 1 / 3]] * (k + 1)).tobytes())
+    assert got(V.read_raw(spark, str(tmp_path / "many"), 2, "f8")) == [(0, [0.0, 1 / 3]), (1, [1.0, 1 / 3]), (2, [1.0, 1 / 3]), (3, [2.0, 1 / 3]), (4, [2.0, 1 / 3]), (5, [2.0, 1 / 3])]
     (tmp_path / "a.gz").write_bytes(gzip.compress(struct.pack(">4i", 2051, 2, 1, 2) + bytes([1, 2, 3, 4])))
     assert got(V.read_idx(spark, str(tmp_path / "a.gz"))) == [(0, [1.0, 2.0]), (1, [3.0, 4.0])]
     np.save(tmp_path / "a.npy", x)

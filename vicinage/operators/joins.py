@@ -51,65 +51,89 @@ def ranked_range_join(queries: DataFrame, base: DataFrame, k: int, limit: float)
 
 
 def cascade(left: DataFrame, right: DataFrame | None, limit: float) -> DataFrame:
-    """(i, j, stage, state) of every pair that the first certificate doesn't reject.
+    """(i, j, stage, state) of every pair that the first certificate doesn't reject; a pair's last stage is given.
 
     Stage 1 bounds the distance by int8 codes and the exact norm of what they leave out, stage 2 by single
-    precision with a guard, stage 3 is the folded double distance. state is 1 for accepted, 0 for rejected.
+    precision, stage 3 is the folded double distance. Bounds grow with the rounding errors that the norms
+    of the vectors, their dimension and the fold itself allow, at any scale and offset. state is 1 for accepted, 0 for rejected.
     """
     import numpy as np
     import pandas as pd
 
-    from vicinage.operators.tiles import folded
-
     itself = right is None
 
-    def codes(x):
-        top = np.abs(x).max(1)
-        scale = np.where(top > 0, top / 127, 1.0)
-        c = np.clip(np.rint(x / scale[:, None]), -127, 127)
-        return c, scale, np.sqrt(((x - c * scale[:, None]) ** 2).sum(1)) * (1 + 1e-12) + 1e-15
-
     def kernel(ids, x, others, y, same):
-        if not len(ids):
-            return pd.DataFrame({"i": [], "j": [], "stage": [], "state": []})
-        (cx, sx, ex), (cy, sy, ey) = codes(x), codes(y)
-        qx, qy = (cx * cx).sum(1) * sx**2, (cy * cy).sum(1) * sy**2
-        centre = np.sqrt(np.maximum(0, qx[:, None] + qy[None, :] - 2 * np.outer(sx, sy) * (cx @ cy.T)))
-        pad = 1e-7 * (1 + centre)
-        lower = np.maximum(0, centre - ex[:, None] - ey[None, :] - pad) ** 2
-        upper = (centre + ex[:, None] + ey[None, :] + pad) ** 2
-        wanted = ids[:, None] <= others[None, :] if itself and same else np.ones(centre.shape, bool)
-        out = []
-        a, b = np.nonzero(wanted & (upper <= limit))
-        out.append((a, b, 1, 1))
-        a, b = np.nonzero(wanted & (upper > limit) & (lower <= limit))
-        x32, y32 = x.astype(np.float32), y.astype(np.float32)
-        d32 = ((x32[a] - y32[b]) ** 2).sum(1, dtype=np.float32).astype(np.float64)
-        guard = 1e-6 * x.shape[1] * (1 + d32)
-        yes, no = d32 + guard <= limit, d32 - guard > limit
-        out += [(a[yes], b[yes], 2, 1), (a[no], b[no], 2, 0)]
-        a, b = a[~yes & ~no], b[~yes & ~no]
-        d = folded("l2", x[a], y[b])
-        out += [(a[d <= limit], b[d <= limit], 3, 1), (a[d > limit], b[d > limit], 3, 0)]
-        frames = [pd.DataFrame({"i": ids[a], "j": others[b], "stage": s, "state": t}) for a, b, s, t in out]
-        found = pd.concat(frames, ignore_index=True)
-        if itself:
-            low, high = np.minimum(found["i"], found["j"]), np.maximum(found["i"], found["j"])
-            found["i"], found["j"] = low, high
+        frames = [pd.DataFrame({"i": ids[a], "j": others[b], "stage": stage, "state": state}) for a, b, stage, state in certified(ids, x, others, y, itself and same, limit) if (stage, state) != (1, 0)]
+        found = pd.concat(frames, ignore_index=True) if frames else pd.DataFrame({"i": [], "j": [], "stage": [], "state": []})
+        if itself and len(found):
+            found["i"], found["j"] = np.minimum(found["i"], found["j"]), np.maximum(found["i"], found["j"])
         return found
 
     return over_tiles(left, right, kernel, "i long, j long, stage int, state int")
 
 
+def certified(ids, x, others, y, same: bool, limit: float):
+    """(rows of x, rows of y, stage, state) of all pairs of two blocks, i <= j where the block is the same; none is in two of them."""
+    import numpy as np
+
+    from vicinage.operators.tiles import folded
+
+    if not len(ids):
+        return []
+    unit, d = 2.0**-53, x.shape[1]
+    fold, least = (d + 8) * unit, d * 2.0**-1022  # relative error of the folded distance; squares that vanish
+    shift = x.mean(0)  # differences stay, and codes are finer around a common offset
+    zx, zy = x - shift, y - shift
+    norm = lambda m: np.sqrt((m * m).sum(1)) * (1 + fold) + 2.0**-500
+    shifted = 4 * unit * (norm(zx)[:, None] + norm(zy)[None, :])
+
+    def coded(z):
+        top = np.abs(z).max(1)
+        scale = np.where(top > 2.0**-1000, top / 127, 1.0)
+        c = np.clip(np.rint(z / scale[:, None]), -127, 127)
+        return c, scale, norm(z - c * scale[:, None]) + 4 * unit * norm(z)
+
+    (cx, sx, ex), (cy, sy, ey) = coded(zx), coded(zy)
+    qx, qy = (cx * cx).sum(1) * sx**2, (cy * cy).sum(1) * sy**2
+    square = qx[:, None] + qy[None, :] - 2 * np.outer(sx, sy) * (cx @ cy.T)  # code products are whole numbers below 2^53
+    slack = 32 * unit * (qx[:, None] + qy[None, :]) + least
+    apart = ex[:, None] + ey[None, :] + shifted
+    lower = np.maximum(0, np.sqrt(np.maximum(0, square - slack)) - apart) ** 2 * (1 - 2 * fold) - least
+    upper = (np.sqrt(np.maximum(0, square) + slack) + apart) ** 2 * (1 + 2 * fold) + least
+    wanted = ids[:, None] <= others[None, :] if same else np.ones(square.shape, bool)
+    out = [(*np.nonzero(wanted & (upper <= limit)), 1, 1), (*np.nonzero(wanted & (lower > limit)), 1, 0)]
+    a, b = np.nonzero(wanted & ~(upper <= limit) & ~(lower > limit))
+    single = 2.0**-24
+    with np.errstate(over="ignore", invalid="ignore"):
+        x32, y32 = zx.astype(np.float32), zy.astype(np.float32)
+        d32 = np.sqrt(((x32[a] - y32[b]) ** 2).sum(1, dtype=np.float32).astype(np.float64))
+    # Beyond single precision's range nothing is decided; below it, what vanishes is added.
+    off = shifted[a, b] + 2 * single * (norm(zx)[a] + norm(zy)[b]) + d * 2.0**-74
+    rel = (d + 8) * single
+    high = np.where(np.isfinite(d32), (d32 * (1 + rel) + off) ** 2 * (1 + 2 * fold) + least, np.inf)
+    low = np.where(np.isfinite(d32), np.maximum(0, d32 * (1 - rel) - off) ** 2 * (1 - 2 * fold) - least, -np.inf)
+    yes, no = high <= limit, low > limit
+    out += [(a[yes], b[yes], 2, 1), (a[no], b[no], 2, 0)]
+    a, b = a[~yes & ~no], b[~yes & ~no]
+    exact = folded("l2", x[a], y[b]) <= limit
+    return [*out, (a[exact], b[exact], 3, 1), (a[~exact], b[~exact], 3, 0)]
+
+
 def stage_state_counts(left: DataFrame, limit: float) -> DataFrame:
-    """(stage, state, pairs) of the cascade over a self-join, i <= j: 1 accepted, 0 rejected, 2 passed on to the next stage."""
-    n = left.count()
-    decided = cascade(left, None, limit).groupBy("stage", "state").agg(F.count(F.lit(1)).alias("pairs"))
-    found = {(r["stage"], r["state"]): r["pairs"] for r in decided.collect()}  # at most five rows
-    later = {s: sum(k for (t, _), k in found.items() if t > s) for s in (1, 2)}
-    found[1, 0] = n * (n + 1) // 2 - sum(found.values())
-    out = [(s, state, later[s] if state == 2 else found.get((s, state), 0)) for s in (1, 2, 3) for state in (0, 1, 2) if (s, state) != (3, 2)]
-    return left.sparkSession.createDataFrame(out, "stage int, state int, pairs long")
+    """(stage, state, pairs) of the cascade over a self-join, i <= j: 1 accepted, 0 rejected, 2 passed on to the next stage.
+
+    Tiles count their own pairs: five numbers a tile.
+    """
+    import pandas as pd
+
+    def kernel(ids, x, others, y, same):
+        n = {(stage, state): len(a) for a, _, stage, state in certified(ids, x, others, y, same, limit)}
+        rows = [(stage, state, k) for (stage, state), k in n.items()]
+        rows += [(s, 2, sum(k for (stage, _), k in n.items() if stage > s)) for s in (1, 2)]
+        return pd.DataFrame(rows, columns=["stage", "state", "pairs"])
+
+    counted = over_tiles(left, None, kernel, "stage int, state int, pairs long")
+    return counted.groupBy("stage", "state").agg(F.sum("pairs").alias("pairs"))
 
 
 def pivot_join(left: DataFrame, right: DataFrame | None, limit: float, pivots: int = 2) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinage.functions import metrics as M
 from vicinage.operators.tiles import over_tiles, pairs_within_groups, smallest
+from vicinage.plans.storage import written
 
 # --- multi-vector objects
 
@@ -69,8 +72,11 @@ def factorised_join(left: DataFrame, right: DataFrame, limit: float | None = Non
 
     Pairs are made unique before distances are taken: a pair's distance doesn't depend on the witness.
     """
-    pairs = left.join(right, "w").dropDuplicates(["q", "b"])
-    return (pairs if limit is None else pairs.where(M.squared_l2("qv", "bv") <= limit)).select("q", "b")
+    pairs = left.select("w", "q").join(right.select("w", "b"), "w").select("q", "b").distinct()
+    if limit is None:
+        return pairs
+    qv, bv = left.groupBy("q").agg(F.first("qv").alias("qv")), right.groupBy("b").agg(F.first("bv").alias("bv"))
+    return pairs.join(qv, "q").join(bv, "b").where(M.squared_l2("qv", "bv") <= limit).select("q", "b")
 
 
 def factorised_self_join(rows: DataFrame, limit: float) -> DataFrame:
@@ -90,11 +96,23 @@ def neighbourhood_groups(pairs: DataFrame) -> DataFrame:
 # --- calibration
 
 
+def _running(left: DataFrame, right: DataFrame | None, pairs: int) -> DataFrame:
+    """(d, pairs, _to) of the smallest distances: _to is the number of pairs up to d. Sums run within ranges of d and over the sums of earlier ranges."""
+    found = smallest(left, right, pairs)
+    parts = max(1, int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = written(found.repartitionByRange(parts, "d").withColumn("_p", F.spark_partition_id()), "distances")
+    upto = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    before = ranged.groupBy("_p").agg(F.sum("pairs").alias("_s")).select("_p", F.coalesce(F.sum("_s").over(upto), F.lit(0)).alias("_base"))
+    own = F.sum("pairs").over(Window.partitionBy("_p").orderBy("d"))
+    return ranged.withColumn("_own", own).join(F.broadcast(before), "_p").select("d", "pairs", (F.col("_base") + F.col("_own")).alias("_to"))
+
+
 def midgap(left: DataFrame, right: DataFrame | None, pairs: int) -> DataFrame:
     """One row, (threshold, pairs): midway between the distance of the pairs-th pair and the next larger; ties all count."""
-    found = smallest(left, right, pairs).withColumn("_to", F.sum("pairs").over(Window.orderBy("d")))
-    found = found.withColumn("_next", F.lead("d").over(Window.orderBy("d"))).where(F.col("_to") >= pairs)
-    return found.orderBy("d").limit(1).select(((F.col("d") + F.col("_next")) / 2).alias("threshold"), F.col("_to").alias("pairs"))
+    two = _running(left, right, pairs).where(F.col("_to") >= pairs).orderBy("d").limit(2)
+    return two.agg(F.min("d").alias("_d"), F.max("d").alias("_next"), F.min("_to").alias("pairs"), F.count(F.lit(1)).alias("_n")).where("_n > 0").select(
+        F.when(F.col("_n") == 2, (F.col("_d") + F.col("_next")) / 2).alias("threshold"), "pairs"
+    )
 
 
 def strict_gap(left: DataFrame, right: DataFrame | None, pairs: int) -> DataFrame:
@@ -104,8 +122,7 @@ def strict_gap(left: DataFrame, right: DataFrame | None, pairs: int) -> DataFram
 
 def order_statistic(left: DataFrame, right: DataFrame | None, pairs: int) -> DataFrame:
     """One row, threshold: the distance of the pairs-th pair."""
-    found = smallest(left, right, pairs).withColumn("_to", F.sum("pairs").over(Window.orderBy("d")))
-    return found.where(F.col("_to") >= pairs).orderBy("d").limit(1).select(F.col("d").alias("threshold"))
+    return _running(left, right, pairs).where(F.col("_to") >= pairs).orderBy("d").limit(1).select(F.col("d").alias("threshold"))
 
 
 # --- pair sets
@@ -152,20 +169,9 @@ def validation(pairs: DataFrame, rows: int) -> DataFrame:
 
 def budget(scored: DataFrame, share: float) -> DataFrame:
     """The best share of rows by score, ties by id: rows id, score."""
-    n = scored.count()
-    return scored.orderBy("score", "id").limit(-(-int(n * share * 1_000_000) // 1_000_000))
+    return scored.orderBy("score", "id").limit(math.ceil(round(scored.count() * share, 6)))
 
 
 def seeded_sample(df: DataFrame, rows: int, seed: int, key: str = "id") -> DataFrame:
     """`rows` rows in an order that depends on the key and the seed only: smaller samples are prefixes of larger ones."""
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(rows)
-
-
-def paired_bootstrap(ratios: list[float], draws: int = 10_000, seed: int = 0) -> tuple[float, float, float]:
-    """Geometric mean of paired ratios and its 95 % interval by resampling; a driver-side report on few numbers."""
-    import numpy as np
-
-    logs = np.log(np.asarray(ratios, dtype=np.float64))
-    picks = np.random.Generator(np.random.PCG64(seed)).integers(0, len(logs), (draws, len(logs)))
-    low, high = np.percentile(logs[picks].mean(1), [2.5, 97.5])
-    return float(np.exp(logs.mean())), float(np.exp(low)), float(np.exp(high))

@@ -176,18 +176,22 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", its
     """
 
     def kernel(ids, x, others, y, same):
-        rows = []
-        if len(ids):
-            near, _ = rough(metric, x, y)
-            for r in range(len(ids)):
-                allowed = np.flatnonzero(others != ids[r]) if not itself else np.arange(len(others))
-                if len(allowed) > 4 * k + 16:
-                    part = np.partition(near[r, allowed], k - 1)[k - 1]
-                    allowed = allowed[near[r, allowed] <= part + 1e-9 * max(1.0, abs(part))]
-                d = folded(metric, np.repeat(x[r : r + 1], len(allowed), 0), y[allowed])
-                order = np.lexsort((others[allowed], d))[:k]
-                rows += [(ids[r], others[allowed[o]], d[o]) for o in order]
-        return pd.DataFrame(rows, columns=["q", "id", "d"])
+        if not len(ids):
+            return pd.DataFrame({"q": [], "id": [], "d": []})
+        near, slack = rough(metric, x, y)
+        if not itself:
+            near = np.where(ids[:, None] == others[None, :], np.inf, near)
+        if near.shape[1] > k:
+            part = np.partition(near, k - 1, axis=1)[:, k - 1 : k]
+            a, b = np.nonzero((near <= part + 2 * slack + 1e-9 * np.maximum(1.0, np.abs(part))) & np.isfinite(near))
+        else:
+            a, b = np.nonzero(np.isfinite(near))
+        d = folded(metric, x[a], y[b])
+        order = np.lexsort((others[b], d, a))
+        a, b, d = a[order], b[order], d[order]
+        place = np.arange(len(a)) - np.searchsorted(a, a)  # within its query
+        a, b, d = a[place < k], b[place < k], d[place < k]
+        return pd.DataFrame({"q": ids[a], "id": others[b], "d": d})
 
     from pyspark.sql import Window
 

@@ -82,17 +82,17 @@ def cascade_join(spark, sf_dir):
     return upper(spark, sf_dir, strategy="cascade")
 
 
-@query(f"{_ALL} SELECT (SELECT count(*) FROM p) AS accepted, (SELECT count(*) FROM p) AS accepted_or_undecided_then_accepted")
+@query(f"{_ALL} SELECT (SELECT count(*) FROM p) AS accepted, (SELECT count(*) FROM d) - (SELECT count(*) FROM p) AS rejected")
 def stage_counts(spark, sf_dir):
-    """What the stages accept together, and that nothing rejected by a later stage is lost."""
-    found = joins.cascade(vectors(spark, sf_dir), None, LIMIT).groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("i", "j").alias("d"))
-    one = F.col("state") == 1
-    return found.agg(F.coalesce(F.sum(F.when(one, F.col("n"))), F.lit(0)).alias("accepted"), F.coalesce(F.sum(F.when(one, F.col("d"))), F.lit(0)).alias("accepted_or_undecided_then_accepted"))
+    """Pairs that the stages of the cascade accept and reject, as each stage has counted its own."""
+    found = joins.stage_state_counts(vectors(spark, sf_dir), LIMIT)
+    total = lambda state: F.coalesce(F.sum(F.when(F.col("state") == state, F.col("pairs"))), F.lit(0))
+    return found.agg(total(1).alias("accepted"), total(0).alias("rejected"))
 
 
 @query()
 def stage_state_counts(spark, sf_dir):
-    """Pairs that each stage of the cascade rejects, accepts and passes on; stage_counts has the total accepted, as its SQL does."""
+    """Pairs that each stage of the cascade rejects, accepts and passes on."""
     return joins.stage_state_counts(vectors(spark, sf_dir), LIMIT)
 
 
@@ -117,19 +117,19 @@ def rs_join_by_label(spark, sf_dir):
     return joins.similarity_join(v.where("label % 2 = 0").select("id", "vec"), v.where("label % 2 = 1").select("id", "vec"), LIMIT)
 
 
-@query(f"SELECT a.vec_id AS q, b.vec_id AS id FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 WHERE {_D2} <= {LIMIT}")
+@query(f"SELECT a.vec_id AS q, b.vec_id AS id FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 WHERE {_D2} <= {LIMIT}")
 def range_query(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    return tiles.pairs_within(v.where("id % 20 = 0"), v, LIMIT).toDF("q", "id")
+    return tiles.pairs_within(v.where("id % 100 = 0"), v, LIMIT).toDF("q", "id")
 
 
 _KNN = "SELECT q, rank, id FROM (SELECT a.vec_id AS q, b.vec_id AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {d}, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON {on}) WHERE rank <= {k}"
 
 
-@query(_KNN.format(d=_D2, on="a.vec_id % 10 = 0", k=8))
+@query(_KNN.format(d=_D2, on="a.vec_id % 100 = 0", k=8))
 def knn_join(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    return tiles.nearest(v.where("id % 10 = 0"), v, 8).select("q", F.col("rank").cast("long").alias("rank"), "id")
+    return tiles.nearest(v.where("id % 100 = 0"), v, 8).select("q", F.col("rank").cast("long").alias("rank"), "id")
 
 
 @query(_KNN.format(d=_D2, on="a.vec_id <> b.vec_id", k=3))
@@ -138,11 +138,11 @@ def knn_graph_without_self(spark, sf_dir):
     return tiles.nearest(v, v, 3, itself=False).select("q", F.col("rank").cast("long").alias("rank"), "id")
 
 
-@query(_KNN.format(d=_D2, on="a.vec_id % 10 = 0", k=8).replace("WHERE rank <= 8", f"WHERE rank <= 8 AND d2 <= {LIMIT}").replace("AS rank FROM", f"AS rank, {_D2} AS d2 FROM"))
+@query(f"SELECT q, row_number() OVER (PARTITION BY q ORDER BY d2, id) AS rank, id FROM (SELECT a.vec_id AS q, b.vec_id AS id, {_D2} AS d2 FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0) WHERE d2 <= {LIMIT}")
 def knn_then_filter(spark, sf_dir):
-    """A range join by nearest neighbours, whole however many rows a query has within the limit. Its SQL stops at 8 a query."""
+    """A range join by nearest neighbours, whole however many rows a query has within the limit."""
     v = vectors(spark, sf_dir)
-    return joins.ranked_range_join(v.where("id % 10 = 0"), v, 8, LIMIT).select("q", F.col("rank").cast("long").alias("rank"), "id")
+    return joins.ranked_range_join(v.where("id % 100 = 0"), v, 8, LIMIT).select("q", F.col("rank").cast("long").alias("rank"), "id")
 
 
 @query(f"SELECT a.vec_id AS i, b.vec_id AS j FROM embeddings a JOIN embeddings b ON a.vec_id <= b.vec_id WHERE {_SUM.format(a='a', b='b', f='abs(z[1]::DOUBLE - z[2]::DOUBLE)')} <= 7.0")
@@ -325,17 +325,17 @@ def witness_multiplicity(spark, sf_dir):
     return relations.witness_pairs(edges(spark, sf_dir)).groupBy("witnesses").agg(F.count(F.lit(1)).alias("pairs"))
 
 
-@query(f"SELECT DISTINCT a.vec_id AS q, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 3 = 0 AND b.vec_id % 3 = 1 AND {_D2} <= 1.6")
+_SHARED = f"FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {_D2} <= 1.6"
+
+
+@query(f"SELECT DISTINCT a.vec_id AS q, b.vec_id AS b {_SHARED}")
 def factorised_join(spark, sf_dir):
-    v = vectors(spark, sf_dir, "label")
-    left = v.where("id % 3 = 0").select(F.col("label").alias("w"), F.col("id").alias("q"), F.col("vec").alias("qv"))
-    right = v.where("id % 3 = 1").select(F.col("label").alias("w"), F.col("id").alias("b"), F.col("vec").alias("bv"))
-    return relations.factorised_join(left, right, 1.6)
+    """All pairs of different rows that share a label and lie within the limit."""
+    return relations.factorised_self_join(vectors(spark, sf_dir, F.col("label").alias("w")), 1.6).toDF("q", "b")
 
 
-@query()
+@query(f"SELECT DISTINCT a.vec_id AS i, b.vec_id AS j {_SHARED}")
 def factorised_self_join(spark, sf_dir):
-    """The whole relation with itself: factorised_join takes two thirds of the rows, as its SQL does."""
     return relations.factorised_self_join(vectors(spark, sf_dir, F.col("label").alias("w")), 1.6)
 
 
@@ -426,7 +426,11 @@ def projected_scan(spark, sf_dir):
     return tiles.pairs_within_groups(v, "label", 0.3).where("i < j")
 
 
-@query()
+_BAND = _SUM.replace("list_zip({a}.embedding, {b}.embedding)", "list_zip({a}.embedding[1:%d], {b}.embedding[1:%d])").format(a="a", b="b", f="(z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)")
+
+
+@query(f"""WITH d AS (SELECT a.vec_id AS i, b.vec_id AS j, {_BAND % (16, 16)} AS d16, {_BAND % (32, 32)} AS d32, {_BAND % (64, 64)} AS d64 FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)
+SELECT i, j, t.threshold, (CASE WHEN d64 <= t.threshold THEN 64 WHEN d32 <= t.threshold THEN 32 ELSE 16 END)::INTEGER AS rank FROM d JOIN (VALUES (0.2::DOUBLE), (0.3::DOUBLE)) AS t(threshold) ON d16 <= t.threshold""")
 def progressive_scan(spark, sf_dir):
     """All pairs, by the bands 0-16, 16-32 and 32-64: the last rank that each survives, for each threshold."""
     return tiles.progressive(vectors(spark, sf_dir), (16, 32, 64), (0.2, 0.3))
@@ -434,7 +438,7 @@ def progressive_scan(spark, sf_dir):
 
 _LOG = "CASE event_type WHEN 'purchase' THEN 'delete' WHEN 'click' THEN 'query' ELSE 'insert' END"
 _LIFE = f"""WITH ev AS (SELECT event_id AS seq, {_LOG} AS op, user_id % (SELECT count(*) FROM embeddings) AS id FROM events),
-l AS (SELECT -1 AS seq, 'insert' AS op, vec_id AS id FROM embeddings WHERE vec_id % 2 = 0 UNION ALL SELECT seq, op, id FROM ev WHERE op <> 'query'),
+l AS (SELECT -1 AS seq, 'insert' AS op, vec_id AS id FROM embeddings UNION ALL SELECT seq, op, id FROM ev WHERE op <> 'query'),
 t AS (SELECT *, lag(op, 1, 'delete') OVER (PARTITION BY id ORDER BY seq) AS was FROM l), u AS (SELECT *, lead(seq) OVER (PARTITION BY id ORDER BY seq) AS dead FROM t WHERE op <> was)"""
 
 
@@ -442,7 +446,7 @@ def update_log(spark, sf_dir):
     n = table(spark, sf_dir, "embeddings").count()
     kind = F.when(F.col("event_type") == "purchase", "delete").when(F.col("event_type") == "click", "query").otherwise("insert")
     events = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), kind.alias("op"), (F.col("user_id") % n).alias("id"))
-    base = table(spark, sf_dir, "embeddings").where("vec_id % 2 = 0").select(F.col("vec_id").alias("id"))
+    base = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"))
     return events, base
 
 
@@ -461,3 +465,87 @@ def stream_range_counts(spark, sf_dir):
     hits = asked.join(near, "i", "left").join(life, "j", "left")
     live = (F.col("born") < F.col("seq")) & (F.col("dead").isNull() | (F.col("dead") > F.col("seq")))
     return hits.groupBy("seq").agg(F.count(F.when(live, 1)).alias("matches"))
+
+
+@query(f"{_LIFE} SELECT row_number() OVER (ORDER BY id) - 1 AS position, id FROM u WHERE op = 'insert' AND dead IS NULL")
+def live_positions(spark, sf_dir):
+    """Places of the live ids, to which deletes by position refer."""
+    return updates.positional(updates.live_ids(*update_log(spark, sf_dir)))
+
+
+@query(f"{_LIFE}, p AS (SELECT row_number() OVER (ORDER BY id) - 1 AS position, id FROM u WHERE op = 'insert' AND dead IS NULL) SELECT id FROM p WHERE position NOT IN (SELECT l_linenumber * 3 FROM lineitem)")
+def positional_deletes(spark, sf_dir):
+    """Live ids after deletes by position."""
+    live = written(updates.live_ids(*update_log(spark, sf_dir)), "live")
+    return updates.delete_positions(live, table(spark, sf_dir, "lineitem").select((F.col("l_linenumber") * 3).cast("long").alias("position")))
+
+
+_DOT = _SUM.replace("{f}", "z[1]::DOUBLE * z[2]::DOUBLE")
+_NORM = "sqrt(" + _DOT.replace("{b}", "{a}") + ")"
+
+
+@query(f"SELECT a.vec_id AS i, round(degrees(acos(greatest(-1, least(1, {_DOT.format(a='a', b='b')} / ({_NORM.format(a='a')} * {_NORM.format(a='b')}))))), 6) AS angle FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def angle_to_next(spark, sf_dir):
+    """Degrees between each vector and the next."""
+    v = vectors(spark, sf_dir)
+    other = v.select((F.col("id") - 1).alias("id"), F.col("vec").alias("next"))
+    return v.join(other, "id").select(F.col("id").alias("i"), F.round(M.angle("vec", "next"), 6).alias("angle"))
+
+
+@query(f"SELECT a.vec_id AS i, (generate_subscripts(a.embedding, 1) - 1)::BIGINT AS dim, round(unnest(a.embedding)::DOUBLE / {_NORM.format(a='a')}, 9) AS value FROM embeddings a")
+def unit_vectors(spark, sf_dir):
+    v = vectors(spark, sf_dir).select(F.col("id").alias("i"), F.posexplode(M.normalised("vec")).alias("dim", "value"))
+    return v.select("i", F.col("dim").cast("long").alias("dim"), F.round("value", 9).alias("value"))
+
+
+@query("SELECT p_partkey, list_sum(list_transform(range(10), lambda b: (((p_size >> b) & 1) << (3 * b)) + ((((p_partkey % 1024) >> b) & 1) << (3 * b + 1)) + ((((floor(p_retailprice)::BIGINT % 1024) >> b) & 1) << (3 * b + 2))))::BIGINT AS code FROM part")
+def morton_codes(spark, sf_dir):
+    """Interleaved bits of three numbers of each part."""
+    price = F.floor("p_retailprice").cast("long") % 1024
+    return table(spark, sf_dir, "part").select("p_partkey", M.morton3(F.col("p_size"), F.col("p_partkey") % 1024, price).alias("code"))
+
+
+@query("SELECT a.p_partkey, ((a.p_size - b.p_size)::BIGINT * (a.p_size - b.p_size) + (round(a.p_retailprice * 100)::BIGINT - round(b.p_retailprice * 100)::BIGINT) * (round(a.p_retailprice * 100)::BIGINT - round(b.p_retailprice * 100)::BIGINT))::BIGINT AS d2 FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
+def integer_distances(spark, sf_dir):
+    """Exact squared distances of whole-number vectors, from each part to the next."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.array(F.col("p_size").cast("long"), F.round(F.col("p_retailprice") * 100).cast("long")).alias("v"))
+    other = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("v").alias("w"))
+    return p.join(other, "p_partkey").select("p_partkey", M.integer_squared_l2("v", "w").alias("d2"))
+
+
+@query("WITH f AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(1, len(embedding) + 1)) AS k FROM embeddings) SELECT (a.k - 1)::BIGINT AS row, (b.k - 1)::BIGINT AS col, round(covar_pop(a.v, b.v), 9) AS covariance FROM f a JOIN f b USING (vec_id) GROUP BY 1, 2")
+def covariance_matrix(spark, sf_dir):
+    """The covariance of all coordinates: partial sums on the executors, one small matrix in the end."""
+    _, c, _ = blocks.gram(vectors(spark, sf_dir))
+    made = spark.createDataFrame([(i, j, float(v)) for i, r in enumerate(c) for j, v in enumerate(r)], "row long, col long, covariance double")
+    return made.select("row", "col", F.round("covariance", 9).alias("covariance"))
+
+
+@query("SELECT p_partkey FROM part ORDER BY p_retailprice, p_partkey LIMIT (SELECT ceil(count(*) * 0.1)::BIGINT FROM part)")
+def budget_selection(spark, sf_dir):
+    """The best tenth by score, ties by id."""
+    scored = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("score"))
+    return relations.budget(scored, 0.1).select(F.col("id").alias("p_partkey"))
+
+
+@query(f"{_STRICT}, n AS (SELECT count(*) AS n FROM embeddings), k AS (SELECT d2, row_number() OVER (ORDER BY d2) AS r FROM d) SELECT round(d2, 9) AS threshold FROM k, n WHERE r = (n * 3 + 1) // 2")
+def radius_for_results(spark, sf_dir):
+    """The squared distance within which rows have four results on average, itself and both directions counted."""
+    v = vectors(spark, sf_dir)
+    return relations.order_statistic(v, None, (v.count() * 3 + 1) // 2).select(F.round("threshold", 9).alias("threshold"))
+
+
+@query("SELECT user_id, count(*) FILTER (WHERE was IS NULL OR event_type <> was) AS runs, bool_and(before IS NULL OR ts >= before) AS in_order FROM (SELECT *, lag(event_type) OVER w AS was, lag(ts) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) GROUP BY 1")
+def runs_and_order(spark, sf_dir):
+    """Runs of equal events of each user, and whether their times never fall."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", F.lag("event_type").over(w).alias("was"), F.lag("ts").over(w).alias("before"))
+    begins = F.col("was").isNull() | (F.col("event_type") != F.col("was"))
+    return e.groupBy("user_id").agg(F.count(F.when(begins, 1)).alias("runs"), F.every(F.col("before").isNull() | (F.col("ts") >= F.col("before"))).alias("in_order"))
+
+
+@query(f"{_TWO}, b AS (SELECT i, j FROM p UNION ALL SELECT i, j FROM p3) SELECT count(*) AS bag, count(DISTINCT i * 1000000 + j) AS pairs FROM b")
+def bag_against_set(spark, sf_dir):
+    """A bag of pairs has more rows than the set: the negative control of set comparisons."""
+    both = upper(spark, sf_dir).union(second(spark, sf_dir)).groupBy("i", "j").count()
+    return both.agg(F.sum("count").alias("bag"), F.count(F.lit(1)).alias("pairs"))

@@ -7,22 +7,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SCHEMA = "id long, vec array<float>"
+def _decoded(spark: SparkSession, path: str, decode, kind: str = "float") -> DataFrame:
+    """id and vec of all files of a path. Ids are places, counted on from file to file in the order of their names."""
+    files = spark.read.format("binaryFile").load(path)
+    dtype = np.float64 if kind == "double" else np.float32
 
+    def sizes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"path": frame["path"], "n": [len(decode(bytes(c))) for c in frame["content"]]})
 
-def _decoded(spark: SparkSession, path: str, decode) -> DataFrame:
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for content in frame["content"]:
+            for content, base in zip(frame["content"], frame["_base"]):
                 x = decode(bytes(content))
                 for at in range(0, len(x), 4096):
-                    part = x[at : at + 4096].astype(np.float32)
-                    yield pd.DataFrame({"id": np.arange(at, at + len(part)), "vec": list(part)})
+                    part = x[at : at + 4096].astype(dtype)
+                    yield pd.DataFrame({"id": np.arange(base + at, base + at + len(part)), "vec": list(part)})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, SCHEMA)
+    schema = f"id long, vec array<{kind}>"
+    names = files.select("path").limit(2).collect()
+    if len(names) < 2:
+        return files.select("content", F.lit(0).cast("long").alias("_base")).mapInPandas(rows, schema)
+    counted = files.select("path", "content").mapInPandas(sizes, "path string, n long")
+    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    base = counted.select("path", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
+    return files.select("path", "content").join(base, "path").select("content", "_base").mapInPandas(rows, schema)
 
 
 def read_fvecs(spark: SparkSession, path: str, ids: DataFrame | None = None) -> DataFrame:
@@ -52,7 +64,7 @@ def read_raw(spark: SparkSession, path: str, dimension: int, kind: str = "f4") -
             raise ValueError("the file isn't a whole number of vectors")
         return x.reshape(-1, dimension)
 
-    return _decoded(spark, path, decode)
+    return _decoded(spark, path, decode, "double" if kind == "f8" else "float")
 
 
 def read_idx(spark: SparkSession, path: str) -> DataFrame:
@@ -68,8 +80,8 @@ def read_idx(spark: SparkSession, path: str) -> DataFrame:
     return _decoded(spark, path, decode)
 
 
-def read_npy(spark: SparkSession, path: str, dimension: int | None = None) -> DataFrame:
-    """id and vec of a two-dimensional npy array of floats; another dimension than the one named is an error."""
+def read_npy(spark: SparkSession, path: str, dimension: int | None = None, kind: str = "float") -> DataFrame:
+    """id and vec of a two-dimensional npy array of floats; another dimension than the one named is an error. kind is float, or double to keep float64."""
     import io
 
     def decode(raw: bytes) -> np.ndarray:
@@ -78,7 +90,7 @@ def read_npy(spark: SparkSession, path: str, dimension: int | None = None) -> Da
             raise ValueError(f"a float matrix is asked for, found {x.dtype} {x.shape}")
         return x
 
-    return _decoded(spark, path, decode)
+    return _decoded(spark, path, decode, kind)
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
