@@ -278,6 +278,8 @@ def components(edges: DataFrame) -> DataFrame:
     the edges to roots; the number of nodes halves at least. All tables stay distributed and are written.
     """
     current = materialize(edges.where("a <> b").distinct(), "near-edges")
+    if current.isEmpty():
+        return current.select(F.col("a").alias("id"), F.col("b").alias("component"))
     result = None
     while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
