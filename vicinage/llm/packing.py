@@ -154,8 +154,8 @@ def matched_in_order(gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[:-1][pair], at[1:][pair]
 
 
-def swept(pieces: DataFrame, slots: DataFrame, ranges: int) -> tuple[DataFrame, DataFrame, int]:
-    """One sweep: (_pid, length, bin, slot) of the pieces that found a gap, (_pid, length) of the others, and how many found one.
+def swept(pieces: DataFrame, slots: DataFrame, ranges: int) -> tuple[DataFrame, DataFrame, int, dict[int, int]]:
+    """One sweep: (_pid, length, bin, slot) of the pieces that found a gap, (_pid, length) of the others, how many found one, and how many of each length didn't.
 
     pieces: _pid, length. slots: bin, slot, size, gap. Of gaps that are offered alike the smaller one is taken first.
     """
@@ -185,7 +185,10 @@ def swept(pieces: DataFrame, slots: DataFrame, ranges: int) -> tuple[DataFrame,
 
     made = both.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(sweep, "part int, state int, rank long, _pid long, length long, bin long, slot int")
     made = materialize(made, "pack-sweep")
-    counts = {(r["part"], r["state"]): r["count"] for r in made.groupBy("part", "state").count().collect()}  # three a range
+    by_size = made.groupBy("part", "state", F.when((F.col("state") == 1) & F.lit(ranges == 1), F.col("length")).alias("size")).count().collect()
+    counts: dict[tuple[int, int], int] = {}  # three a range
+    for r in by_size:
+        counts[r["part"], r["state"]] = counts.get((r["part"], r["state"]), 0) + r["count"]
     # Between the ranges: those of larger sizes come first, and the last gaps left of them are the smallest.
     stack: list[list[int]] = []
     segments, prefix, base = [], [], 0
@@ -210,11 +213,14 @@ def swept(pieces: DataFrame, slots: DataFrame, ranges: int) -> tuple[DataFrame,
         two = made.where("state = 0").select(F.col("part").alias("gpart"), "rank", "bin", "slot").join(F.broadcast(cuts.drop("part", "_from", "_to")), "gpart").where("rank >= _low AND rank < _high")
         one = one.select((F.col("_base") + F.col("rank") - F.col("_from")).alias("_match"), "_pid", "length")
         two = two.select((F.col("_base") + F.col("_high") - 1 - F.col("rank")).alias("_match"), "bin", "slot")
-        placed = placed.unionByName(one.join(two, "_match").select("_pid", "length", "bin", "slot"))
+        placed = materialize(placed.unionByName(one.join(two, "_match").select("_pid", "length", "bin", "slot")), "pack-placed")
     rest = made.where("state = 1").select("part", "rank", "_pid", "length")
     if prefix:
         rest = rest.join(F.broadcast(spark.createDataFrame(prefix, "part int, _done long")), "part").where("rank >= _done")
-    return materialize(placed, "pack-placed"), rest.select("_pid", "length"), base + sum(n for (_, state), n in counts.items() if state == 2)
+    rest, n = rest.select("_pid", "length"), base + sum(n for (_, state), n in counts.items() if state == 2)
+    if len(counts) and all(r["size"] is not None for r in by_size if r["state"] == 1) and not segments:
+        return placed, rest, n, {r["size"]: r["count"] for r in by_size if r["state"] == 1}
+    return placed, rest, n, {r["length"]: r["count"] for r in rest.groupBy("length").count().collect()}  # at most capacity numbers
 
 
 def best_fit(pieces: DataFrame, capacity: int) -> DataFrame:
@@ -246,7 +252,7 @@ def best_fit(pieces: DataFrame, capacity: int) -> DataFrame:
                     offered, widest = offered + g // longest * gaps[g], g
             times = F.when(F.col("gap") >= longest, F.floor(F.col("gap") / longest)).otherwise(1).cast("int")
             slots = bins.where(F.col("gap").between(min(left), widest)).select("bin", "gap", F.least("gap", F.lit(longest).cast("long")).alias("size"), F.explode(F.sequence(F.lit(0), times - 1)).alias("slot"))
-            found, todo, n = swept(todo, slots, min(most, -(-(number + offered + sum(gaps.values())) // RANGE)))
+            found, todo, n, left = swept(todo, slots, min(most, -(-(number + offered + sum(gaps.values())) // RANGE)))
             round_ += 1
             if n:
                 placed = placed.unionByName(found.select("_pid", "length", "bin", F.lit(round_).alias("round"), "slot"))
@@ -254,7 +260,6 @@ def best_fit(pieces: DataFrame, capacity: int) -> DataFrame:
                 bins = bins.join(used, "bin", "left").select("bin", (F.col("gap") - F.coalesce("_used", F.lit(0))).alias("gap")).where("gap > 0")
             bins = materialize(bins, "pack-gaps")
             stuck = 5 * n < 2 * number and not new
-            left = {r["length"]: r["count"] for r in todo.groupBy("length").count().collect()} if n < number else {}
     before = Window.partitionBy("bin").orderBy("round", "slot", "_pid").rowsBetween(Window.unboundedPreceding, -1)  # at most capacity rows
     return placed.select("_pid", "bin", F.coalesce(F.sum("length").over(before), F.lit(0).cast("long")).alias("offset"))
 
