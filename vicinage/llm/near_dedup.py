@@ -353,7 +353,7 @@ def _members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         new = leaves.select("id").distinct()
         new = _sets_for(docs, classes, new if sets is None else new.join(sets.select("id"), "id", "left_anti"))
         sets = new if sets is None else sets.unionByName(new)
-        found = materialize(_compared(leaves.join(sets, "id")), "near-links")
+        found = materialize(_compared(sets.join(small(leaves), "id")), "near-links")  # full sets are shuffled once
         links = found if links is None else links.unionByName(found)
         known = components(links)
         if level and not more or level == DEEPEST:
