@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vicinage.llm import chat, chunk_dedup, decontamination, exact_dedup, near_dedup, packing, pii, quality, tokens, toxicity
+from vicinage.llm import chat, chunk_dedup, decontamination, exact_dedup, filter_audit, near_dedup, packing, pii, quality, tokens, toxicity
 from vicinage.llm.tables import read
 
 
@@ -69,6 +69,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.repeated_passages(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order of five filters over documents."""
+    return filter_audit.audit_filters(read(spark, sf_dir, "documents", "doc_id", "text", "source"), read(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -80,6 +85,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_substring_dedup": op10_substring_dedup,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL = {
@@ -92,4 +98,32 @@ ORACLE_SQL = {
         FROM documents
         WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op13_filter_audit": """
+        WITH RECURSIVE w AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+        f AS (SELECT w.part,
+                  (CASE WHEN len(words) < 200 THEN 1 ELSE 0 END)
+                | (CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END)
+                | (CASE WHEN 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END)
+                | (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END)
+                | (CASE WHEN w.doc_id > min(w.doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END) AS failed,
+                coalesce(l.quality = 1, false) AS good, coalesce(l.toxic = 1, false) AS toxic
+              FROM w LEFT JOIN labels l ON w.doc_id = l.doc_id),
+        c AS (SELECT part, failed, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f GROUP BY 1, 2),
+        o(filter_order, step, before) AS (
+            SELECT ''::VARCHAR, 0, 0
+            UNION ALL
+            SELECT filter_order || x.letter, step + 1, before + x.bit FROM o JOIN (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS x(letter, bit) ON before & x.bit = 0 AND step < 5),
+        s AS (SELECT a.filter_order, k.step, a.filter_order[k.step] AS letter, list_sum([1 << (ascii(a.filter_order[i]) - 65) for i in range(1, k.step)]) AS before
+              FROM o a JOIN (SELECT unnest(range(1, 6)) AS step) k ON a.step = 5),
+        b AS (SELECT filter_order, step::INTEGER AS step, letter, coalesce(before, 0)::BIGINT AS before, (1 << (ascii(letter) - 65))::BIGINT AS bit FROM s),
+        r AS (SELECT c.part, b.filter_order, b.step, b.letter,
+                coalesce(sum(n) FILTER (WHERE failed & (before | bit) = 0), 0)::BIGINT AS kept,
+                coalesce(sum(n) FILTER (WHERE failed & before = 0 AND failed & bit <> 0), 0)::BIGINT AS removed,
+                coalesce(sum(n) FILTER (WHERE failed & before <> 0 AND failed & bit <> 0), 0)::BIGINT AS redundant,
+                coalesce(sum(n) FILTER (WHERE failed = bit), 0)::BIGINT AS unique_fails,
+                coalesce(sum(good) FILTER (WHERE failed & before = 0 AND failed & bit <> 0), 0)::BIGINT AS good_lost,
+                coalesce(sum(toxic) FILTER (WHERE failed & before = 0 AND failed & bit <> 0), 0)::BIGINT AS toxic_lost
+              FROM c CROSS JOIN b GROUP BY ALL)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM r
+    """,
 }
