@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vicinage.llm import chat, chunk_dedup, decontamination, exact_dedup, filter_audit, near_dedup, packing, pii, quality, tokens, toxicity
+from vicinage.llm import chat, chunk_dedup, decontamination, exact_dedup, filter_audit, licences, near_dedup, packing, pii, quality, tokens, toxicity
 from vicinage.llm.tables import read
 
 
@@ -69,6 +69,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.repeated_passages(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that every whole text of documents names or holds."""
+    return licences.summary(licences.scan_licences(read(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order of five filters over documents."""
     return filter_audit.audit_filters(read(spark, sf_dir, "documents", "doc_id", "text", "source"), read(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
@@ -85,6 +90,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_licence_scan": op11_licence_scan,
     "op13_filter_audit": op13_filter_audit,
 }
 
