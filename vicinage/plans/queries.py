@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vicinage.functions import metrics as M
-from vicinage.operators import blocks, joins, relations, tiles
+from vicinage.operators import blocks, joins, relations, tiles, trees
 from vicinage.plans.storage import written
 from vicinage.streaming import updates
 
@@ -549,3 +549,52 @@ def bag_against_set(spark, sf_dir):
     """A bag of pairs has more rows than the set: the negative control of set comparisons."""
     both = upper(spark, sf_dir).union(second(spark, sf_dir)).groupBy("i", "j").count()
     return both.agg(F.sum("count").alias("bag"), F.count(F.lit(1)).alias("pairs"))
+
+
+# --- metric tree
+
+
+def part_points(spark, sf_dir):
+    """Size and price of each part as a vector."""
+    p = table(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").cast("long").alias("id"), F.array(F.col("p_size").cast("double"), F.col("p_retailprice").cast("double")).alias("vec"))
+
+
+_PART_D2 = "((a.p_size - b.p_size)::DOUBLE * (a.p_size - b.p_size)::DOUBLE + (a.p_retailprice - b.p_retailprice) * (a.p_retailprice - b.p_retailprice))"
+
+
+@query(f"SELECT a.vec_id AS q, b.vec_id AS id FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 WHERE {_D2} <= {LIMIT}")
+def tree_range(spark, sf_dir):
+    """Every hundredth vector asks the tree of all vectors for those within the limit."""
+    v = vectors(spark, sf_dir)
+    return trees.range_search(trees.build(v), written(trees.query_blocks(v.where("id % 100 = 0"), LIMIT), "tree-queries"))
+
+
+@query(f"SELECT a.p_partkey AS q, b.p_partkey AS id FROM part a JOIN part b ON {_PART_D2} <= 9.0")
+def tree_self_range(spark, sf_dir):
+    """All parts ask the tree of all parts."""
+    tree = trees.build(part_points(spark, sf_dir))
+    return trees.range_search(tree, written(trees.own_blocks(tree, 9.0), "tree-queries"))
+
+
+@query(f"SELECT a.p_partkey AS q, (row_number() OVER w)::BIGINT AS rank, b.p_partkey AS id FROM part a, part b WINDOW w AS (PARTITION BY a.p_partkey ORDER BY {_PART_D2}, b.p_partkey) QUALIFY row_number() OVER w <= 5")
+def tree_nearest(spark, sf_dir):
+    """The five nearest of each part, by the tree."""
+    tree = trees.build(part_points(spark, sf_dir))
+    found = trees.nearest_search(tree, written(trees.own_blocks(tree, float("inf")), "tree-queries"), 5)
+    return found.select("q", F.col("rank").cast("long").alias("rank"), "id")
+
+
+@query("""WITH RECURSIVE t(size) AS (SELECT count(*) FROM part UNION ALL
+SELECT ((c + 1) * size + 9) // 10 - (c * size + 9) // 10 FROM t JOIN (SELECT unnest(range(10)) AS c) ON size > 64)
+SELECT size::BIGINT AS size, count(*) AS leaves FROM t WHERE size BETWEEN 1 AND 64 GROUP BY 1""")
+def tree_leaf_sizes(spark, sf_dir):
+    """How many leaves of each size the equal splits of the tree make."""
+    return trees.build(part_points(spark, sf_dir)).leaves.groupBy(F.col("n").cast("long").alias("size")).agg(F.count(F.lit(1)).alias("leaves"))
+
+
+@query()
+def tree_work(spark, sf_dir):
+    """Distances that tree_self_range computes, and their share of all pairs."""
+    tree = trees.build(part_points(spark, sf_dir))
+    return trees.work(tree, written(trees.own_blocks(tree, 9.0), "tree-queries"))
