@@ -49,6 +49,46 @@ def test_strategies_agree(spark, name, strategy):
     assert rows(joins.similarity_join(frame(spark, x), None, limit, strategy)) == expected(x, limit)
 
 
+MAGNITUDES = {
+    "huge": (np.array([[1.0, 2.0], [1.0, 2.0], [3.0, 1.0], [1.0, 2.5], [0.0, 0.0]]) * 5e153, 1e308),
+    "beyond squares": (np.array([[1.0, 2.0], [1.0, 2.0], [-3.0, 1.0]]) * 1e200, 1e300),
+    "tiny": (np.array([[1.0, 2.0], [1.0, 2.0], [3.0, 1.0], [0.0, 0.0]]) * 1e-170, 0.0),
+    "subnormal squares": (np.array([[1.0, 2.0], [1.5, 2.0], [3.0, 1.0], [0.0, 0.0]]) * 1e-160, 1e-320),
+    "mixed": (np.array([[1e200, 1.0], [1e200, 2.0], [1e-170, 0.0], [0.0, 1e-3], [1.0, 1.0]]), 1.0),
+}
+
+
+@pytest.mark.parametrize("name", MAGNITUDES)
+def test_tiles_at_any_magnitude(spark, name):
+    """Pairs, nearest rows and the cascade are those of the fold, equal rows and a row with itself included."""
+    x, limit = MAGNITUDES[name]
+    df, n = frame(spark, x, "double"), len(x)
+    d = np.stack([tiles.folded("l2", np.repeat(x[i : i + 1], n, 0), x) for i in range(n)])
+    want = [(i, j) for i in range(n) for j in range(i, n) if d[i, j] <= limit]
+    for strategy in ("tiles", "naive", "cascade"):
+        assert rows(joins.similarity_join(df, None, limit, strategy)) == want
+    got = sorted((r["q"], r["rank"], r["id"]) for r in tiles.nearest(df, df, 2).collect())
+    assert got == [(i, k + 1, int(j)) for i in range(n) for k, j in enumerate(np.lexsort((np.arange(n), d[i]))[:2])]
+
+
+def test_cosine_of_zero_and_extreme_vectors(spark):
+    """A zero vector has cosine 0 with all; scale doesn't matter, down to subnormal and up to the largest doubles."""
+    x = np.array([[0.0, 0.0], [1e-170, 0.0], [3.0, 0.0], [0.0, 1e300], [1e300, 1e300], [-5e-324, 0.0]])
+    df = frame(spark, x, "double")
+    for limit in (0.0, 0.5, 1.0, 2.0):
+        assert rows(joins.similarity_join(df, None, limit, "tiles", "cosine")) == rows(joins.similarity_join(df, None, limit, "naive", "cosine"))
+    near = rows(joins.similarity_join(df, None, 0.3, "tiles", "cosine"))
+    assert near == [(1, 1), (1, 2), (1, 4), (2, 2), (2, 4), (3, 3), (3, 4), (4, 4), (5, 5)]
+    assert (0, 0) not in near and (0, 0) in rows(joins.similarity_join(df, None, 1.0, "tiles", "cosine"))
+
+
+def test_admission_by_magnitude(spark):
+    df = frame(spark, [[0.5, -1.0]])
+    assert tiles.checked(df, "id", "vec", largest=1.0).count() == 1
+    with pytest.raises(Exception, match="beyond 0.75"):
+        tiles.checked(df, "id", "vec", largest=0.75).collect()
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.lists(st.integers(-4, 4), min_size=3, max_size=3), min_size=1, max_size=30), st.integers(0, 20))
 def test_strategies_on_integers(spark, x, limit):

@@ -17,10 +17,13 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 512
 
 
-def checked(df: DataFrame, id_column: str, vector: str, *extra: str) -> DataFrame:
-    """id, vec and extra columns; null, ragged by type or non-finite vectors are errors when read."""
+def checked(df: DataFrame, id_column: str, vector: str, *extra: str, largest: float | None = None) -> DataFrame:
+    """id, vec and extra columns; null, ragged by type or non-finite vectors are errors when read, and with `largest` those with a coordinate beyond it."""
     bad = F.col(vector).isNull() | F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | (F.size(vector) == 0)
-    vec = F.when(bad, F.raise_error(F.lit("vectors must be finite and not empty"))).otherwise(F.col(vector))
+    vec = F.when(bad, F.raise_error(F.lit("vectors must be finite and not empty")))
+    if largest is not None:
+        vec = vec.when(F.exists(vector, lambda x: F.abs(x) > largest), F.raise_error(F.lit(f"coordinates must not be beyond {largest}")))
+    vec = vec.otherwise(F.col(vector))
     return df.select(F.col(id_column).cast("long").alias("id"), vec.alias("vec"), *extra)
 
 
@@ -77,26 +80,41 @@ def folded(metric: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Distances of the rows of x and y, summed from the left as the Column expressions do."""
     out = np.zeros(len(x))
     if metric == "cosine":
+        x, y = levelled(x), levelled(y)
         a, b = np.zeros(len(x)), np.zeros(len(x))
         for d in range(x.shape[1]):
             out += x[:, d] * y[:, d]
             a += x[:, d] * x[:, d]
             b += y[:, d] * y[:, d]
-        return 1 - out / (np.sqrt(a) * np.sqrt(b))
+        norms = np.sqrt(a) * np.sqrt(b)
+        return 1 - np.where(norms > 0, out / np.where(norms > 0, norms, 1.0), 0.0)
     for d in range(x.shape[1]):
         gap = x[:, d] - y[:, d]
-        out = np.maximum(out, np.abs(gap)) if metric == "linf" else out + (np.abs(gap) if metric == "l1" else gap * gap)
+        with np.errstate(over="ignore"):
+            out = np.maximum(out, np.abs(gap)) if metric == "linf" else out + (np.abs(gap) if metric == "l1" else gap * gap)
     return out
 
 
+def levelled(x: np.ndarray) -> np.ndarray:
+    """Rows divided by a power of two near their largest coordinate: cosines stay the same to the last bit."""
+    top = np.abs(x).max(axis=1, initial=0.0)
+    return np.ldexp(x, 1 - np.frexp(top)[1][:, None])
+
+
 def rough(metric: str, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     """A cheap matrix that isn't above the distance by more than the slack that comes with it."""
-    if metric in ("l2", "cosine"):
+    if metric == "cosine":
+        x, y = levelled(x), levelled(y)
+        norms = np.sqrt(np.outer((x * x).sum(1), (y * y).sum(1)))
+        return 1 - np.where(norms > 0, (x @ y.T) / np.where(norms > 0, norms, 1.0), 0.0), 1e-9
+    if metric == "l2":  # both blocks by one power of two, so that no square overflows or vanishes before it is summed
+        power = int(np.frexp(max(np.abs(x).max(initial=0.0), np.abs(y).max(initial=0.0)))[1])
+        x, y = np.ldexp(x, -power), np.ldexp(y, -power)
         xx, yy = (x * x).sum(1), (y * y).sum(1)
-        if metric == "cosine":
-            return 1 - (x @ y.T) / np.sqrt(np.outer(xx, yy)), 1e-9
-        top = max(1.0, xx.max(initial=0), yy.max(initial=0))
-        return xx[:, None] + yy[None, :] - 2 * (x @ y.T), 1e-12 * top * max(1, x.shape[1])
+        slack = 1e-12 * max(xx.max(initial=0), yy.max(initial=0)) * max(1, x.shape[1])
+        with np.errstate(over="ignore", under="ignore"):
+            near = np.ldexp(xx[:, None] + yy[None, :] - 2 * (x @ y.T), 2 * power)
+            return near, float(np.ldexp(slack, 2 * power)) + x.shape[1] * 2.0**-1022
     out = np.zeros((len(x), len(y)))
     for d in range(x.shape[1]):
         gap = np.abs(x[:, d, None] - y[None, :, d])
@@ -179,13 +197,12 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", its
         if not len(ids):
             return pd.DataFrame({"q": [], "id": [], "d": []})
         near, slack = rough(metric, x, y)
-        if not itself:
-            near = np.where(ids[:, None] == others[None, :], np.inf, near)
+        wanted = np.ones(near.shape, bool) if itself else ids[:, None] != others[None, :]
+        near = np.where(wanted, near, np.inf)
         if near.shape[1] > k:
             part = np.partition(near, k - 1, axis=1)[:, k - 1 : k]
-            a, b = np.nonzero((near <= part + 2 * slack + 1e-9 * np.maximum(1.0, np.abs(part))) & np.isfinite(near))
-        else:
-            a, b = np.nonzero(np.isfinite(near))
+            wanted &= near <= part + 2 * slack + 1e-9 * np.abs(part)
+        a, b = np.nonzero(wanted)
         d = folded(metric, x[a], y[b])
         order = np.lexsort((others[b], d, a))
         a, b, d = a[order], b[order], d[order]

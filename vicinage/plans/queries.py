@@ -567,21 +567,21 @@ _PART_D2 = "((a.p_size - b.p_size)::DOUBLE * (a.p_size - b.p_size)::DOUBLE + (a.
 def tree_range(spark, sf_dir):
     """Every hundredth vector asks the tree of all vectors for those within the limit."""
     v = vectors(spark, sf_dir)
-    return trees.range_search(trees.build(v), written(trees.query_blocks(v.where("id % 100 = 0"), LIMIT), "tree-queries"))
+    return trees.range_search(trees.build(v), trees.query_blocks(v.where("id % 100 = 0"), LIMIT))
 
 
 @query(f"SELECT a.p_partkey AS q, b.p_partkey AS id FROM part a JOIN part b ON {_PART_D2} <= 9.0")
 def tree_self_range(spark, sf_dir):
     """All parts ask the tree of all parts."""
     tree = trees.build(part_points(spark, sf_dir))
-    return trees.range_search(tree, written(trees.own_blocks(tree, 9.0), "tree-queries"))
+    return trees.range_search(tree, trees.own_blocks(tree, 9.0))
 
 
 @query(f"SELECT a.p_partkey AS q, (row_number() OVER w)::BIGINT AS rank, b.p_partkey AS id FROM part a, part b WINDOW w AS (PARTITION BY a.p_partkey ORDER BY {_PART_D2}, b.p_partkey) QUALIFY row_number() OVER w <= 5")
 def tree_nearest(spark, sf_dir):
     """The five nearest of each part, by the tree."""
     tree = trees.build(part_points(spark, sf_dir))
-    found = trees.nearest_search(tree, written(trees.own_blocks(tree, float("inf")), "tree-queries"), 5)
+    found = trees.nearest_search(tree, trees.own_blocks(tree, float("inf")), 5)
     return found.select("q", F.col("rank").cast("long").alias("rank"), "id")
 
 
@@ -597,4 +597,4 @@ def tree_leaf_sizes(spark, sf_dir):
 def tree_work(spark, sf_dir):
     """Distances that tree_self_range computes, and their share of all pairs."""
     tree = trees.build(part_points(spark, sf_dir))
-    return trees.work(tree, written(trees.own_blocks(tree, 9.0), "tree-queries"))
+    return trees.work(tree, trees.own_blocks(tree, 9.0))
