@@ -1,18 +1,22 @@
-"""Pairs of blocks as groups: how dense work over all pairs is spread.
+"""Pairs of blocks: how dense work over all pairs is spread.
 
-Rows are dealt to blocks of bounded size by a hash of their id; each pair of blocks is one group, handled by
-one call of a NumPy kernel. A group never holds more than two blocks, whatever the data.
+Rows are dealt to blocks of bounded size by a hash of their id, and each block is packed once; each pair of blocks is
+handled by one call of a NumPy kernel, which never holds more than two blocks, whatever the data.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from vicinage.plans.storage import small, written
 
 BLOCK_ROWS = 512
 
@@ -39,41 +43,76 @@ Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool], pd.Dat
 def over_tiles(left: DataFrame, right: DataFrame | None, kernel: Kernel, schema: str, rows: int = BLOCK_ROWS) -> DataFrame:
     """kernel(ids, vectors, other ids, other vectors, same block) for each pair of blocks of id and vec.
 
-    Without right, left is joined with itself and each unordered pair of blocks is taken once.
+    Without right, left is joined with itself and each unordered pair of blocks is taken once. Every block is packed
+    once; what is dealt to tasks are pairs of block numbers, which then meet their blocks.
     """
-    n = max(1, math.ceil(left.count() / rows))
-    block = lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
+    one, n = _packed(left, rows)
     if right is None:
-        other = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        dealt = left.select("id", "vec", block(n).alias("_b")).select("id", "vec", "_b", other.alias("_o"))
-        dealt = dealt.select("id", "vec", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), (F.col("_b") <= F.col("_o")).alias("_left"))
+        two, reach = one, n // 2 + 1  # block i meets i, i + 1, ... around the circle, so that all have as many partners
+        i, k = F.floor(F.col("id") / reach), F.col("id") % reach
+        pairs = _numbers(one, n * reach).select(i.cast("int").alias("_i"), ((i + k) % n).cast("int").alias("_j"), k.alias("_k"))
+        pairs = pairs.where((F.col("_k") * 2 < n) | ((F.col("_k") * 2 == n) & (F.col("_i") < F.col("_j")))).drop("_k")
     else:
-        m = max(1, math.ceil(right.count() / rows))
-        a = left.select("id", "vec", block(n).alias("_i"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("_j"), F.lit(True).alias("_left"))
-        b = right.select("id", "vec", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_i"), block(m).alias("_j"), F.lit(False).alias("_left"))
-        dealt = a.unionByName(b)
-    return _grouped(dealt, kernel, schema, right is None)
+        two, m = _packed(right, rows)
+        pairs = _numbers(one, n * m).select(F.floor(F.col("id") / m).cast("int").alias("_i"), (F.col("id") % m).cast("int").alias("_j"))
+    return _met(pairs, one, two, kernel, schema, right is None)
 
 
 def over_tiles_by(df: DataFrame, key: str, kernel: Kernel, schema: str, rows: int = BLOCK_ROWS) -> DataFrame:
     """over_tiles of the rows of each key with themselves, of key, id and vec. A key with many rows is split into blocks; null keys match nothing."""
-    sizes = df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_n"))
+    sizes = written(df.where(F.col(key).isNotNull()).groupBy(key).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_n")), "tile-keys")
     dealt = df.join(sizes, key).withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
-    dealt = dealt.select(key, "id", "vec", "_b", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_o"))
-    dealt = dealt.select(key, "id", "vec", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), (F.col("_b") <= F.col("_o")).alias("_left"))
-    return _grouped(dealt, kernel, schema, True, key)
-
-
-def _grouped(dealt: DataFrame, kernel: Kernel, schema: str, itself: bool, *by: str) -> DataFrame:
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        same = itself and key[-2] == key[-1]
-        a = rows if same else rows[rows["_left"]]
-        b = rows if same else rows[~rows["_left"]]
-        if not len(a) or not len(b):
-            return kernel(np.zeros(0, np.int64), np.zeros((0, 1)), np.zeros(0, np.int64), np.zeros((0, 1)), same)
-        return kernel(a["id"].to_numpy(), matrix(a["vec"]), b["id"].to_numpy(), matrix(b["vec"]), same)
-
-    return dealt.groupBy(*by, "_i", "_j").applyInPandas(run, schema)
+    packed = written(_blocks(dealt, key, "_b"), "tiles")
+    each = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+    pairs = sizes.select(key, "_n", each.alias("_i")).select(key, "_i", each.alias("_j")).where("_i <= _j")
+    return _met(pairs, packed, packed, kernel, schema, True, key)
+
+
+def _numbers(df: DataFrame, count: int) -> DataFrame:
+    """Numbers below count, in as many partitions as there is to do."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.sparkSession.range(0, count, 1, max(1, min(count, max(least, count // 64))))
+
+
+def _packed(df: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    """(_b, n, dim, ids, vecs) of id and vec, dealt to blocks by the hash of the id, and the number of blocks."""
+    n = max(1, math.ceil(df.count() / rows))
+    return written(_blocks(df.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")), "_b"), "tiles"), n
+
+
+def _blocks(dealt: DataFrame, *by: str) -> DataFrame:
+    """(by, n, dim, ids, vecs): the rows of each group as the bytes of their ids and doubles."""
+
+    def pack(group: pa.Table) -> pa.Table:
+        lists = group.column("vec").combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy())
+        if len(np.unique(sizes)) > 1:
+            raise ValueError("vectors of different dimensions")
+        vecs = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        ids = group.column("id").to_numpy().astype(np.int64)
+        made = {c: group.column(c)[:1].combine_chunks() for c in by}
+        made |= {"n": pa.array([len(sizes)], pa.int32()), "dim": pa.array([int(sizes[0])], pa.int32()), "ids": pa.array([ids.tobytes()]), "vecs": pa.array([vecs.tobytes()])}
+        return pa.table(made)
+
+    fields = [dealt.schema[c] for c in by]
+    rows = dealt.select(*by, "id", "vec")
+    return rows.groupBy(*by).applyInArrow(pack, StructType([*fields, *StructType.fromDDL("n int, dim int, ids binary, vecs binary").fields]))
+
+
+def _met(pairs: DataFrame, one: DataFrame, two: DataFrame, kernel: Kernel, schema: str, itself: bool, *by: str) -> DataFrame:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.to_dict("records"):
+                i, j = np.frombuffer(r["a_ids"], np.int64), np.frombuffer(r["b_ids"], np.int64)
+                x = np.frombuffer(r["a_vecs"], np.float64).reshape(r["a_n"], r["a_dim"])
+                y = np.frombuffer(r["b_vecs"], np.float64).reshape(r["b_n"], r["b_dim"])
+                if x.shape[1] != y.shape[1]:
+                    raise ValueError("vectors of different dimensions")
+                yield kernel(i, x, j, y, itself and r["_i"] == r["_j"])
+
+    side = lambda df, at, name: df.select(*by, F.col("_b").alias(at), *[F.col(c).alias(f"{name}_{c}") for c in ("n", "dim", "ids", "vecs")])
+    joined = pairs.join(small(side(one, "_i", "a")), [*by, "_i"]).join(small(side(two, "_j", "b")), [*by, "_j"])
+    return joined.drop(*by).mapInPandas(run, schema)
 
 
 def folded(metric: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vicinage.functions import metrics as M
-from vicinage.operators import blocks, joins, relations, tiles, trees
+from vicinage.operators import blocks, certificates, joins, relations, tiles, trees
 from vicinage.plans.storage import written
 from vicinage.streaming import updates
 
@@ -598,3 +598,68 @@ def tree_work(spark, sf_dir):
     """Distances that tree_self_range computes, and their share of all pairs."""
     tree = trees.build(part_points(spark, sf_dir))
     return trees.work(tree, trees.own_blocks(tree, 9.0))
+
+
+# --- certificates in few bits
+
+
+@query(f"{_ALL} SELECT i, j FROM p")
+def two_limb_join(spark, sf_dir):
+    """Pairs by exact inner products of two-limb integers, undecided ones by the folded distance."""
+    return certificates.certificate_join(vectors(spark, sf_dir), None, LIMIT, "two_limb")
+
+
+@query(f"{_ALL} SELECT i, j FROM p")
+def half_precision_join(spark, sf_dir):
+    return certificates.certificate_join(vectors(spark, sf_dir), None, LIMIT, "half")
+
+
+@query(f"{_ALL} SELECT i, j FROM p")
+def two_sided_join(spark, sf_dir):
+    """Pairs by single precision between two rational cutoffs."""
+    return certificates.certificate_join(vectors(spark, sf_dir), None, LIMIT, "two_sided")
+
+
+@query(f"SELECT a.vec_id AS q, b.vec_id AS id FROM embeddings a JOIN embeddings b ON a.label % 2 = 0 AND b.label % 2 = 1 WHERE {_D2} <= {LIMIT}")
+def two_limb_rs_join(spark, sf_dir):
+    v = vectors(spark, sf_dir, "label")
+    left, right = (v.where(f"label % 2 = {k}").select("id", "vec") for k in (0, 1))
+    return certificates.certificate_join(left, right, LIMIT, "two_limb").toDF("q", "id")
+
+
+@query()
+def certificate_states(spark, sf_dir):
+    """Pairs that each certificate accepts (1), rejects (0) and leaves undecided (2)."""
+    out = None
+    for kind in certificates.KINDS:
+        one = certificates.certificate_counts(vectors(spark, sf_dir), LIMIT, kind).select(F.lit(kind).alias("kind"), "state", "pairs")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_CODES = """WITH m AS (SELECT vec_id, embedding, list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))) AS top FROM embeddings), p AS (SELECT *, (floor(log2(top)) - 13)::INTEGER AS e FROM m),
+e AS (SELECT vec_id, embedding, CASE WHEN round_even(top / pow(2.0, e), 0) > 16319 THEN e + 1 ELSE e END AS exponent FROM p),
+c AS (SELECT vec_id, exponent, list_transform(embedding, lambda x: round_even(x::DOUBLE / pow(2.0, exponent), 0)::BIGINT) AS code FROM e)"""
+
+
+def two_limbs(spark, sf_dir):
+    v = vectors(spark, sf_dir).withColumn("exponent", certificates.code_exponent("vec"))
+    return v.select("id", "exponent", certificates.codes("vec", F.col("exponent")).alias("code"))
+
+
+@query(f"""{_CODES} SELECT vec_id AS id, exponent, array_to_string(list_transform(code, lambda q: floor((q + 64) / 128)::BIGINT), ',') AS high,
+array_to_string(list_transform(code, lambda q: q - 128 * floor((q + 64) / 128)::BIGINT), ',') AS low FROM c""")
+def two_limb_codes(spark, sf_dir):
+    """Exponent and limbs of each vector's 15-bit integers."""
+    text = lambda c: F.array_join(c.cast("array<string>"), ",")
+    return two_limbs(spark, sf_dir).select("id", "exponent", text(certificates.high_limbs("code")).alias("high"), text(certificates.low_limbs("code")).alias("low"))
+
+
+@query(f"{_CODES} SELECT a.vec_id AS i, list_sum(list_transform(list_zip(a.code, b.code), lambda z: z[1] * z[2]))::BIGINT AS dot FROM c a JOIN c b ON b.vec_id = a.vec_id + 1")
+def two_limb_dots(spark, sf_dir):
+    """Exact inner products of the codes, limb by limb, of each vector and the next."""
+    v = two_limbs(spark, sf_dir).select("id", certificates.high_limbs("code").alias("h"), certificates.low_limbs("code").alias("l"))
+    other = v.select((F.col("id") - 1).alias("id"), F.col("h").alias("oh"), F.col("l").alias("ol"))
+    sums = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0).cast("long"), lambda t, x: t + x)
+    dot = 16384 * sums("h", "oh") + 128 * (sums("h", "ol") + sums("l", "oh")) + sums("l", "ol")
+    return v.join(other, "id").select(F.col("id").alias("i"), dot.alias("dot"))
