@@ -75,26 +75,11 @@ def quantised(a, scale) -> Column:
     return F.transform(a, lambda x: F.greatest(F.lit(-127.0), F.least(F.lit(127.0), F.rint(x.cast("double") / scale))).cast("tinyint"))
 
 
-def residual_norm(a, codes, scale) -> Column:
-    """Distance between a vector and its quantised form."""
-    return F.sqrt(_fold(F.zip_with(a, codes, lambda x, c: F.pow(x.cast("double") - c.cast("double") * scale, 2))))
-
-
 def packed_pair(i, j, n) -> Column:
     """Row-major number of a pair."""
     return F.col(i) * F.lit(n) + F.col(j) if isinstance(i, str) else i * n + j
 
 
-def typed_pair(q, b) -> Column:
-    """Two 32-bit ids in one number."""
-    return F.shiftleft(q.cast("long"), 32).bitwiseOR(b.cast("long"))
-
-
-def interval_state(lower, upper, limit) -> Column:
-    """1 accept, 0 reject, 2 undecided."""
-    return F.when(upper <= limit, 1).when(lower > limit, 0).otherwise(2)
-
-
 def cell(column, origin, width) -> Column:
     return F.floor((column - origin) / width).cast("long")
 
@@ -108,16 +93,6 @@ def morton3(x, y, z, bits: int = 10) -> Column:
     return out
 
 
-def reordered(a, order: list[int]) -> Column:
-    """The coordinates in another order."""
-    return F.array(*[F.get(a, k) for k in order])
-
-
-def partial_squared_l2(a, b, rank: int) -> Column:
-    """Squared distance of the leading coordinates; never above the whole one."""
-    return squared_l2(F.slice(a, 1, rank), F.slice(b, 1, rank))
-
-
 def condensed_pair(k, n: int) -> tuple[Column, Column]:
     """Row and column of position k among the pairs i < j of n rows, in order."""
     k = k.cast("double")

@@ -50,13 +50,6 @@ def chamfer_join(queries: DataFrame, base: DataFrame, limit: float) -> DataFrame
     return chamfer(queries, base).where(F.col("score") <= limit).select("q", "b")
 
 
-def competitive_cells(cells: DataFrame) -> DataFrame:
-    """Token cells (q, b, qt, bt, lower, upper) that can still be a row's or a column's minimum."""
-    best = lambda *by: F.min("upper").over(Window.partitionBy("q", "b", *by))
-    tagged = cells.withColumn("_r", best("qt")).withColumn("_c", best("bt"))
-    return tagged.where((F.col("lower") <= F.col("_r")) | (F.col("lower") <= F.col("_c"))).drop("_r", "_c")
-
-
 # --- graphs and factorised relations
 
 

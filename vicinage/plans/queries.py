@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vicinage.functions import metrics as M
-from vicinage.operators import blocks, certificates, joins, relations, tiles, trees
+from vicinage.operators import blocks, certificates, joins, objects as objects_, relations, tiles, trees
 from vicinage.plans.storage import written
 from vicinage.streaming import updates
 
@@ -551,6 +551,26 @@ def bag_against_set(spark, sf_dir):
     return both.agg(F.sum("count").alias("bag"), F.count(F.lit(1)).alias("pairs"))
 
 
+# --- multi-vector objects by intervals
+
+
+@query(f"{_CELLS} SELECT f.q, f.b FROM f JOIN g ON f.q = g.q AND f.b = g.b WHERE 0.5 * (f + g) <= 1.6")
+def chamfer_interval_join(spark, sf_dir):
+    """chamfer_join by score intervals; only undecided pairs are computed, and of them only competitive cells."""
+    return objects_.interval_join(*objects(spark, sf_dir), 1.6)
+
+
+@query(f"{_CELLS} SELECT f.q, f.b FROM f JOIN g ON f.q = g.q AND f.b = g.b WHERE 0.5 * (f + g) <= 1.55")
+def chamfer_half_precision_join(spark, sf_dir):
+    return objects_.interval_join(*objects(spark, sf_dir), 1.55, "half")
+
+
+@query()
+def chamfer_interval_work(spark, sf_dir):
+    """How many pairs the intervals decide, and the share of cells whose distance is computed."""
+    return objects_.interval_work(*objects(spark, sf_dir), 1.6)
+
+
 # --- metric tree
 
 
