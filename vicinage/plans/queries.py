@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vicinage.functions import metrics as M
-from vicinage.operators import blocks, certificates, joins, objects as objects_, relations, tiles, trees
+from vicinage.operators import blocks, certificates, hierarchy, joins, objects as objects_, relations, tiles, trees
 from vicinage.plans.storage import written
 from vicinage.streaming import updates
 
@@ -207,6 +207,7 @@ def dim_variance_order(spark, sf_dir):
     return flat.select(F.col("k").cast("long").alias("dim"), place.cast("long").alias("place"))
 
 
+_PART_D2 = "((a.p_size - b.p_size)::DOUBLE * (a.p_size - b.p_size)::DOUBLE + (a.p_retailprice - b.p_retailprice) * (a.p_retailprice - b.p_retailprice))"
 _POINTS = "part a JOIN part b ON a.p_partkey <= b.p_partkey"
 
 
@@ -551,6 +552,50 @@ def bag_against_set(spark, sf_dir):
     return both.agg(F.sum("count").alias("bag"), F.count(F.lit(1)).alias("pairs"))
 
 
+# --- balanced layouts and hierarchical bounds
+
+
+@query(f"{_ALL} SELECT i, j FROM p")
+def hierarchy_join(spark, sf_dir):
+    """Pairs of a balanced layout, by bounds of all families from coarse blocks to fine ones."""
+    return hierarchy.Hierarchy(hierarchy.balanced(vectors(spark, sf_dir), "two_means")).join(LIMIT)
+
+
+@query(f"SELECT a.p_partkey AS i, b.p_partkey AS j FROM part a JOIN part b ON a.p_partkey <= b.p_partkey WHERE {_PART_D2} <= 9.0")
+def hierarchy_part_join(spark, sf_dir):
+    """All parts, in k-d blocks, where most pairs of blocks are never looked at."""
+    return hierarchy.Hierarchy(hierarchy.balanced(part_points(spark, sf_dir), "kd"), ("box", "pivots")).join(9.0)
+
+
+@query("SELECT size, count(*) AS blocks FROM (SELECT count(*) AS size FROM (SELECT (row_number() OVER (ORDER BY p_partkey) - 1) // 64 AS block FROM part) GROUP BY block) GROUP BY size")
+def balanced_block_sizes(spark, sf_dir):
+    """Blocks of each size that the k-d layout makes: all full but the last."""
+    sizes = hierarchy.balanced(part_points(spark, sf_dir), "kd").groupBy("block").agg(F.count(F.lit(1)).alias("size"))
+    return sizes.groupBy("size").agg(F.count(F.lit(1)).alias("blocks"))
+
+
+@query()
+def hierarchy_levels(spark, sf_dir):
+    """Pairs of blocks that each level of hierarchy_part_join looks at and keeps."""
+    return hierarchy.Hierarchy(hierarchy.balanced(part_points(spark, sf_dir), "kd"), ("box", "pivots")).pairs(9.0)[1]
+
+
+@query("SELECT true AS sound, true AS not_less_than_boxes")
+def hierarchy_soundness(spark, sf_dir):
+    """Whether no layout's hierarchy rules out a pair within the limit, and all families together prune no less than boxes."""
+    v, out = vectors(spark, sf_dir), None
+    pairs = written(upper(spark, sf_dir), "pairs")
+    for method in hierarchy.BALANCED:
+        points = written(hierarchy.balanced(v, method), "layout")
+        every, boxes = hierarchy.Hierarchy(points), hierarchy.Hierarchy(points, ("box",))
+        at = points.select("id", "block")
+        hit = pairs.join(at.toDF("i", "x"), "i").join(at.toDF("j", "y"), "j").select(F.least("x", "y").alias("b1"), F.greatest("x", "y").alias("b2")).distinct()
+        lost = hit.join(every.pairs(LIMIT)[0], ["b1", "b2"], "left_anti").agg(F.count(F.lit(1)).alias("lost"))
+        one = lost.crossJoin(every.pruned(LIMIT).toDF("all_")).crossJoin(boxes.pruned(LIMIT).toDF("box"))  # one row each
+        out = one if out is None else out.unionByName(one)
+    return out.agg((F.sum("lost") == 0).alias("sound"), F.every(F.col("all_") >= F.col("box")).alias("not_less_than_boxes"))
+
+
 # --- multi-vector objects by intervals
 
 
@@ -580,7 +625,6 @@ def part_points(spark, sf_dir):
     return p.select(F.col("p_partkey").cast("long").alias("id"), F.array(F.col("p_size").cast("double"), F.col("p_retailprice").cast("double")).alias("vec"))
 
 
-_PART_D2 = "((a.p_size - b.p_size)::DOUBLE * (a.p_size - b.p_size)::DOUBLE + (a.p_retailprice - b.p_retailprice) * (a.p_retailprice - b.p_retailprice))"
 
 
 @query(f"SELECT a.vec_id AS q, b.vec_id AS id FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 WHERE {_D2} <= {LIMIT}")
