@@ -14,11 +14,17 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import FloatType, StructType
 
 from vicinage.plans.storage import small, written
 
 BLOCK_ROWS = 512
+LEAST_ROWS, MOST_ROWS = 256, 2048
+
+
+def block_rows(count: int) -> int:
+    """Rows of a block: as many as make the copies few, and as few as give all tasks some pairs of blocks."""
+    return max(LEAST_ROWS, min(MOST_ROWS, count // 16))
 
 
 def checked(df: DataFrame, id_column: str, vector: str, *extra: str, largest: float | None = None) -> DataFrame:
@@ -40,7 +46,7 @@ def matrix(vectors: pd.Series) -> np.ndarray:
 Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool], pd.DataFrame]
 
 
-def over_tiles(left: DataFrame, right: DataFrame | None, kernel: Kernel, schema: str, rows: int = BLOCK_ROWS) -> DataFrame:
+def over_tiles(left: DataFrame, right: DataFrame | None, kernel: Kernel, schema: str, rows: int | None = None) -> DataFrame:
     """kernel(ids, vectors, other ids, other vectors, same block) for each pair of blocks of id and vec.
 
     Without right, left is joined with itself and each unordered pair of blocks is taken once. Every block is packed
@@ -74,21 +80,23 @@ def _numbers(df: DataFrame, count: int) -> DataFrame:
     return df.sparkSession.range(0, count, 1, max(1, min(count, max(least, count // 64))))
 
 
-def _packed(df: DataFrame, rows: int) -> tuple[DataFrame, int]:
+def _packed(df: DataFrame, rows: int | None) -> tuple[DataFrame, int]:
     """(_b, n, dim, ids, vecs) of id and vec, dealt to blocks by the hash of the id, and the number of blocks."""
-    n = max(1, math.ceil(df.count() / rows))
+    count = df.count()
+    n = max(1, math.ceil(count / (rows or block_rows(count))))
     return written(_blocks(df.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")), "_b"), "tiles"), n
 
 
 def _blocks(dealt: DataFrame, *by: str) -> DataFrame:
-    """(by, n, dim, ids, vecs): the rows of each group as the bytes of their ids and doubles."""
+    """(by, n, dim, ids, vecs): the rows of each group as the bytes of their ids and coordinates, single or double as they are."""
+    kind = np.dtype("<f4" if dealt.schema["vec"].dataType.elementType == FloatType() else "<f8")
 
     def pack(group: pa.Table) -> pa.Table:
         lists = group.column("vec").combine_chunks()
         sizes = np.diff(lists.offsets.to_numpy())
         if len(np.unique(sizes)) > 1:
             raise ValueError("vectors of different dimensions")
-        vecs = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        vecs = lists.flatten().to_numpy(zero_copy_only=False).astype(kind)
         ids = group.column("id").to_numpy().astype(np.int64)
         made = {c: group.column(c)[:1].combine_chunks() for c in by}
         made |= {"n": pa.array([len(sizes)], pa.int32()), "dim": pa.array([int(sizes[0])], pa.int32()), "ids": pa.array([ids.tobytes()]), "vecs": pa.array([vecs.tobytes()])}
@@ -99,13 +107,18 @@ def _blocks(dealt: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).applyInArrow(pack, StructType([*fields, *StructType.fromDDL("n int, dim int, ids binary, vecs binary").fields]))
 
 
+def unpacked(vecs: bytes, n: int, dim: int) -> np.ndarray:
+    """The packed vectors of a block as doubles."""
+    kind = np.dtype("<f4" if len(vecs) == 4 * n * dim else "<f8")
+    return np.frombuffer(vecs, kind).astype(np.float64).reshape(n, dim)
+
+
 def _met(pairs: DataFrame, one: DataFrame, two: DataFrame, kernel: Kernel, schema: str, itself: bool, *by: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for r in frame.to_dict("records"):
                 i, j = np.frombuffer(r["a_ids"], np.int64), np.frombuffer(r["b_ids"], np.int64)
-                x = np.frombuffer(r["a_vecs"], np.float64).reshape(r["a_n"], r["a_dim"])
-                y = np.frombuffer(r["b_vecs"], np.float64).reshape(r["b_n"], r["b_dim"])
+                x, y = unpacked(r["a_vecs"], r["a_n"], r["a_dim"]), unpacked(r["b_vecs"], r["b_n"], r["b_dim"])
                 if x.shape[1] != y.shape[1]:
                     raise ValueError("vectors of different dimensions")
                 yield kernel(i, x, j, y, itself and r["_i"] == r["_j"])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vicinage.functions import metrics as M
-from vicinage.operators import blocks, certificates, hierarchy, joins, objects as objects_, relations, tiles, trees
+from vicinage.operators import blocks, certificates, hierarchy, joins, objects as objects_, relations, tiles, trees, windows
 from vicinage.plans.storage import written
 from vicinage.streaming import updates
 
@@ -596,6 +596,37 @@ def hierarchy_soundness(spark, sf_dir):
     return out.agg((F.sum("lost") == 0).alias("sound"), F.every(F.col("all_") >= F.col("box")).alias("not_less_than_boxes"))
 
 
+# --- window joins
+
+
+_BAND_PAIRS = f"FROM {_POINTS} WHERE b.p_retailprice BETWEEN a.p_retailprice - 2 AND a.p_retailprice + 2 AND b.p_size BETWEEN a.p_size - 1 AND a.p_size + 1"
+
+
+@query(f"SELECT a.p_partkey AS i, b.p_partkey AS j {_BAND_PAIRS}")
+def sweep_band_join(spark, sf_dir):
+    """band_join by runs of sorted prices and binary search."""
+    return windows.sweep_join(table(spark, sf_dir, "part"), "p_partkey", {"p_retailprice": 2.0, "p_size": 1.0})
+
+
+@query(f"SELECT a.p_partkey AS i, b.p_partkey AS j FROM {_POINTS} WHERE b.p_size = a.p_size AND b.p_retailprice BETWEEN a.p_retailprice - 50 AND a.p_retailprice + 50")
+def sweep_hot_join(spark, sf_dir):
+    """Parts of one size and near prices: the swept column has few values, each in many rows."""
+    return windows.sweep_join(table(spark, sf_dir, "part"), "p_partkey", {"p_size": 0.0, "p_retailprice": 50.0}, rows=128)
+
+
+@query(f"SELECT a.o_orderkey AS i, b.o_orderkey AS j FROM orders a JOIN orders b ON a.o_orderkey <= b.o_orderkey AND b.o_custkey BETWEEN a.o_custkey - 3 AND a.o_custkey + 3 AND b.o_totalprice BETWEEN a.o_totalprice - 2000 AND a.o_totalprice + 2000 AND epoch(b.o_orderdate) / 86400 BETWEEN epoch(a.o_orderdate) / 86400 - 400 AND epoch(a.o_orderdate) / 86400 + 400")
+def tree_window_join(spark, sf_dir):
+    """Orders near each other in customer, price and date, by a tree of boxes."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", (F.unix_timestamp("o_orderdate") / 86400).alias("day"))
+    return windows.tree_window_join(o, "o_orderkey", {"o_custkey": 3.0, "o_totalprice": 2000.0, "day": 400.0})
+
+
+@query()
+def sweep_run_copies(spark, sf_dir):
+    """Runs of sweep_band_join, and how many each meets."""
+    return windows.sweep_copies(table(spark, sf_dir, "part"), "p_partkey", {"p_retailprice": 2.0, "p_size": 1.0}, rows=256)
+
+
 # --- multi-vector objects by intervals
 
 
