@@ -160,6 +160,27 @@ def validation(pairs: DataFrame, rows: int) -> DataFrame:
     return whole.crossJoin(back)  # one row each
 
 
+def ordered_digest(rows: DataFrame, columns: list[str], chunk: int = 1024) -> DataFrame:
+    """One row, (rows, digest): SHA-256 of rows in the order of the columns, whatever the partitioning.
+
+    Rows are numbered in that order; the digest of each chunk of rows, as text of comma-joined columns and line feeds, is one line of the
+    next level, until there is one. No rows: the digest of nothing.
+    """
+    from vicinage.operators.blocks import numbered
+
+    text = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    level = numbered(rows.select(*columns), columns).select("_n", text.alias("_t"))
+    count = level.count()
+    left = count
+    while True:
+        lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", "_t"))), lambda x: x["_t"]), "\n")  # a chunk
+        level = level.groupBy(F.floor(F.col("_n") / chunk).cast("long").alias("_m")).agg(F.sha2(lines, 256).alias("_t")).withColumnRenamed("_m", "_n")
+        left = -(-left // chunk)
+        if left <= 1:
+            return level.agg(F.lit(count).cast("long").alias("rows"), F.coalesce(F.max("_t"), F.sha2(F.lit(""), 256)).alias("digest"))
+        level = written(level, "digests")
+
+
 def budget(scored: DataFrame, share: float) -> DataFrame:
     """The best share of rows by score, ties by id: rows id, score."""
     return scored.orderBy("score", "id").limit(math.ceil(round(scored.count() * share, 6)))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from vicinage.functions import metrics as M
 from vicinage.operators import blocks, certificates, hierarchy, joins, objects as objects_, relations, tiles, trees, windows
-from vicinage.plans.storage import written
+from vicinage.plans.storage import place, written
+from vicinage.sources import binary
 from vicinage.streaming import updates
 
 #: Squared-distance limit of the joins over embeddings; no pair lies within 1e-5 of it.
@@ -596,6 +597,41 @@ def hierarchy_soundness(spark, sf_dir):
     return out.agg((F.sum("lost") == 0).alias("sound"), F.every(F.col("all_") >= F.col("box")).alias("not_less_than_boxes"))
 
 
+# --- files
+
+
+@query("SELECT i, list_extract(embedding, 1) AS first, list_extract(embedding, len(embedding)) AS last FROM (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, embedding FROM embeddings)")
+def fvecs_round_trip(spark, sf_dir):
+    """All vectors written as fvecs, one file a range, and read again by byte ranges."""
+    path = place(spark, "fvecs")
+    binary.write_vectors(vectors(spark, sf_dir), path)
+    return binary.read_vectors(spark, path, "fvecs", range_bytes=1 << 14).select(F.col("id").alias("i"), F.get("vec", F.lit(0)).alias("first"), F.element_at("vec", -1).alias("last"))
+
+
+@query("SELECT i, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) > 0 AS positive FROM (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, embedding FROM embeddings) WHERE i BETWEEN 100 AND 299 AND i % 3 = 0")
+def raw_file_pushdown(spark, sf_dir):
+    """Vectors written as doubles; a range of ids is read, and nothing else of the files."""
+    path = place(spark, "raw")
+    binary.write_vectors(vectors(spark, sf_dir), path, "f8")
+    rows = binary.read_vectors(spark, path, "f8", dimension=64, element="double").where("id >= 100 AND id < 300 AND id % 3 = 0")
+    return rows.select(F.col("id").alias("i"), (F.aggregate("vec", F.lit(0.0), lambda t, x: t + x) > 0).alias("positive"))
+
+
+@query(f"{_ALL}, k AS (SELECT i * (SELECT max(vec_id) + 1 FROM embeddings) + j AS value FROM s) SELECT row_number() OVER (ORDER BY value) - 1 AS id, value FROM k")
+def pair_file_round_trip(spark, sf_dir):
+    """Packed directed pairs in order, as 64-bit integers in one file a range, read again by their places."""
+    n, path = table(spark, sf_dir, "embeddings").agg(F.max("vec_id") + 1).first()[0], place(spark, "pairs-u64")
+    binary.write_numbers(directed(spark, sf_dir).select(M.packed_pair("i", "j", n).alias("value")), path)
+    return binary.read_vectors(spark, path, "u64")
+
+
+@query(f"""{_ALL}, n AS (SELECT i, j, row_number() OVER (ORDER BY i, j) - 1 AS n FROM s), c AS (SELECT n // 1024 AS m, sha256(string_agg(i || ',' || j, chr(10) ORDER BY n)) AS t FROM n GROUP BY 1)
+SELECT (SELECT count(*) FROM n) AS rows, CASE WHEN count(*) = 1 THEN max(t) ELSE sha256(string_agg(t, chr(10) ORDER BY m)) END AS digest FROM c""")
+def pair_digest(spark, sf_dir):
+    """The digest of the directed pairs in order: of chunks, and of the chunks' digests."""
+    return relations.ordered_digest(directed(spark, sf_dir), ["i", "j"])
+
+
 # --- window joins
 
 

@@ -6,21 +6,25 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the folder of spark.checkpoint.dir; on one machine without it, in a temporary folder."""
-    spark = df.sparkSession
+def place(spark: SparkSession, label: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir; on one machine without it, in a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = os.path.join(tempfile.gettempdir(), "vicinage-stages")
-    path = f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a Parquet table where all executors can read it."""
+    path = place(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: Tables are broadcast up to this many bytes, as measured; a larger one meets the rows in a shuffle join.
