@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vicinage.functions import metrics as M
-from vicinage.operators import blocks, certificates, hierarchy, joins, objects as objects_, relations, tiles, trees, windows
+from vicinage.operators import blocks, certificates, hierarchy, joins, objects as objects_, relations, sampling, tiles, trees, windows, witnesses
 from vicinage.plans.storage import place, written
 from vicinage.sources import binary
 from vicinage.streaming import updates
@@ -597,6 +597,42 @@ def hierarchy_soundness(spark, sf_dir):
     return out.agg((F.sum("lost") == 0).alias("sound"), F.every(F.col("all_") >= F.col("box")).alias("not_less_than_boxes"))
 
 
+# --- sampled calibration, estimates, hubs
+
+
+@query()
+def sampled_calibration(spark, sf_dir):
+    """A threshold on the grid for 1000 pairs, from 2^20 sampled pairs, with the bound of its error."""
+    return sampling.sampled_threshold(vectors(spark, sf_dir), 1000, 1 << 20)
+
+
+@query(f"{_CELLS}, r AS (SELECT 0.5 * (f + g) AS s, row_number() OVER (ORDER BY 0.5 * (f + g)) AS k FROM f JOIN g ON f.q = g.q AND f.b = g.b) SELECT round(avg(s), 9) AS threshold FROM r WHERE k IN (50, 51)")
+def chamfer_gap(spark, sf_dir):
+    """Midway between the fiftieth smallest Chamfer score and the next."""
+    return sampling.strict_score_gap(relations.chamfer(*objects(spark, sf_dir)), 50).select(F.round("threshold", 9).alias("threshold"))
+
+
+@query(f"WITH p AS (SELECT count(*) AS k FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 WHERE {_D2} <= {LIMIT}), q AS (SELECT count(*) AS n, count(*) FILTER (WHERE vec_id % 100 = 0) AS s FROM embeddings) SELECT s AS sampled, k AS sampled_pairs, ceil(k * n / s)::BIGINT AS estimated_pairs, greatest(1, ceil(ceil(k * n / s) / 1000))::BIGINT AS batches FROM p, q")
+def batch_estimate(spark, sf_dir):
+    """Pairs of all vectors and batches of a thousand, estimated from every hundredth vector."""
+    v = vectors(spark, sf_dir)
+    return sampling.batch_estimate(v, LIMIT, v.where("id % 100 = 0"), 1000)
+
+
+@query(f"{_WITNESS} SELECT q, b, witnesses FROM p")
+def witness_rectangles(spark, sf_dir):
+    """witness_pairs by rectangles of runs, so that a hub is many tasks."""
+    return witnesses.witness_counts(edges(spark, sf_dir))
+
+
+@query("WITH e AS (SELECT o_custkey AS src, l_suppkey % 5 AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey) SELECT a.src AS q, b.src AS b, sum(a.n * b.n)::BIGINT AS witnesses FROM (SELECT src, dst, count(*) AS n FROM e GROUP BY ALL) a JOIN (SELECT src, dst, count(*) AS n FROM e GROUP BY ALL) b ON a.dst = b.dst AND a.src < b.src GROUP BY 1, 2")
+def witness_bag_of_hubs(spark, sf_dir):
+    """The bag of customers' common suppliers in five groups: each is a hub of nearly all customers."""
+    o, line = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    e = o.join(line, o["o_orderkey"] == line["l_orderkey"]).select(F.col("o_custkey").alias("src"), (F.col("l_suppkey") % 5).alias("dst"))
+    return witnesses.witness_counts(e, bag=True)
+
+
 # --- files
 
 
