@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType, StructType
 
-from vicinage.plans.storage import small, written
+from vicinage.plans.storage import BROADCAST_BYTES, measured_bytes, written
 
 BLOCK_ROWS = 512
 LEAST_ROWS, MOST_ROWS = 256, 2048
@@ -52,16 +52,17 @@ def over_tiles(left: DataFrame, right: DataFrame | None, kernel: Kernel, schema:
     Without right, left is joined with itself and each unordered pair of blocks is taken once. Every block is packed
     once; what is dealt to tasks are pairs of block numbers, which then meet their blocks.
     """
-    one, n = _packed(left, rows)
+    one, n, small_one = _packed(left, rows)
+    small_two = small_one
     if right is None:
         two, reach = one, n // 2 + 1  # block i meets i, i + 1, ... around the circle, so that all have as many partners
         i, k = F.floor(F.col("id") / reach), F.col("id") % reach
         pairs = _numbers(one, n * reach).select(i.cast("int").alias("_i"), ((i + k) % n).cast("int").alias("_j"), k.alias("_k"))
         pairs = pairs.where((F.col("_k") * 2 < n) | ((F.col("_k") * 2 == n) & (F.col("_i") < F.col("_j")))).drop("_k")
     else:
-        two, m = _packed(right, rows)
+        two, m, small_two = _packed(right, rows)
         pairs = _numbers(one, n * m).select(F.floor(F.col("id") / m).cast("int").alias("_i"), (F.col("id") % m).cast("int").alias("_j"))
-    return _met(pairs, one, two, kernel, schema, right is None)
+    return _met(pairs, one, two, kernel, schema, right is None, (small_one, small_two))
 
 
 def over_tiles_by(df: DataFrame, key: str, kernel: Kernel, schema: str, rows: int = BLOCK_ROWS) -> DataFrame:
@@ -71,7 +72,8 @@ def over_tiles_by(df: DataFrame, key: str, kernel: Kernel, schema: str, rows: in
     packed = written(_blocks(dealt, key, "_b"), "tiles")
     each = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
     pairs = sizes.select(key, "_n", each.alias("_i")).select(key, "_i", each.alias("_j")).where("_i <= _j")
-    return _met(pairs, packed, packed, kernel, schema, True, key)
+    fits = measured_bytes(packed) <= BROADCAST_BYTES
+    return _met(pairs, packed, packed, kernel, schema, True, (fits, fits), key)
 
 
 def _numbers(df: DataFrame, count: int) -> DataFrame:
@@ -80,11 +82,12 @@ def _numbers(df: DataFrame, count: int) -> DataFrame:
     return df.sparkSession.range(0, count, 1, max(1, min(count, max(least, count // 64))))
 
 
-def _packed(df: DataFrame, rows: int | None) -> tuple[DataFrame, int]:
-    """(_b, n, dim, ids, vecs) of id and vec, dealt to blocks by the hash of the id, and the number of blocks."""
-    count = df.count()
+def _packed(df: DataFrame, rows: int | None) -> tuple[DataFrame, int, bool]:
+    """(_b, n, dim, ids, vecs) of id and vec, dealt to blocks by the hash of the id; the number of blocks; whether they are small enough to be broadcast."""
+    count, widest = df.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
     n = max(1, math.ceil(count / (rows or block_rows(count))))
-    return written(_blocks(df.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")), "_b"), "tiles"), n
+    fits = count * (8 + 8 * widest) <= BROADCAST_BYTES
+    return written(_blocks(df.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")), "_b"), "tiles"), n, fits
 
 
 def _blocks(dealt: DataFrame, *by: str) -> DataFrame:
@@ -113,7 +116,9 @@ def unpacked(vecs: bytes, n: int, dim: int) -> np.ndarray:
     return np.frombuffer(vecs, kind).astype(np.float64).reshape(n, dim)
 
 
-def _met(pairs: DataFrame, one: DataFrame, two: DataFrame, kernel: Kernel, schema: str, itself: bool, *by: str) -> DataFrame:
+def _met(pairs: DataFrame, one: DataFrame, two: DataFrame, kernel: Kernel, schema: str, itself: bool, fit: tuple[bool, bool], *by: str) -> DataFrame:
+    """fit: whether the blocks of either side may be broadcast."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for r in frame.to_dict("records"):
@@ -124,7 +129,8 @@ def _met(pairs: DataFrame, one: DataFrame, two: DataFrame, kernel: Kernel, schem
                 yield kernel(i, x, j, y, itself and r["_i"] == r["_j"])
 
     side = lambda df, at, name: df.select(*by, F.col("_b").alias(at), *[F.col(c).alias(f"{name}_{c}") for c in ("n", "dim", "ids", "vecs")])
-    joined = pairs.join(small(side(one, "_i", "a")), [*by, "_i"]).join(small(side(two, "_j", "b")), [*by, "_j"])
+    a, b = side(one, "_i", "a"), side(two, "_j", "b")
+    joined = pairs.join(F.broadcast(a) if fit[0] else a, [*by, "_i"]).join(F.broadcast(b) if fit[1] else b, [*by, "_j"])
     return joined.drop(*by).mapInPandas(run, schema)
 
 
