@@ -240,3 +240,12 @@ def test_bitmaps_of_many_parts():
     flags = r.random(1000) < 0.4
     maps = filter_audit.Bitmaps(parts, parts.max() + 1)
     assert maps.counted(maps.packed(flags)).tolist() == np.bincount(parts, weights=flags).astype(int).tolist()
+
+
+def test_the_smaller_distance_of_a_place_stays():
+    from vicinage.llm.decontamination import _keep_least
+
+    places = {4: 3, 9: 0}
+    _keep_least(places, {4: 7, 9: 1, 11: 5})
+    _keep_least(places, {4: 2})
+    assert places == {4: 2, 9: 0, 11: 5}

@@ -213,6 +213,12 @@ def _in_parts(hashes: np.ndarray, index: Index) -> list[tuple[int, np.ndarray]]:
     return [(at, hashes[at : at + TOGETHER]) for at in range(0, len(hashes) - overlap, max(1, TOGETHER - overlap))]
 
 
+def _keep_least(places: dict, more: dict) -> None:
+    """Adds places with their distances; of a place that both have the smaller distance stays."""
+    for place, distance in more.items():
+        places[place] = min(distance, places.get(place, distance))
+
+
 def _matched(rows: DataFrame, items: list[tuple]) -> DataFrame:
     """doc_id, number of the item, similarity, hamming, start_word, n_words, text_sha256 for texts that hold one of the items."""
     schema = StructType([rows.schema["doc_id"]]).add("_item", "long").add("similarity", "double").add("hamming", "integer").add("start_word", "long").add("n_words", "long").add("text_sha256", "string")
@@ -228,7 +234,7 @@ def _matched(rows: DataFrame, items: list[tuple]) -> DataFrame:
                 found = {}
                 for (t, item), places in candidates([h for _, _, h in group], index).items():
                     row, at, _ = group[t]
-                    found.setdefault((row, item), {}).update({p + at: d for p, d in places.items()})
+                    _keep_least(found.setdefault((row, item), {}), {p + at: d for p, d in places.items()})
                 return found
 
             group, size, hashes, found = [], 0, {}, {}
@@ -251,12 +257,12 @@ def _matched(rows: DataFrame, items: list[tuple]) -> DataFrame:
                     size += len(part)
                     if size >= TOGETHER:
                         for k, places in close(group).items():
-                            found.setdefault(k, {}).update(places)
+                            _keep_least(found.setdefault(k, {}), places)
                         group, size = [], 0
                 if not group:
                     settle()
             for k, places in close(group).items():
-                found.setdefault(k, {}).update(places)
+                _keep_least(found.setdefault(k, {}), places)
             settle()
             at, *rest = out
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(rest, (pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.int64(), pa.string())))], schema.fieldNames())
