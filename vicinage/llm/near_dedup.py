@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from vicinage.llm.tables import fresh, leave_out, materialize, small, text_of
+from vicinage.llm.tables import discard, fresh, leave_out, materialize, small, text_of
 
 SHINGLE = 5
 #: Linked when 100 * shared >= 75 * united.
@@ -286,30 +286,50 @@ def components(edges: DataFrame) -> DataFrame:
         point = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("to")), "near-pointers")
         while True:
             further = point.select(F.col("id").alias("to"), F.col("to").alias("_next"))
-            point = materialize(point.join(further, "to").select("id", F.col("_next").alias("to"), (F.col("_next") < F.col("to")).alias("_moved")), "near-pointers")
+            moved = materialize(point.select("id", "to").join(further, "to").select("id", F.col("_next").alias("to"), (F.col("_next") < F.col("to")).alias("_moved")), "near-pointers")
+            discard(point)
+            point = moved
             if point.where("_moved").isEmpty():
                 break
-            point = point.select("id", "to")
-        point = point.select("id", "to")
         if result is None:
-            result = point
+            result = materialize(point.select("id", "to"), "near-components")
         else:
-            step = point.select(F.col("id").alias("to"), F.col("to").alias("_next"))
-            result = materialize(result.join(step, "to", "left").select("id", F.coalesce("_next", "to").alias("to")), "near-components")
-        at_a, at_b = point.toDF("a", "_ra"), point.toDF("b", "_rb")
-        current = current.join(at_a, "a").join(at_b, "b").where("_ra <> _rb").select(F.least("_ra", "_rb").alias("a"), F.greatest("_ra", "_rb").alias("b")).distinct()
-        current = materialize(current, "near-edges")
+            step = point.select(F.col("to").alias("_next"), F.col("id").alias("to"))
+            longer = materialize(result.join(step, "to", "left").select("id", F.coalesce("_next", "to").alias("to")), "near-components")
+            discard(result)
+            result = longer
+        at_a, at_b = point.select("id", "to").toDF("a", "_ra"), point.select("id", "to").toDF("b", "_rb")
+        left = current.join(at_a, "a").join(at_b, "b").where("_ra <> _rb").select(F.least("_ra", "_rb").alias("a"), F.greatest("_ra", "_rb").alias("b")).distinct()
+        left = materialize(left, "near-edges")
+        discard(current, point)
+        current = left
         if current.isEmpty():
             return result.withColumnRenamed("to", "component")
 
 
+def extended(known: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (id, component) as `components` gives them, with more links (a, b), both read from storage.
+
+    Only links between different components are followed, by their components' smallest ids.
+    """
+    if links.isEmpty():
+        return known
+    at_a, at_b = small(known.toDF("a", "_ra")), small(known.toDF("b", "_rb"))
+    between = links.join(at_a, "a", "left").join(at_b, "b", "left").select(F.coalesce("_ra", "a").alias("a"), F.coalesce("_rb", "b").alias("b"))
+    step = components(between)
+    merged = known.join(small(step.toDF("component", "_to")), "component", "left").select("id", F.coalesce("_to", "component").alias("component"))
+    return materialize(merged.unionByName(step.join(known.select("id"), "id", "left_anti")), "near-components")
+
+
 def _sets_for(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
     """id and hashes of the given classes, written. One row of docs is read for each; rows that share its id may give others, which are left out."""
     wanted = materialize(classes.join(ids, "id").select("id", "class", F.col("low").alias("_low")), "near-wanted")
     key = fresh(docs, "_low")[0]
     rows = docs.join(small(wanted.select(F.col("_low").alias(key)).distinct()), F.col("doc_id").eqNullSafe(F.col(key)), "left_semi")
     made = sets_of(rows, full=True).where("hashes IS NOT NULL").select("class", "hashes")
-    return materialize(made.join(small(wanted.select("id", "class")), "class").select("id", "hashes"), "near-sets")
+    made = materialize(made.join(small(wanted.select("id", "class")), "class").select("id", "hashes"), "near-sets")
+    discard(wanted)
+    return made
 
 
 def _members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -323,7 +343,7 @@ def _members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sketches = materialize(_sketched(classes), "near-sketches")
 
     nodes = materialize(_branches(embedded, range(FIRST)), "near-nodes")
-    links, sets, level = None, None, 0
+    written, sets, level = [], None, 0
     known = None
     while True:
         told = small(known) if level else None
@@ -331,44 +351,59 @@ def _members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         stats = tagged.groupBy("node").agg(F.count(F.lit(1)).alias("_n"), F.min("_c").alias("_low"), F.max("_c").alias("_high"), F.bit_xor(F.xxhash64("id")).alias("_xor"))
         stats = materialize(stats.where("_low <> _high"), "near-stats")  # nodes of one row or one component are done
         # Nodes of the same members, as many pairs have in several trees, are compared once.
-        leaf = stats.where(F.col("_n") <= SMALL).groupBy("_n", "_xor").agg(F.min("node").alias("node")).select("node")
-        leaves = nodes.join(small(materialize(leaf, "near-leaf-nodes")), "node").select("node", F.lit(0).cast("long").alias("part"), "id")
-        large = stats.where(F.col("_n") > SMALL).groupBy("_n", "_xor").agg(F.min("node").alias("node")).select("node", "_n")
-        large = materialize(large, "near-large")
-        more = not large.isEmpty()
-        if more:
-            inside = materialize(nodes.join(large, "node"), "near-inside")
-            parts = (F.col("_n") / SMALL).cast("long") + 1
-            if level < DEEPEST:
+        leaf = materialize(stats.where(F.col("_n") <= SMALL).groupBy("_n", "_xor").agg(F.min("node").alias("node")).select("node"), "near-leaf-nodes")
+        leaves = nodes.join(small(leaf), "node").select("node", F.lit(0).cast("long").alias("part"), "id")
+        large = materialize(stats.where(F.col("_n") > SMALL).groupBy("_n", "_xor").agg(F.min("node").alias("node")).select("node", "_n"), "near-large")
+        more, used = False, [stats, leaf, large]
+        if not large.isEmpty():
+            inside = tagged.select("node", "id", "_c").join(small(large), "node")
+            if level:
+                # Where few members are outside the largest component, these are compared with all others; the rest branches.
+                outside = inside.groupBy("node", "_n", "_c").count().groupBy("node", "_n").agg(F.max_by("_c", "count").alias("_most"), (F.col("_n") - F.max("count")).alias("_rest"))
+                outside = materialize(outside.withColumn("_last", (F.col("_rest") <= SMALL) | F.lit(level == DEEPEST)), "near-outside")
+                used.append(outside)
+                inside = materialize(inside.join(small(outside.drop("_n")), "node"), "near-inside")
+                leaves = leaves.unionByName(_all_against_rest(inside.where("_last")))
+                branching, more = inside.where("NOT _last"), not outside.where("NOT _last").isEmpty()
+            else:
+                inside = branching = materialize(inside, "near-inside")
+                more = True
+            used.append(inside)
+            if more:
+                parts = (F.col("_n") / SMALL).cast("long") + 1
                 ranked = F.pmod(F.xxhash64("node", "id"), F.lit(1 << 40))
-                pivots = inside.withColumn("_r", ranked).groupBy("node", "_n", F.pmod("_r", F.lit(PIVOTS)).alias("_slot")).agg(F.min_by("id", "_r").alias("id"))
+                pivots = branching.withColumn("_r", ranked).groupBy("node", "_n", F.pmod("_r", F.lit(PIVOTS)).alias("_slot")).agg(F.min_by("id", "_r").alias("id"))
                 spread = pivots.select("node", F.explode(F.sequence(F.lit(1).cast("long"), parts)).alias("part"), "id")
-                members = inside.select("node", (F.pmod(F.xxhash64("id", "node"), parts) + 1).alias("part"), "id")
+                members = branching.select("node", (F.pmod(F.xxhash64("id", "node"), parts) + 1).alias("part"), "id")
                 members = members.join(pivots.select("node", "id"), ["node", "id"], "left_anti")
                 leaves = leaves.unionByName(spread).unionByName(members)
-            else:
-                leaves = leaves.unionByName(_all_against_rest(inside.join(known, "id", "left").withColumn("_c", F.coalesce("component", "id")), parts))
         told = sketches.join(told, "id", "left").withColumn("component", F.coalesce("component", "id")) if level else sketches.withColumn("component", F.col("id"))
         leaves = materialize(_sifted(leaves.join(told, "id")), "near-leaves")
         new = leaves.select("id").distinct()
-        new = _sets_for(docs, classes, new if sets is None else new.join(sets.select("id"), "id", "left_anti"))
-        sets = new if sets is None else sets.unionByName(new)
+        written.append(_sets_for(docs, classes, new if sets is None else new.join(sets.select("id"), "id", "left_anti")))
+        sets = written[-1] if sets is None else sets.unionByName(written[-1])
         found = materialize(_compared(sets.join(small(leaves), "id")), "near-links")  # full sets are shuffled once
-        links = found if links is None else links.unionByName(found)
-        known = components(links)
-        if level and not more or level == DEEPEST:
+        known = extended(known, found) if level else components(found)
+        deeper = None
+        if more or not level:
+            deeper = _branches(branching.select("node", "id").join(embedded, "id")) if more else None
+            if not level:
+                others = _branches(embedded, range(FIRST, TREES))
+                deeper = others if deeper is None else deeper.unionByName(others)
+            deeper = materialize(deeper, "near-nodes")
+        discard(*used, nodes, leaves, found)
+        if deeper is None:
             break
-        nodes = _branches(inside.select("node", "id").join(embedded, "id")) if more else None
-        if not level:
-            others = _branches(embedded, range(FIRST, TREES))
-            nodes = others if nodes is None else others.unionByName(nodes)
-        nodes = materialize(nodes, "near-nodes")
+        nodes = deeper
         level += 1
+    discard(sketches, *written)
 
     linked = classes.join(known, "id", "left").where("_rows > 1 OR component IS NOT NULL").select("class", "low", F.coalesce("component", "id").alias("group"))
     linked = materialize(linked, "near-linked")
     least = linked.groupBy("group").agg(F.min("low").alias("component_id"))
-    return rows.drop("tokens"), materialize(linked.join(least, "group").select("class", "group", "component_id"), "near-class-components")
+    told = materialize(linked.join(least, "group").select("class", "group", "component_id"), "near-class-components")
+    discard(classes, linked)
+    return rows.drop("tokens"), told
 
 
 def _sketched(classes: DataFrame) -> DataFrame:
@@ -400,20 +435,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
-def _all_against_rest(inside: DataFrame, parts) -> DataFrame:
-    """Comparisons that are left in nodes still large at the deepest level: members outside a node's largest component with all others, in blocks.
+def _all_against_rest(inside: DataFrame) -> DataFrame:
+    """Comparisons of large nodes that don't branch: members outside a node's largest component with all others, in blocks: (node, part, id).
 
-    inside: node, _n, id, _c. Each such member goes to every block of its node, in groups of SMALL.
+    inside: node, _n, id, _c, _most (the largest component), _rest (members outside it). Each such member goes to
+    every block of its node, in groups of SMALL.
     """
-    counted = inside.groupBy("node", "_c").count().groupBy("node").agg(F.max_by("_c", "count").alias("_most"))
-    told = inside.join(counted, "node")
-    rest = told.where("_c <> _most").withColumn("_g", F.pmod(F.xxhash64("id"), F.greatest(F.lit(1).cast("long"), parts)))
-    groups = rest.select("node", "_g").distinct()
-    block = F.pmod(F.xxhash64("id", "node"), parts)
-    members = inside.select("node", block.alias("_b"), "id").join(groups, "node")
-    return members.select("node", (F.col("_b") * 1_000_000 + F.col("_g") + 1).alias("part"), "id").unionByName(
-        rest.select("node", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("_b"), "_g", "id").select("node", (F.col("_b") * 1_000_000 + F.col("_g") + 1).alias("part"), "id")
-    ).distinct()
+    parts, groups = ((F.col(n) / SMALL).cast("long") + 1 for n in ("_n", "_rest"))
+    part = (F.col("_b") * 1_000_000 + F.col("_g") + 1).alias("part")
+    members = inside.withColumn("_b", F.pmod(F.xxhash64("id", "node"), parts)).withColumn("_g", F.explode(F.sequence(F.lit(0).cast("long"), groups - 1)))
+    rest = inside.where("_c <> _most").withColumn("_g", F.pmod(F.xxhash64("id"), groups)).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    return members.select("node", part, "id").unionByName(rest.select("node", part, "id")).distinct()
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

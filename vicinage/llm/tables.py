@@ -38,7 +38,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes what `materialize` wrote, once nothing will read it again; None is passed over."""
+    for table in tables:
+        if table is not None:
+            context = table.sparkSession.sparkContext
+            path = context._jvm.org.apache.hadoop.fs.Path(table.written_at)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Tables are broadcast up to this many bytes, as measured; a larger one meets the rows in a shuffle join.
