@@ -348,35 +348,45 @@ def _members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     while True:
         told = small(known) if level else None
         tagged = nodes.join(told, "id", "left").withColumn("_c", F.coalesce("component", "id")) if level else nodes.withColumn("_c", F.col("id"))
-        stats = tagged.groupBy("node").agg(F.count(F.lit(1)).alias("_n"), F.min("_c").alias("_low"), F.max("_c").alias("_high"), F.bit_xor(F.xxhash64("id")).alias("_xor"))
+        # Per component first, so that a node with very many rows is counted where they are.
+        counts = tagged.groupBy("node", "_c").agg(F.count(F.lit(1)).alias("_k"), F.bit_xor(F.xxhash64("id")).alias("_x"))
+        stats = counts.groupBy("node").agg(F.sum("_k").alias("_n"), F.min("_c").alias("_low"), F.max("_c").alias("_high"), F.bit_xor("_x").alias("_xor"), F.max_by("_c", "_k").alias("_most"), F.max("_k").alias("_held"))
         stats = materialize(stats.where("_low <> _high"), "near-stats")  # nodes of one row or one component are done
         # Nodes of the same members, as many pairs have in several trees, are compared once.
-        leaf = materialize(stats.where(F.col("_n") <= SMALL).groupBy("_n", "_xor").agg(F.min("node").alias("node")).select("node"), "near-leaf-nodes")
+        once = stats.groupBy("_n", "_xor").agg(F.min_by(F.struct("node", "_most", "_held"), "node").alias("_of")).select("_n", "_of.*")
+        leaf = materialize(once.where(F.col("_n") <= SMALL).select("node"), "near-leaf-nodes")
         leaves = nodes.join(small(leaf), "node").select("node", F.lit(0).cast("long").alias("part"), "id")
-        large = materialize(stats.where(F.col("_n") > SMALL).groupBy("_n", "_xor").agg(F.min("node").alias("node")).select("node", "_n"), "near-large")
-        more, used = False, [stats, leaf, large]
-        if not large.isEmpty():
-            inside = tagged.select("node", "id", "_c").join(small(large), "node")
-            if level:
-                # Where few members are outside the largest component, these are compared with all others; the rest branches.
-                outside = inside.groupBy("node", "_n", "_c").count().groupBy("node", "_n").agg(F.max_by("_c", "count").alias("_most"), (F.col("_n") - F.max("count")).alias("_rest"))
-                outside = materialize(outside.withColumn("_last", (F.col("_rest") <= SMALL) | F.lit(level == DEEPEST)), "near-outside")
-                used.append(outside)
-                inside = materialize(inside.join(small(outside.drop("_n")), "node"), "near-inside")
-                leaves = leaves.unionByName(_all_against_rest(inside.where("_last")))
-                branching, more = inside.where("NOT _last"), not outside.where("NOT _last").isEmpty()
-            else:
-                inside = branching = materialize(inside, "near-inside")
-                more = True
-            used.append(inside)
-            if more:
-                parts = (F.col("_n") / SMALL).cast("long") + 1
-                ranked = F.pmod(F.xxhash64("node", "id"), F.lit(1 << 40))
-                pivots = branching.withColumn("_r", ranked).groupBy("node", "_n", F.pmod("_r", F.lit(PIVOTS)).alias("_slot")).agg(F.min_by("id", "_r").alias("id"))
-                spread = pivots.select("node", F.explode(F.sequence(F.lit(1).cast("long"), parts)).alias("part"), "id")
-                members = branching.select("node", (F.pmod(F.xxhash64("id", "node"), parts) + 1).alias("part"), "id")
-                members = members.join(pivots.select("node", "id"), ["node", "id"], "left_anti")
-                leaves = leaves.unionByName(spread).unionByName(members)
+        large = once.where(F.col("_n") > SMALL).withColumn("_rest", F.col("_n") - F.col("_held"))
+        if level:
+            # What becomes of a large node: where few members are outside its largest component, these meet the component
+            # (all of it, if the node has half of it or more: once for all such nodes), else it branches as long as it may.
+            whole = small(materialize(known.groupBy(F.col("component").alias("_most")).agg(F.count(F.lit(1)).alias("_whole")), "near-sizes"))
+            few = F.col("_rest") <= SMALL
+            fate = F.when(few & (2 * F.col("_held") >= F.col("_whole")), "met").when(few | F.lit(level == DEEPEST), "rest").otherwise("branch")
+            large = large.join(whole, "_most", "left").withColumn("_fate", fate).drop("_whole")
+        else:
+            large = large.withColumn("_fate", F.lit("branch"))
+        large = materialize(large, "near-large")
+        fates = {r["_fate"] for r in large.select("_fate").distinct().collect()}  # three at most
+        more, used = "branch" in fates, [stats, leaf, large]
+        if "met" in fates:
+            own, among = _met(tagged, large.where("_fate = 'met'"), known)
+            used.append(own)
+            leaves = leaves.unionByName(own.select("node", F.lit(0).cast("long").alias("part"), "id")).unionByName(among)
+        if "rest" in fates:
+            inside = tagged.select("node", "id", "_c").join(small(large.where("_fate = 'rest'")), "node")
+            used.append(materialize(inside, "near-inside"))
+            leaves = leaves.unionByName(_all_against_rest(used[-1]))
+        if more:
+            branching = materialize(tagged.select("node", "id").join(small(large.where("_fate = 'branch'")), "node").select("node", "id", "_n"), "near-branching")
+            used.append(branching)
+            parts = (F.col("_n") / SMALL).cast("long") + 1
+            ranked = F.pmod(F.xxhash64("node", "id"), F.lit(1 << 40))
+            pivots = branching.withColumn("_r", ranked).groupBy("node", "_n", F.pmod("_r", F.lit(PIVOTS)).alias("_slot")).agg(F.min_by("id", "_r").alias("id"))
+            spread = pivots.select("node", F.explode(F.sequence(F.lit(1).cast("long"), parts)).alias("part"), "id")
+            members = branching.select("node", (F.pmod(F.xxhash64("id", "node"), parts) + 1).alias("part"), "id")
+            members = members.join(pivots.select("node", "id"), ["node", "id"], "left_anti")
+            leaves = leaves.unionByName(spread).unionByName(members)
         told = sketches.join(told, "id", "left").withColumn("component", F.coalesce("component", "id")) if level else sketches.withColumn("component", F.col("id"))
         leaves = materialize(_sifted(leaves.join(told, "id")), "near-leaves")
         new = leaves.select("id").distinct()
@@ -435,6 +445,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
+def _met(tagged: DataFrame, large: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members of large nodes outside their largest components: (node, id, _most), written, and their comparisons with these: (node, part, id).
+
+    A component that is the largest in several nodes meets the outsiders of all of them at once, in blocks of SMALL by groups of SMALL.
+    """
+    own = tagged.join(small(large.select(F.col("node").alias("_at"), "_most")), (F.col("node") == F.col("_at")) & (F.col("_c") != F.col("_most")))
+    own = materialize(own.select("node", "id", "_most"), "near-outsiders")
+    outside = own.select("_most", "id").distinct()
+    sizes = known.groupBy(F.col("component").alias("_most")).agg(((F.count(F.lit(1)) / SMALL).cast("long") + 1).alias("_blocks"))
+    sizes = small(materialize(outside.groupBy("_most").agg(((F.count(F.lit(1)) / SMALL).cast("long") + 1).alias("_groups")).join(sizes, "_most"), "near-met"))
+    zero = F.lit(0).cast("long")
+    members = known.select(F.col("component").alias("_most"), "id").join(sizes, "_most").withColumn("_b", F.pmod(F.xxhash64("id"), "_blocks")).withColumn("_g", F.explode(F.sequence(zero, F.col("_groups") - 1)))
+    rest = outside.join(sizes, "_most").withColumn("_g", F.pmod(F.xxhash64("id"), "_groups")).withColumn("_b", F.explode(F.sequence(zero, F.col("_blocks") - 1)))
+    both = members.select("_most", "_b", "_g", "id").unionByName(rest.select("_most", "_b", "_g", "id"))
+    return own, both.select(F.xxhash64("_most", F.lit("met")).alias("node"), (F.col("_b") * 1_000_000 + F.col("_g") + 1).alias("part"), "id")
+
+
 def _all_against_rest(inside: DataFrame) -> DataFrame:
     """Comparisons of large nodes that don't branch: members outside a node's largest component with all others, in blocks: (node, part, id).
 
