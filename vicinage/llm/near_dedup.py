@@ -39,6 +39,8 @@ PIVOTS = 8
 LIKELY = 21
 #: Bytes of full sets that are compared together, but for a pair of sets that are larger themselves.
 TOGETHER = 32 << 20
+#: What a row of a node carries: the class, its sketch, the size of its set and its component so far.
+MEMBER = ("id", "sketch", "n", "_c")
 
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _ODD = (np.random.default_rng(11).integers(0, 2**63, TOKENS, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -98,15 +100,18 @@ def sets_of(docs: DataFrame, full: bool = False) -> DataFrame:
 
 
 def _branches(parents: DataFrame, trees: range | None = None) -> DataFrame:
-    """Children (node, id) of rows (node, id, tokens): node is the hash of the path. Given trees, those of their roots."""
-    schema = "node long, id long"
+    """Children (node, id, sketch, n) of rows (node, id, tokens, n): node is the hash of the path. Given trees, those of their roots.
+
+    A child's rows carry their sketches, so that no node has to look them up.
+    """
+    schema = "node long, id long, sketch binary, n long"
 
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            tokens = np.frombuffer(b"".join(batch["tokens"].to_pylist()), np.uint32).reshape(-1, TOKENS).astype(np.uint64)
-            ids = batch["id"].to_numpy()
+            plain = np.frombuffer(b"".join(batch["tokens"].to_pylist()), np.uint32).reshape(-1, TOKENS)
+            tokens, ids, sizes = plain.astype(np.uint64), batch["id"].to_numpy(), batch["n"].to_numpy()
             with np.errstate(over="ignore"):
                 if trees is not None:
                     paths, at = (np.tile(np.array(trees, kind), (len(ids), 1)) for kind in (np.uint64, np.int64))
@@ -120,7 +125,11 @@ def _branches(parents: DataFrame, trees: range | None = None) -> DataFrame:
                 child = (paths * _MIX[0] + at.astype(np.uint64)) * _MIX[2] ^ value * _MIX[4]
                 child = (child ^ (child >> np.uint64(31))) * _MIX[1]
                 child ^= child >> np.uint64(29)
-            yield pa.RecordBatch.from_arrays([pa.array(child.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, at.shape[1]))], ["node", "id"])
+            many = at.shape[1]
+            sketches = pa.py_buffer(np.repeat(plain.astype(np.uint8), many, 0).tobytes())
+            sketches = pa.FixedSizeBinaryArray.from_buffers(pa.binary(TOKENS), len(ids) * many, [None, sketches]).cast(pa.binary())
+            columns = [pa.array(child.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, many)), sketches, pa.array(np.repeat(sizes, many))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "id", "sketch", "n"])
 
     return parents.mapInArrow(descend, schema)
 
@@ -173,7 +182,7 @@ def sketch_of(tokens: np.ndarray) -> bytes:
 
 
 def _sifted(groups: DataFrame) -> DataFrame:
-    """Rows (node, part, id, sketch, n, component) without those that have no likely partner in their group: (node, id).
+    """Rows (node, part, id, sketch, n, _c: component) without those that have no likely partner in their group: (node, id).
 
     Partners are of different components. A pair is likely when at least LIKELY of its tokens agree and the sizes of
     its sets allow the similarity. What likely pairs connect becomes a node named by a hash of its
@@ -228,7 +237,7 @@ def _sifted(groups: DataFrame) -> DataFrame:
             return made
 
         for b in batches:
-            for key, i, t, n, c in zip(zip(*(b[c].to_pylist() for c in by)), *(b[c].to_pylist() for c in ("id", "sketch", "n", "component"))):
+            for key, i, t, n, c in zip(zip(*(b[c].to_pylist() for c in by)), *(b[c].to_pylist() for c in ("id", "sketch", "n", "_c"))):
                 if key != now:
                     close()
                     now = key
@@ -241,7 +250,7 @@ def _sifted(groups: DataFrame) -> DataFrame:
         yield batch()
 
     by = ["node", "part"]
-    rows = groups.select(*by, "id", "sketch", "n", "component").repartition(*by).sortWithinPartitions(*by, "id")
+    rows = groups.select(*by, *MEMBER).repartition(*by).sortWithinPartitions(*by, "id")
     return rows.mapInArrow(sift, "node long, id long").distinct()
 
 
@@ -339,12 +348,12 @@ def _members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("low"), F.first("tokens").alias("tokens"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("_rows"))
     # The number of a class is fixed by being written; a digest of its own would have to be compared in full.
     classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()), "near-classes")
-    embedded = classes.select("id", "tokens")
+    embedded = classes.select("id", "tokens", "n")
     sketches = materialize(_sketched(classes), "near-sketches")
 
     nodes = materialize(_branches(embedded, range(FIRST)), "near-nodes")
     written, sets, level = [], None, 0
-    known = None
+    known, first = None, F.lit(0).cast("long").alias("part")
     while True:
         told = small(known) if level else None
         tagged = nodes.join(told, "id", "left").withColumn("_c", F.coalesce("component", "id")) if level else nodes.withColumn("_c", F.col("id"))
@@ -355,7 +364,7 @@ def _members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         # Nodes of the same members, as many pairs have in several trees, are compared once.
         once = stats.groupBy("_n", "_xor").agg(F.min_by(F.struct("node", "_most", "_held"), "node").alias("_of")).select("_n", "_of.*")
         leaf = materialize(once.where(F.col("_n") <= SMALL).select("node"), "near-leaf-nodes")
-        leaves = nodes.join(small(leaf), "node").select("node", F.lit(0).cast("long").alias("part"), "id")
+        leaves = tagged.join(small(leaf), "node").select("node", first, *MEMBER)
         large = once.where(F.col("_n") > SMALL).withColumn("_rest", F.col("_n") - F.col("_held"))
         if level:
             # What becomes of a large node: where few members are outside its largest component, these meet the component
@@ -370,25 +379,24 @@ def _members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         fates = {r["_fate"] for r in large.select("_fate").distinct().collect()}  # three at most
         more, used = "branch" in fates, [stats, leaf, large]
         if "met" in fates:
-            own, among = _met(tagged, large.where("_fate = 'met'"), known)
+            own, among = _met(tagged, large.where("_fate = 'met'"), known, sketches)
             used.append(own)
-            leaves = leaves.unionByName(own.select("node", F.lit(0).cast("long").alias("part"), "id")).unionByName(among)
+            leaves = leaves.unionByName(own.select("node", first, *MEMBER)).unionByName(among)
         if "rest" in fates:
-            inside = tagged.select("node", "id", "_c").join(small(large.where("_fate = 'rest'")), "node")
+            inside = tagged.select("node", *MEMBER).join(small(large.where("_fate = 'rest'")), "node")
             used.append(materialize(inside, "near-inside"))
             leaves = leaves.unionByName(_all_against_rest(used[-1]))
         if more:
-            branching = materialize(tagged.select("node", "id").join(small(large.where("_fate = 'branch'")), "node").select("node", "id", "_n"), "near-branching")
+            branching = materialize(tagged.select("node", *MEMBER).join(small(large.where("_fate = 'branch'")), "node").select("node", *MEMBER, "_n"), "near-branching")
             used.append(branching)
             parts = (F.col("_n") / SMALL).cast("long") + 1
             ranked = F.pmod(F.xxhash64("node", "id"), F.lit(1 << 40))
-            pivots = branching.withColumn("_r", ranked).groupBy("node", "_n", F.pmod("_r", F.lit(PIVOTS)).alias("_slot")).agg(F.min_by("id", "_r").alias("id"))
-            spread = pivots.select("node", F.explode(F.sequence(F.lit(1).cast("long"), parts)).alias("part"), "id")
-            members = branching.select("node", (F.pmod(F.xxhash64("id", "node"), parts) + 1).alias("part"), "id")
+            pivots = branching.withColumn("_r", ranked).groupBy("node", "_n", F.pmod("_r", F.lit(PIVOTS)).alias("_slot")).agg(F.min_by(F.struct(*MEMBER), "_r").alias("_member")).select("node", "_n", "_member.*")
+            spread = pivots.select("node", F.explode(F.sequence(F.lit(1).cast("long"), parts)).alias("part"), *MEMBER)
+            members = branching.select("node", (F.pmod(F.xxhash64("id", "node"), parts) + 1).alias("part"), *MEMBER)
             members = members.join(pivots.select("node", "id"), ["node", "id"], "left_anti")
             leaves = leaves.unionByName(spread).unionByName(members)
-        told = sketches.join(told, "id", "left").withColumn("component", F.coalesce("component", "id")) if level else sketches.withColumn("component", F.col("id"))
-        leaves = materialize(_sifted(leaves.join(told, "id")), "near-leaves")
+        leaves = materialize(_sifted(leaves), "near-leaves")
         new = leaves.select("id").distinct()
         written.append(_sets_for(docs, classes, new if sets is None else new.join(sets.select("id"), "id", "left_anti")))
         sets = written[-1] if sets is None else sets.unionByName(written[-1])
@@ -445,34 +453,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
-def _met(tagged: DataFrame, large: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The members of large nodes outside their largest components: (node, id, _most), written, and their comparisons with these: (node, part, id).
+def _met(tagged: DataFrame, large: DataFrame, known: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members of large nodes outside their largest components: (node, _most, MEMBER), written, and their comparisons with these: (node, part, MEMBER).
 
     A component that is the largest in several nodes meets the outsiders of all of them at once, in blocks of SMALL by groups of SMALL.
     """
     own = tagged.join(small(large.select(F.col("node").alias("_at"), "_most")), (F.col("node") == F.col("_at")) & (F.col("_c") != F.col("_most")))
-    own = materialize(own.select("node", "id", "_most"), "near-outsiders")
-    outside = own.select("_most", "id").distinct()
+    own = materialize(own.select("node", "_most", *MEMBER), "near-outsiders")
+    outside = own.select("_most", *MEMBER).dropDuplicates(["_most", "id"])
     sizes = known.groupBy(F.col("component").alias("_most")).agg(((F.count(F.lit(1)) / SMALL).cast("long") + 1).alias("_blocks"))
     sizes = small(materialize(outside.groupBy("_most").agg(((F.count(F.lit(1)) / SMALL).cast("long") + 1).alias("_groups")).join(sizes, "_most"), "near-met"))
     zero = F.lit(0).cast("long")
-    members = known.select(F.col("component").alias("_most"), "id").join(sizes, "_most").withColumn("_b", F.pmod(F.xxhash64("id"), "_blocks")).withColumn("_g", F.explode(F.sequence(zero, F.col("_groups") - 1)))
+    members = known.select(F.col("component").alias("_most"), "id").join(sizes, "_most").join(sketches, "id").withColumn("_c", F.col("_most"))
+    members = members.withColumn("_b", F.pmod(F.xxhash64("id"), "_blocks")).withColumn("_g", F.explode(F.sequence(zero, F.col("_groups") - 1)))
     rest = outside.join(sizes, "_most").withColumn("_g", F.pmod(F.xxhash64("id"), "_groups")).withColumn("_b", F.explode(F.sequence(zero, F.col("_blocks") - 1)))
-    both = members.select("_most", "_b", "_g", "id").unionByName(rest.select("_most", "_b", "_g", "id"))
-    return own, both.select(F.xxhash64("_most", F.lit("met")).alias("node"), (F.col("_b") * 1_000_000 + F.col("_g") + 1).alias("part"), "id")
+    both = members.select("_most", "_b", "_g", *MEMBER).unionByName(rest.select("_most", "_b", "_g", *MEMBER))
+    return own, both.select(F.xxhash64("_most", F.lit("met")).alias("node"), (F.col("_b") * 1_000_000 + F.col("_g") + 1).alias("part"), *MEMBER)
 
 
 def _all_against_rest(inside: DataFrame) -> DataFrame:
-    """Comparisons of large nodes that don't branch: members outside a node's largest component with all others, in blocks: (node, part, id).
+    """Comparisons of large nodes that don't branch: members outside a node's largest component with all others, in blocks: (node, part, MEMBER).
 
-    inside: node, _n, id, _c, _most (the largest component), _rest (members outside it). Each such member goes to
+    inside: node, _n, MEMBER, _most (the largest component), _rest (members outside it). Each such member goes to
     every block of its node, in groups of SMALL.
     """
     parts, groups = ((F.col(n) / SMALL).cast("long") + 1 for n in ("_n", "_rest"))
     part = (F.col("_b") * 1_000_000 + F.col("_g") + 1).alias("part")
     members = inside.withColumn("_b", F.pmod(F.xxhash64("id", "node"), parts)).withColumn("_g", F.explode(F.sequence(F.lit(0).cast("long"), groups - 1)))
     rest = inside.where("_c <> _most").withColumn("_g", F.pmod(F.xxhash64("id"), groups)).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    return members.select("node", part, "id").unionByName(rest.select("node", part, "id")).distinct()
+    return members.select("node", part, *MEMBER).unionByName(rest.select("node", part, *MEMBER)).dropDuplicates(["node", "part", "id"])
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
