@@ -99,41 +99,56 @@ def sets_of(docs: DataFrame, full: bool = False) -> DataFrame:
     return rows.mapInArrow(made, schema)
 
 
+def sketch_of(tokens: np.ndarray) -> np.ndarray:
+    """16 bits of each token, enough to count agreements and to part a node's members: an unequal token agrees by mistake in one of 65,536 cases."""
+    return tokens.astype(np.uint16)
+
+
 def _branches(parents: DataFrame, trees: range | None = None) -> DataFrame:
-    """Children (node, id, sketch, n) of rows (node, id, tokens, n): node is the hash of the path. Given trees, those of their roots.
+    """Children (node, MEMBER) of rows (node, MEMBER) by their sketches: node is the hash of the path.
 
-    A child's rows carry their sketches, so that no node has to look them up.
+    Given trees, the nodes of their roots, of rows (id, tokens, n, _c), by whole tokens, since all rows meet there.
     """
-    schema = "node long, id long, sketch binary, n long"
+    schema = StructType().add("node", "long").add("id", "long").add("sketch", "binary").add("n", "long").add("_c", "long")
 
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            plain = np.frombuffer(b"".join(batch["tokens"].to_pylist()), np.uint32).reshape(-1, TOKENS)
-            tokens, ids, sizes = plain.astype(np.uint64), batch["id"].to_numpy(), batch["n"].to_numpy()
+            rows = batch.num_rows
+            if trees is not None:
+                values = np.frombuffer(b"".join(batch["tokens"].to_pylist()), np.uint32).reshape(rows, TOKENS)
+                buffer = pa.py_buffer(sketch_of(values).tobytes())
+                sketches = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * TOKENS), rows, [None, buffer]).cast(pa.binary())
+            else:
+                sketches = batch["sketch"]
+                values = np.frombuffer(b"".join(sketches.to_pylist()), np.uint16).reshape(rows, TOKENS)
             with np.errstate(over="ignore"):
                 if trees is not None:
-                    paths, at = (np.tile(np.array(trees, kind), (len(ids), 1)) for kind in (np.uint64, np.int64))
+                    paths, at = (np.tile(np.array(trees, kind), (rows, 1)) for kind in (np.uint64, np.int64))
                 else:
                     node = batch["node"].to_numpy().view(np.uint64)[:, None]
                     turn = np.arange(CHILDREN, dtype=np.uint64) + np.uint64(1)
                     paths = node ^ (turn * _MIX[3])
                     first = (node * _MIX[1]) >> np.uint64(40)
                     at = ((first + turn * np.uint64(17)) % np.uint64(TOKENS)).astype(np.int64)
-                value = np.take_along_axis(tokens, at, 1)
+                value = np.take_along_axis(values, at, 1).astype(np.uint64)
                 child = (paths * _MIX[0] + at.astype(np.uint64)) * _MIX[2] ^ value * _MIX[4]
                 child = (child ^ (child >> np.uint64(31))) * _MIX[1]
                 child ^= child >> np.uint64(29)
-            many = at.shape[1]
-            sketches = pa.py_buffer(np.repeat(plain.astype(np.uint8), many, 0).tobytes())
-            sketches = pa.FixedSizeBinaryArray.from_buffers(pa.binary(TOKENS), len(ids) * many, [None, sketches]).cast(pa.binary())
-            columns = [pa.array(child.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, many)), sketches, pa.array(np.repeat(sizes, many))]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "id", "sketch", "n"])
+            of = pa.array(np.repeat(np.arange(rows), at.shape[1]))
+            carried = [x.take(of) for x in (batch["id"], sketches, batch["n"], batch["_c"])]
+            yield pa.RecordBatch.from_arrays([pa.array(child.reshape(-1).view(np.int64)), *carried], ["node", *MEMBER])
 
     return parents.mapInArrow(descend, schema)
 
 
+def _placed(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rows (id and others) with _c, the component that known gives their id, or the id itself."""
+    told = rows.drop("_c").join(small(known), "id", "left")
+    return told.withColumn("_c", F.coalesce("component", "id")).drop("component")
+
+
 def linked_pairs(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links among sets that connect what is connected: a spanning forest of the true links.
 
@@ -176,11 +191,6 @@ def linked_pairs(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
-def sketch_of(tokens: np.ndarray) -> bytes:
-    """A byte of each token, enough to count agreements: an unequal token agrees by mistake in one of 256 cases."""
-    return tokens.astype(np.uint8).tobytes()
-
-
 def _sifted(groups: DataFrame) -> DataFrame:
     """Rows (node, part, id, sketch, n, _c: component) without those that have no likely partner in their group: (node, id).
 
@@ -200,7 +210,7 @@ def _sifted(groups: DataFrame) -> DataFrame:
         def close() -> None:
             if len(set(owners)) < 2:
                 return
-            x = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, TOKENS)
+            x = np.frombuffer(b"".join(sketches), np.uint16).reshape(-1, TOKENS)
             agree = np.zeros((len(ids), len(ids)), np.uint8)
             for column in x.T:
                 agree += column[:, None] == column[None, :]
@@ -351,20 +361,18 @@ def _members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     embedded = classes.select("id", "tokens", "n")
     sketches = materialize(_sketched(classes), "near-sketches")
 
-    nodes = materialize(_branches(embedded, range(FIRST)), "near-nodes")
+    nodes = materialize(_branches(embedded.withColumn("_c", F.col("id")), range(FIRST)), "near-nodes")
     written, sets, level = [], None, 0
     known, first = None, F.lit(0).cast("long").alias("part")
     while True:
-        told = small(known) if level else None
-        tagged = nodes.join(told, "id", "left").withColumn("_c", F.coalesce("component", "id")) if level else nodes.withColumn("_c", F.col("id"))
         # Per component first, so that a node with very many rows is counted where they are.
-        counts = tagged.groupBy("node", "_c").agg(F.count(F.lit(1)).alias("_k"), F.bit_xor(F.xxhash64("id")).alias("_x"))
+        counts = nodes.groupBy("node", "_c").agg(F.count(F.lit(1)).alias("_k"), F.bit_xor(F.xxhash64("id")).alias("_x"))
         stats = counts.groupBy("node").agg(F.sum("_k").alias("_n"), F.min("_c").alias("_low"), F.max("_c").alias("_high"), F.bit_xor("_x").alias("_xor"), F.max_by("_c", "_k").alias("_most"), F.max("_k").alias("_held"))
         stats = materialize(stats.where("_low <> _high"), "near-stats")  # nodes of one row or one component are done
         # Nodes of the same members, as many pairs have in several trees, are compared once.
         once = stats.groupBy("_n", "_xor").agg(F.min_by(F.struct("node", "_most", "_held"), "node").alias("_of")).select("_n", "_of.*")
         leaf = materialize(once.where(F.col("_n") <= SMALL).select("node"), "near-leaf-nodes")
-        leaves = tagged.join(small(leaf), "node").select("node", first, *MEMBER)
+        leaves = nodes.join(small(leaf), "node").select("node", first, *MEMBER)
         large = once.where(F.col("_n") > SMALL).withColumn("_rest", F.col("_n") - F.col("_held"))
         if level:
             # What becomes of a large node: where few members are outside its largest component, these meet the component
@@ -379,15 +387,15 @@ def _members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         fates = {r["_fate"] for r in large.select("_fate").distinct().collect()}  # three at most
         more, used = "branch" in fates, [stats, leaf, large]
         if "met" in fates:
-            own, among = _met(tagged, large.where("_fate = 'met'"), known, sketches)
+            own, among = _met(nodes, large.where("_fate = 'met'"), known, sketches)
             used.append(own)
             leaves = leaves.unionByName(own.select("node", first, *MEMBER)).unionByName(among)
         if "rest" in fates:
-            inside = tagged.select("node", *MEMBER).join(small(large.where("_fate = 'rest'")), "node")
+            inside = nodes.join(small(large.where("_fate = 'rest'")), "node")
             used.append(materialize(inside, "near-inside"))
             leaves = leaves.unionByName(_all_against_rest(used[-1]))
         if more:
-            branching = materialize(tagged.select("node", *MEMBER).join(small(large.where("_fate = 'branch'")), "node").select("node", *MEMBER, "_n"), "near-branching")
+            branching = materialize(nodes.join(small(large.where("_fate = 'branch'")), "node").select("node", *MEMBER, "_n"), "near-branching")
             used.append(branching)
             parts = (F.col("_n") / SMALL).cast("long") + 1
             ranked = F.pmod(F.xxhash64("node", "id"), F.lit(1 << 40))
@@ -404,9 +412,10 @@ def _members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         known = extended(known, found) if level else components(found)
         deeper = None
         if more or not level:
-            deeper = _branches(branching.select("node", "id").join(embedded, "id")) if more else None
+            # Components are looked up once a row, before it branches.
+            deeper = _branches(_placed(branching.drop("_n"), known)) if more else None
             if not level:
-                others = _branches(embedded, range(FIRST, TREES))
+                others = _branches(_placed(embedded, known), range(FIRST, TREES))
                 deeper = others if deeper is None else deeper.unionByName(others)
             deeper = materialize(deeper, "near-nodes")
         discard(*used, nodes, leaves, found)
@@ -430,7 +439,7 @@ def _sketched(classes: DataFrame) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                sketches = [sketch_of(np.frombuffer(t.as_py(), np.uint32)) for t in b["tokens"]]
+                sketches = [sketch_of(np.frombuffer(t.as_py(), np.uint32)).tobytes() for t in b["tokens"]]
                 yield pa.RecordBatch.from_arrays([b["id"], pa.array(sketches, pa.binary()), b["n"]], ["id", "sketch", "n"])
 
     return classes.select("id", "tokens", "n").mapInArrow(made, "id long, sketch binary, n long")
@@ -453,12 +462,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
-def _met(tagged: DataFrame, large: DataFrame, known: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _met(nodes: DataFrame, large: DataFrame, known: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The members of large nodes outside their largest components: (node, _most, MEMBER), written, and their comparisons with these: (node, part, MEMBER).
 
     A component that is the largest in several nodes meets the outsiders of all of them at once, in blocks of SMALL by groups of SMALL.
     """
-    own = tagged.join(small(large.select(F.col("node").alias("_at"), "_most")), (F.col("node") == F.col("_at")) & (F.col("_c") != F.col("_most")))
+    own = nodes.join(small(large.select(F.col("node").alias("_at"), "_most")), (F.col("node") == F.col("_at")) & (F.col("_c") != F.col("_most")))
     own = materialize(own.select("node", "_most", *MEMBER), "near-outsiders")
     outside = own.select("_most", *MEMBER).dropDuplicates(["_most", "id"])
     sizes = known.groupBy(F.col("component").alias("_most")).agg(((F.count(F.lit(1)) / SMALL).cast("long") + 1).alias("_blocks"))
