@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import product
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinage.functions import metrics as M
 from vicinage.operators.tiles import nearest, over_tiles, pairs_within
-from vicinage.plans.storage import written
+from vicinage.plans.storage import small, written
 
 STRATEGIES = ("tiles", "naive", "cascade", "pivot")
 
@@ -162,27 +165,75 @@ def pivot_join(left: DataFrame, right: DataFrame | None, limit: float, pivots: i
 def grid_join(points: DataFrame, key: str, columns: list[str], eps: float) -> DataFrame:
     """Pairs i <= j of points within eps in the given numeric columns (at most three of them make the grid).
 
-    Cells of width eps are the key of an equi-join; one side is spread to the neighbouring cells.
+    Cells a little wider than eps are the key of an equi-join of distinct points.
     """
-    grid = columns[:3]
-    points = points.select(F.col(key).cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in columns])
-    a = points.select(F.col("id").alias("i"), F.array(*columns).alias("_a"), *[F.floor(F.col(c) / eps).cast("long").alias(f"_{c}") for c in grid])
-    b = points.select(F.col("id").alias("j"), F.array(*columns).alias("_b"), *[F.floor(F.col(c) / eps).cast("long").alias(f"_{c}") for c in grid])
-    for c in grid:
-        b = b.withColumn(f"_{c}", F.explode(F.sequence(F.col(f"_{c}") - 1, F.col(f"_{c}") + 1)))
-    return a.join(b, [f"_{c}" for c in grid]).where((F.col("i") <= F.col("j")) & (M.squared_l2("_a", "_b") <= eps * eps)).select("i", "j")
+
+    def fits(a: list, b: list) -> tuple:
+        total = F.lit(0.0)
+        for x, y in zip(a, b):
+            total = total + (x - y) * (x - y)
+        return (total <= eps * eps,) * 2
+
+    return _near_points(points, key, columns, [eps] * len(columns), fits)
 
 
 def band_join(points: DataFrame, key: str, bands: dict[str, float]) -> DataFrame:
-    """Pairs i <= j whose columns each differ by at most their band: a window join on a box, gridded on the first."""
-    (first, width), *_ = bands.items()
-    side = lambda name: points.select(F.col(key).cast("long").alias(name), *[F.col(c).cast("double").alias(f"{name}_{c}") for c in bands])
-    a = side("i").withColumn("_cell", F.floor(F.col(f"i_{first}") / width).cast("long"))
-    b = side("j").withColumn("_cell", F.explode(F.sequence(F.floor(F.col(f"j_{first}") / width).cast("long") - 1, F.floor(F.col(f"j_{first}") / width).cast("long") + 1)))
-    fits = F.col("i") <= F.col("j")
-    for c, w in bands.items():
-        fits = fits & F.col(f"j_{c}").between(F.col(f"i_{c}") - w, F.col(f"i_{c}") + w)
-    return a.join(b, "_cell").where(fits).select("i", "j")
+    """Pairs i <= j whose columns each differ by at most their band: a window join on a box, gridded on at most three columns."""
+
+    def fits(a: list, b: list) -> tuple:
+        both = []
+        for one, two in ((a, b), (b, a)):  # the row of the smaller id has the window
+            inside = F.lit(True)
+            for x, y, w in zip(one, two, bands.values()):
+                inside = inside & y.between(x - w, x + w)
+            both.append(inside)
+        return tuple(both)
+
+    return _near_points(points, key, list(bands), list(bands.values()), fits)
+
+
+#: Rows of equal coordinates that are joined as one, about.
+COPIES = 256
+
+
+def _near_points(points: DataFrame, key: str, columns: list[str], widths: list[float], fits: Callable) -> DataFrame:
+    """Pairs i <= j of rows whose points fit. fits(a, b): whether they do if a has the smaller id, and if b has it.
+
+    Rows of equal coordinates are put into runs of some COPIES rows. Runs meet by the cells of their point, so candidates are pairs of
+    points, not of rows; pairs of runs are then dealt to all tasks and written out as pairs of rows.
+    """
+    names = [f"_c{k}" for k in range(len(columns))]
+    cells = [f"_g{k}" for k in range(min(3, len(columns)))]
+    rows = points.select(F.col(key).cast("long").alias("id"), *[F.col(c).cast("double").alias(n) for c, n in zip(columns, names)])
+    for n in ("id", *names):
+        rows = rows.where(F.col(n).isNotNull())
+    rows = written(rows, "points")
+    heavy = written(rows.groupBy(*names).agg(F.ceil(F.count(F.lit(1)) / COPIES).alias("_n")).where("_n > 1"), "points-heavy")
+    dealt = rows.join(small(heavy), names, "left").withColumn("_k", F.pmod(F.xxhash64("id"), F.coalesce("_n", F.lit(1))))
+    runs = dealt.groupBy(*names, "_k").agg(F.collect_list("id").alias("ids")).withColumn("run", F.monotonically_increasing_id())
+    runs = written(runs.select("run", "ids", *names), "point-runs")
+    most = float(1 << 62)
+    wide = [(w or 1.0) * (1 + 2.0**-10) for w in widths]  # rounding never takes partners further than to the next cell
+    side = runs.select("run", *names, *[F.floor(F.least(F.greatest(F.col(n) / w, F.lit(-most)), F.lit(most))).cast("long").alias(g) for g, n, w in zip(cells, names, wide)])
+    ahead = [o for o in product((-1, 0, 1), repeat=len(cells)) if o >= (0,) * len(cells)]  # of two cells, one is ahead of the other
+    steps = F.explode(F.array(*[F.struct(*[(F.col(g) - k).alias(g) for g, k in zip(cells, o)], F.lit(not any(o)).alias("same")) for o in ahead]))
+    one = side.select(*cells, F.col("run").alias("a"), *[F.col(n).alias(f"a{n}") for n in names])
+    two = side.select(F.col("run").alias("b"), *[F.col(n).alias(f"b{n}") for n in names], steps.alias("_s")).select("b", *[f"b{n}" for n in names], "_s.*")
+    forth, back = fits([F.col(f"a{n}") for n in names], [F.col(f"b{n}") for n in names])
+    met = one.join(two.hint("merge"), cells).where(~F.col("same") | (F.col("a") <= F.col("b"))).select("a", "b", forth.alias("forth"), back.alias("back"))
+    met = written(met.where("forth OR back"), "run-pairs")
+    ids = lambda s: small(runs.select(F.col("run").alias(s), F.col("ids").alias(f"{s}_ids")))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = met.repartition(parts, "a", "b").join(ids("a"), "a").join(ids("b"), "b")
+    each = met.select("a", "b", "forth", "back", F.explode("a_ids").alias("x"), "b_ids").select("a", "b", "forth", "back", "x", F.explode("b_ids").alias("y"))
+    x, y = F.col("x"), F.col("y")
+    wanted = ((x <= y) & F.col("forth")) | ((y < x) & F.col("back") & (F.col("a") != F.col("b")))
+    pairs = each.where(wanted).select(F.least(x, y).alias("i"), F.greatest(x, y).alias("j"))
+    if rows.groupBy("id").count().where("count > 1").isEmpty():
+        return pairs
+    # Rows of one id in different runs are partners in both directions; above, the first was counted.
+    again = each.where((x == y) & F.col("back") & (F.col("a") != F.col("b")))
+    return pairs.unionByName(again.select(x.alias("i"), y.alias("j")))
 
 
 def edit_distance_join(names: DataFrame, column: str, limit: int) -> DataFrame:
