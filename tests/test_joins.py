@@ -335,3 +335,25 @@ def test_samples_are_nested(spark):
     df = spark.range(100)
     small, large = ({r.id for r in relations.seeded_sample(df, n, 3).collect()} for n in (10, 30))
     assert len(small) == 10 and small < large
+
+
+@pytest.mark.parametrize("metric,limit", [("l2", 6.0), ("l1", 5.0), ("linf", 1.2), ("cosine", 0.8)])
+def test_naive_takes_every_pair_in_slabs(spark, monkeypatch, metric, limit):
+    """Slabs of a few rows give the fold's distances, and the nested loop doesn't sift."""
+    monkeypatch.setattr(tiles, "SLAB_ROWS", 3)
+    x = rng.normal(size=(40, 5)).astype(np.float32).astype(float)
+    near = [(i, j) for i in range(40) for j in range(i, 40) if tiles.folded(metric, x[i : i + 1], x[j : j + 1])[0] <= limit]
+    assert {at: d.shape for at, d in tiles.slabs(metric, x, x)} == {at: (min(3, 40 - at), 40) for at in range(0, 40, 3)}
+    df = frame(spark, x)
+    assert rows(tiles.every_pair(df, None, limit, metric)) == rows(joins.similarity_join(df, None, limit, "tiles", metric)) == near
+    assert rows(tiles.every_pair(df, df, limit, metric)) == sorted({*near, *[(j, i) for i, j in near]})
+
+
+def test_a_bin_of_pivots_is_many_blocks(spark, monkeypatch):
+    """All rows in one bin: they meet block by block, in bounded partitions; ids may repeat."""
+    monkeypatch.setattr(tiles, "block_rows", lambda count: 7)
+    df = spark.createDataFrame([(k // 2, [1.0, float(k % 3)]) for k in range(60)] + [(0, [90.0, 0.0])], "id long, vec array<double>")
+    made = df.collect()
+    want = sorted((a["id"], b["id"]) for a in made for b in made if a["id"] <= b["id"] and sum((u - v) ** 2 for u, v in zip(a["vec"], b["vec"])) <= 1.0)
+    assert rows(joins.similarity_join(df, None, 1.0, "pivot")) == want
+    assert tiles.dealt_pairs(spark.range(3000)).rdd.getNumPartitions() == 3000 // 64

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinage.functions import metrics as M
-from vicinage.operators.tiles import nearest, over_tiles, pairs_within
+from vicinage.operators.tiles import binned_within, every_pair, nearest, over_tiles, pairs_within
 from vicinage.plans.storage import small, written
 
 STRATEGIES = ("tiles", "naive", "cascade", "pivot")
@@ -27,10 +27,7 @@ def similarity_join(left: DataFrame, right: DataFrame | None, limit: float, stra
     if strategy == "pivot":
         return pivot_join(left, right, limit)
     if strategy == "naive":
-        a, b = left.toDF("i", "_a"), (left if right is None else right).toDF("j", "_b")
-        distance = {"l2": M.squared_l2, "l1": M.l1, "linf": M.linf, "cosine": lambda x, y: 1 - M.cosine(x, y)}[metric]
-        pairs = a.join(b, F.col("i") <= F.col("j")) if right is None else a.crossJoin(b)
-        return pairs.where(distance("_a", "_b") <= limit).select("i", "j")
+        return every_pair(left, right, limit, metric)
     raise ValueError(f"strategy is one of {STRATEGIES}")
 
 
@@ -142,24 +139,17 @@ def stage_state_counts(left: DataFrame, limit: float) -> DataFrame:
 def pivot_join(left: DataFrame, right: DataFrame | None, limit: float, pivots: int = 2) -> DataFrame:
     """Metric bins: rows within sqrt(limit) of one another differ by at most one bin of distance to any pivot.
 
-    The bins of all pivots make the key of an equi-join; the row with fewer copies is spread to its neighbour bins.
+    The rows of a bin are dealt to blocks, so that a bin of any size is many tasks; blocks of neighbouring bins meet.
     """
     width = max(max(limit, 0.0) ** 0.5 * (1 + 1e-9), 1e-6)  # wider bins are sound as well
     base = left if right is None else right
     chosen = [r["vec"] for r in base.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()]
-    bins = lambda v: [F.floor(F.sqrt(M.squared_l2(v, F.array(*[F.lit(float(x)) for x in p]))) / width).cast("long") for p in chosen]
+    if not chosen:
+        return left.select(F.col("id").alias("i"), F.col("id").alias("j")).where("false")
     keys = [f"_k{k}" for k in range(len(chosen))]
-    a, b = left.toDF("i", "_a"), base.toDF("j", "_b")
-    for k, key in zip(bins("_a"), keys):
-        a = a.withColumn(key, k)
-    for k, key in zip(bins("_b"), keys):
-        b = b.withColumn(key, F.explode(F.sequence(k - 1, k + 1)))
-    if not keys:
-        return a.select("i", F.col("i").alias("j")).where("false")
-    pairs = a.join(b, keys)
-    if right is None:
-        pairs = pairs.where("i <= j")
-    return pairs.where(M.squared_l2("_a", "_b") <= limit).select("i", "j")
+    bins = [F.floor(F.sqrt(M.squared_l2("vec", F.array(*[F.lit(float(x)) for x in p]))) / width).cast("long").alias(k) for p, k in zip(chosen, keys)]
+    binned = lambda df: df.select("id", "vec", *bins)
+    return binned_within(binned(left), None if right is None else binned(right), keys, limit)
 
 
 def grid_join(points: DataFrame, key: str, columns: list[str], eps: float) -> DataFrame:

@@ -73,7 +73,43 @@ def over_tiles_by(df: DataFrame, key: str, kernel: Kernel, schema: str, rows: in
     each = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
     pairs = sizes.select(key, "_n", each.alias("_i")).select(key, "_i", each.alias("_j")).where("_i <= _j")
     fits = measured_bytes(packed) <= BROADCAST_BYTES
-    return _met(pairs, packed, packed, kernel, schema, True, (fits, fits), key)
+    return _met(dealt_pairs(pairs), packed, packed, kernel, schema, True, (fits, fits), key)
+
+
+def binned_within(left: DataFrame, right: DataFrame | None, keys: list[str], limit: float) -> DataFrame:
+    """pairs_within of rows (keys, id, vec) whose keys each differ by at most 1. A bin with many rows is split into blocks."""
+
+    def blocks(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        rows = block_rows(df.count())
+        sizes = written(df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_n")), "tile-keys")
+        name = F.concat_ws(",", *keys, "_at").alias("_b")  # numbers of the bin and of the block in it
+        packed = written(_blocks(df.join(sizes, keys).withColumn("_at", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int")).select(name, "id", "vec"), "_b"), "tiles")
+        return packed, sizes.withColumn("_at", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select(*keys, name)
+
+    one, names = blocks(left)
+    two, others = (one, names) if right is None else blocks(right)
+    for k in keys:
+        others = others.withColumn(k, F.explode(F.sequence(F.col(k) - 1, F.col(k) + 1)))
+    pairs = names.withColumnRenamed("_b", "_i").join(others.withColumnRenamed("_b", "_j"), keys).select("_i", "_j")
+    if right is None:
+        pairs = pairs.where("_i <= _j")
+    fit = tuple(measured_bytes(b) <= BROADCAST_BYTES for b in (one, two))
+    within = _within(limit, "l2", False, right is None)
+
+    def kernel(ids, x, others, y, same):
+        found = within(ids, x, others, y, same)
+        if right is not None or same:
+            return found
+        return pd.concat([found, found[found["i"] == found["j"]]])  # an id that repeats in another bin: both directions
+
+    return _met(dealt_pairs(pairs), one, two, kernel, "i long, j long", right is None, fit)
+
+
+def dealt_pairs(pairs: DataFrame) -> DataFrame:
+    """Pairs of blocks in as many partitions as there is to do."""
+    pairs = written(pairs, "tile-pairs")
+    count, least = pairs.count(), int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.repartition(max(1, min(count, max(least, count // 64))))
 
 
 def _numbers(df: DataFrame, count: int) -> DataFrame:
@@ -117,7 +153,7 @@ def unpacked(vecs: bytes, n: int, dim: int) -> np.ndarray:
 
 
 def _met(pairs: DataFrame, one: DataFrame, two: DataFrame, kernel: Kernel, schema: str, itself: bool, fit: tuple[bool, bool], *by: str) -> DataFrame:
-    """fit: whether the blocks of either side may be broadcast."""
+    """fit: whether the blocks of either side may be broadcast. Partitions of pairs hold some tens of them, so that Arrow's batches are bounded."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -135,28 +171,44 @@ def _met(pairs: DataFrame, one: DataFrame, two: DataFrame, kernel: Kernel, schem
 
 
 def folded(metric: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Distances of the rows of x and y, summed from the left as the Column expressions do."""
-    out = np.zeros(len(x))
+    """Distances of the rows of x and y, summed from the left as the Column expressions do; leading axes are broadcast."""
+    out = np.zeros(np.broadcast_shapes(x.shape[:-1], y.shape[:-1]))
     if metric == "cosine":
         x, y = levelled(x), levelled(y)
-        a, b = np.zeros(len(x)), np.zeros(len(x))
-        for d in range(x.shape[1]):
-            out += x[:, d] * y[:, d]
-            a += x[:, d] * x[:, d]
-            b += y[:, d] * y[:, d]
+        a, b = np.zeros(x.shape[:-1]), np.zeros(y.shape[:-1])
+        for d in range(x.shape[-1]):
+            out += x[..., d] * y[..., d]
+            a += x[..., d] * x[..., d]
+            b += y[..., d] * y[..., d]
         norms = np.sqrt(a) * np.sqrt(b)
         return 1 - np.where(norms > 0, out / np.where(norms > 0, norms, 1.0), 0.0)
-    for d in range(x.shape[1]):
-        gap = x[:, d] - y[:, d]
+    gap = np.empty_like(out)
+    for d in range(x.shape[-1]):
         with np.errstate(over="ignore"):
-            out = np.maximum(out, np.abs(gap)) if metric == "linf" else out + (np.abs(gap) if metric == "l1" else gap * gap)
+            np.subtract(x[..., d], y[..., d], out=gap)
+            if metric == "l2":
+                np.multiply(gap, gap, out=gap)
+            else:
+                np.abs(gap, out=gap)
+            np.maximum(out, gap, out=out) if metric == "linf" else np.add(out, gap, out=out)
     return out
 
 
 def levelled(x: np.ndarray) -> np.ndarray:
     """Rows divided by a power of two near their largest coordinate: cosines stay the same to the last bit."""
-    top = np.abs(x).max(axis=1, initial=0.0)
-    return np.ldexp(x, 1 - np.frexp(top)[1][:, None])
+    top = np.abs(x).max(axis=-1, initial=0.0)
+    return np.ldexp(x, 1 - np.frexp(top)[1][..., None])
+
+
+#: Rows that meet a block at once where all coordinates are compared: what they make stays in a core's cache.
+SLAB_ROWS = 64
+
+
+def slabs(metric: str, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, distances) of a few rows of x at a time with all rows of y, each summed as `folded` does."""
+    y = np.asfortranarray(y)[None]
+    for at in range(0, len(x), SLAB_ROWS):
+        yield at, folded(metric, x[at : at + SLAB_ROWS, None], y)
 
 
 def rough(metric: str, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
@@ -173,10 +225,9 @@ def rough(metric: str, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]
         with np.errstate(over="ignore", under="ignore"):
             near = np.ldexp(xx[:, None] + yy[None, :] - 2 * (x @ y.T), 2 * power)
             return near, float(np.ldexp(slack, 2 * power)) + x.shape[1] * 2.0**-1022
-    out = np.zeros((len(x), len(y)))
-    for d in range(x.shape[1]):
-        gap = np.abs(x[:, d, None] - y[None, :, d])
-        out = np.maximum(out, gap) if metric == "linf" else out + gap
+    out = np.empty((len(x), len(y)))
+    for at, d in slabs(metric, x, y):
+        out[at : at + len(d)] = d
     return out, 0.0
 
 
@@ -188,6 +239,24 @@ def pairs_within(left: DataFrame, right: DataFrame | None, limit: float, metric:
     return over_tiles(left, right, _within(limit, metric, distances, right is None), "i long, j long" + (", d double" if distances else ""))
 
 
+def every_pair(left: DataFrame, right: DataFrame | None, limit: float, metric: str = "l2") -> DataFrame:
+    """pairs_within without any sifting: the folded distance of every pair is taken, a few rows of a block at a time."""
+    itself = right is None
+
+    def kernel(ids, x, others, y, same):
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for at, d in slabs(metric, x, y):
+            a, b = np.nonzero(d <= limit)
+            i, j = ids[at + a], others[b]
+            if itself:
+                keep = i <= j if same else np.ones(len(i), bool)
+                i, j = np.minimum(i, j)[keep], np.maximum(i, j)[keep]
+            found.append((i, j))
+        return pd.DataFrame({"i": np.concatenate([i for i, _ in found]), "j": np.concatenate([j for _, j in found])})
+
+    return over_tiles(left, right, kernel, "i long, j long")
+
+
 def pairs_within_groups(df: DataFrame, key: str, limit: float, metric: str = "l2") -> DataFrame:
     """Pairs i <= j of rows (key, id, vec) that share a key and lie within the limit, once for each key that they share."""
     return over_tiles_by(df, key, _within(limit, metric, False, True), "i long, j long")
