@@ -357,3 +357,15 @@ def test_a_bin_of_pivots_is_many_blocks(spark, monkeypatch):
     want = sorted((a["id"], b["id"]) for a in made for b in made if a["id"] <= b["id"] and sum((u - v) ** 2 for u, v in zip(a["vec"], b["vec"])) <= 1.0)
     assert rows(joins.similarity_join(df, None, 1.0, "pivot")) == want
     assert tiles.dealt_pairs(spark.range(3000)).rdd.getNumPartitions() == 3000 // 64
+
+
+@pytest.mark.parametrize("kind", ["box", "ball"])
+def test_blocks_meet_in_groups(spark, monkeypatch, kind):
+    """Rows aren't copied for each pair of blocks: groups of blocks meet by number, each pair of groups once."""
+    met, deal = [], tiles.dealt_pairs
+    monkeypatch.setattr(tiles, "MOST_ROWS", 40)
+    monkeypatch.setattr(tiles, "dealt_pairs", lambda pairs: met.append(pairs.count()) or deal(pairs))
+    x = np.random.default_rng(4).normal(size=(70, 3)).astype(np.float32)
+    points = frame(spark, x).selectExpr("id", "vec", "CASE WHEN id < 5 THEN 0 ELSE id div 10 + 1 END AS block")
+    assert rows(blocks.block_join(points, 1.5, kind)) == expected(x, 1.5)
+    assert met == [3]  # two groups of at most four blocks

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinage.functions import metrics as M
-from vicinage.plans.storage import written
+from vicinage.plans.storage import small, written
 
 LAYOUTS = ("original", "random", "pivot_sort", "pca_sort", "balanced_axis")
 
@@ -143,32 +143,70 @@ def block_pairs(points: DataFrame, limit: float, kind: str = "box") -> DataFrame
 def block_join(points: DataFrame, limit: float, kind: str = "box") -> DataFrame:
     """Pairs i <= j within the squared distance, found in the block pairs that bounds leave. points: id, vec, block.
 
-    Each pair of blocks is one group of two blocks' rows; a matrix product sifts and the folded distance decides.
+    Neighbouring blocks are packed together, up to some 2048 rows, and meet by number. There the bounds of `block_pairs` rule out pairs of
+    blocks or take them whole; elsewhere a matrix product sifts and the folded distance decides.
     """
     import pandas as pd
 
-    from vicinage.operators.tiles import folded, matrix, rough
-
-    kept = block_pairs(points, limit, kind).select("b1", "b2", "all_in")
-    rows = points.select("id", "vec", "block")
-    left = rows.withColumnRenamed("block", "b1").join(kept, "b1").select("b1", "b2", "all_in", "id", "vec", F.lit(True).alias("_left"))
-    right = rows.withColumnRenamed("block", "b2").join(kept.where("b1 < b2"), "b2").select("b1", "b2", "all_in", "id", "vec", F.lit(False).alias("_left"))
-
-    def pairs(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        same = key[0] == key[1]
-        one, two = group[group["_left"]], group if same else group[~group["_left"]]
-        x, y, i, j = matrix(one["vec"]), matrix(two["vec"]), one["id"].to_numpy(), two["id"].to_numpy()
-        wanted = i[:, None] <= j[None, :] if same else np.ones((len(i), len(j)), bool)
-        if not group["all_in"].iloc[0]:
-            near, slack = rough("l2", x, y)
-            wanted &= near <= limit + slack
-        a, b = np.nonzero(wanted)
-        if not group["all_in"].iloc[0]:
-            inside = folded("l2", x[a], y[b]) <= limit
-            a, b = a[inside], b[inside]
-        return pd.DataFrame({"i": np.minimum(i[a], j[b]), "j": np.maximum(i[a], j[b])})
-
-    return left.unionByName(right).groupBy("b1", "b2").applyInPandas(pairs, "i long, j long")
+    from vicinage.operators.tiles import MOST_ROWS, dealt_pairs, folded, matrix, rough, unpacked
+
+    largest = points.groupBy("block").count().agg(F.max("count")).first()[0] or 1
+    single = points.schema["vec"].dataType.elementType.typeName() == "float"
+
+    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("block", kind="stable")
+        x = matrix(rows["vec"])
+        return pd.DataFrame([[key[0], len(x), x.shape[1], rows["id"].to_numpy(np.int64).tobytes(), rows["block"].to_numpy(np.int64).tobytes(), x.astype("<f4" if single else "<f8").tobytes()]])
+
+    dealt = points.select("id", "vec", "block", F.floor(F.col("block") / max(1, MOST_ROWS // largest)).cast("long").alias("_b"))
+    packed = written(dealt.groupBy("_b").applyInPandas(pack, "_b long, n int, dim int, ids binary, blocks binary, vecs binary"), "block-groups")
+
+    def bounded(x: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Places of the blocks, then corners, or centres and radii."""
+        begin = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        sizes = np.diff([*begin, len(of)])
+        if kind != "ball":
+            return sizes, np.minimum.reduceat(x, begin), np.maximum.reduceat(x, begin)
+        centre = np.add.reduceat(x, begin) / sizes[:, None]
+        return sizes, centre, np.maximum.reduceat(np.sqrt(((x - np.repeat(centre, sizes, 0)) ** 2).sum(1)), begin)
+
+    def gaps(one: tuple, two: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of the squared distance between blocks, as `bounds` has them."""
+        _, a, u = one
+        _, b, v = two
+        lower, upper = np.empty((len(a), len(b))), np.empty((len(a), len(b)))
+        for k in range(len(a)):  # a block with all others
+            if kind == "ball":
+                gap, radii = np.sqrt(((a[k] - b) ** 2).sum(1)), u[k] + v
+                lower[k], upper[k] = np.maximum(0, gap - radii) ** 2, (gap + radii) ** 2
+            else:
+                lower[k] = (np.maximum(0, np.maximum(a[k] - v, b - u[k])) ** 2).sum(1)
+                upper[k] = (np.maximum(u[k] - b, v - a[k]) ** 2).sum(1)
+        return lower, upper
+
+    def run(frames):
+        for frame in frames:
+            for r in frame.to_dict("records"):
+                i, j, p, q = (np.frombuffer(r[c], np.int64) for c in ("a_ids", "b_ids", "a_blocks", "b_blocks"))
+                x, y = unpacked(r["a_vecs"], r["a_n"], r["a_dim"]), unpacked(r["b_vecs"], r["b_n"], r["b_dim"])
+                one, two = bounded(x, p), bounded(y, q)
+                lower, upper = gaps(one, two)
+                spread = lambda m: np.repeat(np.repeat(m, one[0], 0), two[0], 1)  # noqa: B023, E731
+                own = p[:, None] == q[None, :]
+                wanted = (own & (i[:, None] <= j[None, :])) | (p[:, None] < q[None, :])
+                wanted &= own | spread(lower <= limit + pad(limit))
+                whole = spread(upper <= limit - pad(limit))
+                near, slack = rough("l2", x, y)
+                a, b = np.nonzero(wanted & (whole | (near <= limit + slack)))
+                inside = whole[a, b]
+                inside[~inside] = folded("l2", x[a[~inside]], y[b[~inside]]) <= limit
+                a, b = a[inside], b[inside]
+                yield pd.DataFrame({"i": np.minimum(i[a], j[b]), "j": np.maximum(i[a], j[b])})
+
+    numbers = packed.select("_b")
+    pairs = dealt_pairs(numbers.toDF("_i").crossJoin(numbers.toDF("_j")).where("_i <= _j"))  # of groups of many blocks
+    side = lambda at, name: small(packed.select(F.col("_b").alias(at), *[F.col(c).alias(f"{name}_{c}") for c in ("n", "dim", "ids", "blocks", "vecs")]))
+    return pairs.join(side("_i", "a"), "_i").join(side("_j", "b"), "_j").mapInPandas(run, "i long, j long")
 
 
 def pruned_share(points: DataFrame, limit: float, kind: str = "box") -> DataFrame:
