@@ -573,3 +573,14 @@ def test_repeated_passages_equal_brute_force(spark):
             run = []
     got = {(x.doc_id, x.start, x.end, x.n_chunks, x.n_bytes, x.first_doc_id, x.n_copies, x.kept) for x in chunk_dedup.repeated_passages(table(spark, texts)).collect()}
     assert got == want and len(want) > 20
+
+
+def test_chunks_are_handed_over_in_bounded_batches(monkeypatch):
+    """A batch of many texts doesn't become one batch of all their chunks."""
+    import pyarrow as pa
+
+    from vicinage.llm import tables
+
+    batch = pa.record_batch({"a": list(range(1203))})
+    cut = list(tables.pieces_of(iter([batch, batch.slice(0, 0)]), 500))
+    assert [b.num_rows for b in cut] == [500, 500, 203] and pa.Table.from_batches(cut)["a"].to_pylist() == list(range(1203))

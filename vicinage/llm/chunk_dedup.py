@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from vicinage.llm.tables import columns_of, fresh, materialize, text_of
+from vicinage.llm.tables import columns_of, fresh, materialize, pieces_of, text_of
 
 SPAN = 16  # bytes that the rolling hash covers; the bits looked at come from these
 BITS = 4  # clear bits at a cut: a candidate each 16 bytes on average
@@ -28,6 +28,9 @@ SHORTEST, LONGEST = 24, 256
 #: missed with 64 bytes, 2.3 % with 96, 3.7 % with 128, 12.6 % with 192; of 80 words 1.1 % up to 112.
 PASSAGE = 64
 
+#: Texts that are cut at once: a text makes dozens of chunks, which all stand in memory until they are handed over.
+CUT_ROWS = 500
+
 #: One 32-bit number for each byte value, from a digest of the value.
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b])) for b in range(256)], dtype=np.uint32)
 
@@ -74,7 +77,7 @@ def chunks(docs: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 36
         digest = xxhash.xxh3_128_digest
-        for batch in batches:
+        for batch in pieces_of(batches, CUT_ROWS):
             owners, hashes, docs_, numbers, starts, ends, sizes, digests = [], [], [], [], [], [], [], []
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
                 raw = text.as_py().encode()
