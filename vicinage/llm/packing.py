@@ -21,10 +21,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from vicinage.llm.tables import materialize, text_of
+from vicinage.llm.tables import materialize, pieces_of, text_of
 from vicinage.llm.tokens import BEYOND_PLAIN, LONGEST_REMEMBERED, chunks_of
 
 REMEMBERED = 400_000
+BATCH_ROWS = 1000  # documents whose pieces are handed over together
 
 
 class IdEncoder:
@@ -104,7 +105,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int =
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, number = encoder(path).ids, TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in pieces_of(batches, BATCH_ROWS):
             out: list[list] = [[] for _ in schema]
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
                 ids = encode(text.as_py()) + last
