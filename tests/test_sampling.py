@@ -55,3 +55,14 @@ def test_a_hub_is_many_rectangles(spark):
     df = spark.range(2000).selectExpr("id AS src", "0L AS dst")
     made = witnesses.rectangles(df, 100).selectExpr("a", "b", "size(left) AS n", "size(right) AS m").collect()
     assert len(made) == 20 * 21 // 2 and max(r["n"] for r in made) == max(r["m"] for r in made) == 100
+
+
+def test_pairs_of_hubs_are_summed_without_a_shuffle(spark):
+    """Sums over hubs are made in the task of a pair of blocks: no pair is shuffled, and all of them are there."""
+    df = spark.range(1300).selectExpr("id AS src", "explode(array(0L, id % 2, 2L, 2L)) AS dst")
+    found = witnesses.witness_counts(df, True, 100)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and found.count() == 1300 * 1299 // 2
+    times = lambda k: Counter([0, k % 2, 2, 2])
+    want = lambda q, b: sum(n * times(b)[w] for w, n in times(q).items())
+    assert all(r["witnesses"] == want(r["q"], r["b"]) and r["q"] < r["b"] for r in found.where("q % 97 = 5 OR b % 89 = 3").collect())
