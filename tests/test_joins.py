@@ -369,3 +369,18 @@ def test_blocks_meet_in_groups(spark, monkeypatch, kind):
     points = frame(spark, x).selectExpr("id", "vec", "CASE WHEN id < 5 THEN 0 ELSE id div 10 + 1 END AS block")
     assert rows(blocks.block_join(points, 1.5, kind)) == expected(x, 1.5)
     assert met == [3]  # two groups of at most four blocks
+
+
+@pytest.mark.parametrize("metric", ["l1", "linf"])
+@pytest.mark.parametrize("scale, offset", [(1e-310, 0.0), (1e-150, 0.0), (1.0, 0.0), (1.0, 1e12), (1e25, 3.0), (1e300, 0.0)])
+@pytest.mark.parametrize("dim", [1, 3, 64, 65, 784])
+def test_codes_of_16_bits_hold_the_fold(metric, scale, offset, dim):
+    """The sift of l1 and linf is made of short codes: what it may be off by holds on both sides, and is small."""
+    r = np.random.default_rng(dim)
+    x, y = r.normal(size=(9, dim)) * scale + offset, r.normal(size=(70, dim)) * scale + offset
+    x[0] = y[1]
+    with np.errstate(over="ignore"):
+        d = tiles.folded(metric, x[:, None], y[None])
+    near, slack = tiles.rough(metric, x, y)
+    assert (near <= d + slack).all() and (d <= near + slack).all()
+    assert slack > 0 and (offset == 1e12 or scale == 1e-310 or slack <= 0.02 * (dim if metric == "l1" else 1) * scale)
