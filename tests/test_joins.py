@@ -384,3 +384,14 @@ def test_codes_of_16_bits_hold_the_fold(metric, scale, offset, dim):
     near, slack = tiles.rough(metric, x, y)
     assert (near <= d + slack).all() and (d <= near + slack).all()
     assert slack > 0 and (offset == 1e12 or scale == 1e-310 or slack <= 0.02 * (dim if metric == "l1" else 1) * scale)
+
+
+def test_smallest_sends_no_more_than_is_near_what_is_asked(spark):
+    """Tiles don't send as many distances as are asked for each, but those up to a bound that all tiles have told."""
+    x = np.random.default_rng(3).normal(size=(1500, 6))
+    d = np.sort(((x[:, None] - x[None]) ** 2).sum(2)[np.triu_indices(1500, 1)])
+    found = tiles.smallest(frame(spark, x, "double"), None, 2000)
+    got = sorted(r["d"] for r in found.collect() for _ in range(r["pairs"]))
+    assert len(got) < 2100 and np.allclose(got[:2001], d[:2001], rtol=1e-12) and len(d) > 21 * 2000
+    assert abs(relations.order_statistic(frame(spark, x, "double"), None, 2000).first()[0] - d[1999]) < 1e-12
+    assert relations.order_statistic(frame(spark, x, "double"), None, len(d)).first()[0] == pytest.approx(d[-1])

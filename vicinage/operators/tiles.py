@@ -52,6 +52,11 @@ def over_tiles(left: DataFrame, right: DataFrame | None, kernel: Kernel, schema:
     Without right, left is joined with itself and each unordered pair of blocks is taken once. Every block is packed
     once; what is dealt to tasks are pairs of block numbers, which then meet their blocks.
     """
+    return tiles_of(left, right, rows)(kernel, schema)
+
+
+def tiles_of(left: DataFrame, right: DataFrame | None, rows: int | None = None) -> Callable[[Kernel, str], DataFrame]:
+    """over_tiles of some kernels one after another: blocks are packed once for all of them."""
     one, n, small_one = _packed(left, rows)
     small_two = small_one
     if right is None:
@@ -62,7 +67,7 @@ def over_tiles(left: DataFrame, right: DataFrame | None, kernel: Kernel, schema:
     else:
         two, m, small_two = _packed(right, rows)
         pairs = _numbers(one, n * m).select(F.floor(F.col("id") / m).cast("int").alias("_i"), (F.col("id") % m).cast("int").alias("_j"))
-    return _met(pairs, one, two, kernel, schema, right is None, (small_one, small_two))
+    return lambda kernel, schema: _met(pairs, one, two, kernel, schema, right is None, (small_one, small_two))
 
 
 def over_tiles_by(df: DataFrame, key: str, kernel: Kernel, schema: str, rows: int = BLOCK_ROWS) -> DataFrame:
@@ -387,29 +392,70 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", its
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("q", "rank", "id", "d")
 
 
+def _bins(values: np.ndarray) -> np.ndarray:
+    """Numbers that don't fall as values (0 or more) rise: 4096 for each doubling, all of them below 2^23."""
+    return np.maximum(values, 0.0).view(np.int64) >> 40
+
+
+def _begin(bins):
+    """The smallest value of a bin."""
+    return (np.asarray(bins, np.int64) << 40).view(np.float64)
+
+
 def smallest(left: DataFrame, right: DataFrame | None, count: int) -> DataFrame:
     """The `count` smallest squared distances of all pairs and the next larger one, as rows (d, pairs).
 
-    Self-joins take pairs i < j. Each tile gives its own smallest values only.
+    Self-joins take pairs i < j. Tiles first count their rough distances in bins, so that a bound of the wanted ones is known before any is sent;
+    then each tile gives its own smallest values up to there. What is sent is near what is asked for, whatever the number of tiles.
     """
     itself = right is None
 
+    def rough_of(ids, x, others, y, same):
+        near, slack = rough("l2", x, y)
+        return (np.where(ids[:, None] < others[None, :], near, np.inf) if same and itself else near), slack
+
+    def binned(ids, x, others, y, same):
+        if not len(ids):
+            return pd.DataFrame({"bin": [], "pairs": [], "slack": []})
+        near, slack = rough_of(ids, x, others, y, same)
+        bins, n = np.unique(_bins(near[np.isfinite(near)] + slack), return_counts=True)  # no distance is beyond its own, nor below it by more than 2 slack
+        if len(bins):
+            last = min(np.searchsorted(np.cumsum(n), count), len(bins) - 1)
+            few = np.searchsorted(_begin(bins), _begin(bins[last] + 1) + 2 * slack) + 1  # those behind can't be wanted
+            bins, n = bins[:few], n[:few]
+        return pd.DataFrame({"bin": bins, "pairs": n, "slack": slack})
+
+    met = tiles_of(left, right)
+    counted = met(binned, "bin long, pairs long, slack double").groupBy("bin").agg(F.sum("pairs").alias("pairs"), F.max("slack").alias("slack"))
+    told = sorted(map(tuple, counted.collect()))  # bins, not pairs: 4096 for each doubling of the distance
+    limit, upto, beyond = np.inf, 0, np.inf
+    off = max((s for *_, s in told), default=0.0)
+    for at, n, _ in told:
+        if _begin(at) >= beyond:  # has a pair beyond the last one asked for
+            limit = float(_begin(at + 1))
+            break
+        upto += n
+        if upto >= count and beyond == np.inf:
+            beyond = _begin(at + 1) + 2 * off
+
     def kernel(ids, x, others, y, same):
+        none = pd.DataFrame({"d": [], "pairs": []})
         if not len(ids):
-            return pd.DataFrame({"d": [], "pairs": []})
-        near, slack = rough("l2", x, y)
-        if same and itself:
-            near = np.where(ids[:, None] < others[None, :], near, np.inf)
-        flat = np.sort(near[np.isfinite(near)], axis=None)
+            return none
+        near, slack = rough_of(ids, x, others, y, same)
+        wanted = np.isfinite(near) & (near <= limit + 2 * slack)
+        flat = near[wanted]
         if not len(flat):
-            return pd.DataFrame({"d": [], "pairs": []})
-        # One value beyond the wanted ones, with slack, and all that may tie with it.
-        top = flat[min(count, len(flat) - 1)] + 4 * slack + 1e-9
-        more = flat[flat > top]
-        top = more[0] + 2 * slack if len(more) else top
-        a, b = np.nonzero(near <= top)
-        d, n = np.unique(folded("l2", x[a], y[b]), return_counts=True)
+            return none
+        top = np.inf
+        if len(flat) > count + 1:  # one value beyond the wanted ones, with slack, and all that may tie with it
+            flat.sort()
+            top = flat[count] + 4 * slack + 1e-9
+            more = flat[flat > top]
+            top = more[0] + 2 * slack if len(more) else top
+        a, b = np.nonzero(wanted & (near <= top))
+        d, n = np.unique(folded_at("l2", x, y, a, b), return_counts=True)
         return pd.DataFrame({"d": d, "pairs": n})
 
-    found = over_tiles(left, right, kernel, "d double, pairs long")
+    found = met(kernel, "d double, pairs long")
     return found.groupBy("d").agg(F.sum("pairs").alias("pairs"))
