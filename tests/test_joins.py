@@ -395,3 +395,20 @@ def test_smallest_sends_no_more_than_is_near_what_is_asked(spark):
     assert len(got) < 2100 and np.allclose(got[:2001], d[:2001], rtol=1e-12) and len(d) > 21 * 2000
     assert abs(relations.order_statistic(frame(spark, x, "double"), None, 2000).first()[0] - d[1999]) < 1e-12
     assert relations.order_statistic(frame(spark, x, "double"), None, len(d)).first()[0] == pytest.approx(d[-1])
+
+
+def test_pairs_are_looked_for_among_distinct_points(spark):
+    """Rows of equal coordinates are one point for the search, and all their pairs are there; ids that repeat count as rows of their own."""
+    x = np.random.default_rng(5).integers(0, 4, (700, 2)).astype(float)
+    ids = list(range(699)) + [7]
+    df = spark.createDataFrame([(i, v) for i, v in zip(ids, x.tolist())], "id long, vec array<double>")
+    seen = []
+
+    def found(points):
+        seen.append(points.count())
+        return joins.similarity_join(points, None, 1.0)
+
+    got = rows(joins.by_points(df, found))
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    want = sorted((a, b) for r, a in enumerate(ids) for s, b in enumerate(ids) if a <= b and d[r, s] <= 1.0)
+    assert got == want and seen == [16]
