@@ -412,3 +412,17 @@ def test_pairs_are_looked_for_among_distinct_points(spark):
     d = ((x[:, None] - x[None]) ** 2).sum(2)
     want = sorted((a, b) for r, a in enumerate(ids) for s, b in enumerate(ids) if a <= b and d[r, s] <= 1.0)
     assert got == want and seen == [16]
+
+
+@pytest.mark.parametrize("scale, offset", [(1.0, 0.0), (1.0, 1e6), (1e-150, 0.0), (1e150, 0.0)])
+def test_cells_of_chamfer_scores_are_folded_near_the_minima(scale, offset):
+    r = np.random.default_rng(1)
+    x, y = r.normal(size=(60, 32)) * scale + offset, r.normal(size=(90, 32)) * scale + offset
+    x[3], y[5] = x[4], y[6]
+    p, q = r.integers(0, 5, 60), r.integers(0, 7, 90)
+    d, cells = tiles.folded("l2", x[:, None], y[None]), relations.nearest_cells(x, p, y, q)
+    for o in range(7):
+        assert (cells[:, q == o].min(1) == d[:, q == o].min(1)).all()
+    for o in range(5):
+        assert (cells[p == o].min(0) == d[p == o].min(0)).all()
+    assert np.isfinite(cells).mean() < (0.25 if offset == 0 else 2) and (cells[np.isfinite(cells)] == d[np.isfinite(cells)]).all()

@@ -8,12 +8,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinage.functions import metrics as M
-from vicinage.operators.tiles import over_tiles, pairs_within_groups, smallest
+from vicinage.operators.tiles import folded_at, over_tiles, pairs_within_groups, rough, smallest
 from vicinage.plans.storage import written
 
 # --- multi-vector objects
 
 
+def nearest_cells(x, of_x, y, of_y):
+    """Folded squared distances of those rows of x and y that can be the nearest of the other's object, infinite elsewhere. of_x, of_y: objects of the rows.
+
+    A matrix product sifts, so that few distances are folded.
+    """
+    import numpy as np
+
+    near, slack = rough("l2", x, y)
+    few = np.zeros(near.shape, bool)
+    order, upto = np.argsort(of_y, kind="stable"), np.argsort(of_x, kind="stable")
+    for m, at, of, axis in ((near[:, order], order, of_y, 1), (near[upto], upto, of_x, 0)):
+        _, begin, sizes = np.unique(of[at], return_index=True, return_counts=True)
+        least = np.repeat(np.minimum.reduceat(m, begin, axis=axis), sizes, axis=axis)
+        close = m <= least + (4 * slack + 1e-12 * np.abs(least))
+        few[(slice(None), at) if axis else at] |= close
+    cells = np.full(near.shape, np.inf)
+    a, b = np.nonzero(few)
+    cells[a, b] = folded_at("l2", x, y, a, b)
+    return cells
+
+
 def chamfer(queries: DataFrame, base: DataFrame) -> DataFrame:
     """(q, b, score): half the sum of mean nearest squared distances in both directions. Rows: obj, tok, vec.
 
@@ -28,14 +49,10 @@ def chamfer(queries: DataFrame, base: DataFrame) -> DataFrame:
     def kernel(ids, x, others, y, same):
         parts = []
         if len(ids):
-            d = np.zeros((len(ids), len(others)))
-            for k in range(x.shape[1]):
-                gap = x[:, k, None] - y[None, :, k]
-                d += gap * gap
-            for forth, rows, cols, m in ((True, ids, others, d), (False, others, ids, d.T)):
-                order = np.argsort(cols >> 32, kind="stable")
+            cells, (of_x, of_y) = nearest_cells(x, ids >> 32, y, others >> 32), (np.argsort(o >> 32, kind="stable") for o in (ids, others))
+            for forth, rows, cols, order in ((True, ids, others, of_y), (False, others, ids, of_x)):
                 objects, begin = np.unique((cols >> 32)[order], return_index=True)
-                least = np.minimum.reduceat(m[:, order], begin, axis=1)
+                least = np.minimum.reduceat(cells[:, order], begin, axis=1) if forth else np.minimum.reduceat(cells[order], begin, axis=0).T
                 own, other = np.repeat(rows, len(objects)), np.tile(objects, len(rows))
                 parts.append(pd.DataFrame({"forth": forth, "q": own >> 32 if forth else other, "b": other if forth else own >> 32, "tok": own, "m": least.ravel()}))
         return pd.concat(parts) if parts else pd.DataFrame({"forth": [], "q": [], "b": [], "tok": [], "m": []})
