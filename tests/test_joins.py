@@ -426,3 +426,15 @@ def test_cells_of_chamfer_scores_are_folded_near_the_minima(scale, offset):
     for o in range(5):
         assert (cells[p == o].min(0) == d[p == o].min(0)).all()
     assert np.isfinite(cells).mean() < (0.25 if offset == 0 else 2) and (cells[np.isfinite(cells)] == d[np.isfinite(cells)]).all()
+
+
+def test_validation_meets_both_directions_in_one_shuffle(spark):
+    pairs = [(0, 0), (1, 2), (2, 1), (2, 1), (3, 1), (1, 9), (9, 1), (None, 2), (2, None), (None, None), (4, -1)]
+    df = spark.createDataFrame(pairs, "i long, j long")
+    found = relations.validation(df, 5)
+    r = found.first()
+    want = df.distinct().selectExpr("bit_xor(xxhash64(i, j))").first()[0]
+    assert (r["pairs"], r["self_pairs"], r["repeated"], r["out_of_range"], r["one_way"], r["digest"]) == (11, 1, 1, 3, 5, want)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    none = relations.validation(df.where("false"), 5).first()
+    assert none["pairs"] is None and none["one_way"] == 0 and none["digest"] is None

@@ -165,16 +165,20 @@ def f1(found: DataFrame, true: DataFrame) -> DataFrame:
 
 def validation(pairs: DataFrame, rows: int) -> DataFrame:
     """One row about a directed self-join: pairs, self_pairs, repeated, one_way, out_of_range, digest. The digest ignores order."""
-    once = pairs.groupBy("i", "j").count()
-    back = symmetry_violations(once.select("i", "j")).agg(F.count(F.lit(1)).alias("one_way"))
-    whole = once.agg(
-        F.sum("count").alias("pairs"),
-        F.sum((F.col("i") == F.col("j")).cast("long")).alias("self_pairs"),
-        F.sum((F.col("count") > 1).cast("long")).alias("repeated"),
-        F.sum(((F.col("i") < 0) | (F.col("j") < 0) | (F.col("i") >= rows) | (F.col("j") >= rows)).cast("long")).alias("out_of_range"),
-        F.bit_xor(F.xxhash64("i", "j")).alias("digest"),
+    i, j, forth = F.col("i"), F.col("j"), F.coalesce(F.col("i") <= F.col("j"), F.lit(False))
+    either = pairs.select(F.when(forth, i).otherwise(j).alias("lo"), F.when(forth, j).otherwise(i).alias("hi"), forth.cast("long").alias("f"))
+    once = either.groupBy("lo", "hi").agg(F.sum("f").alias("f"), F.sum(1 - F.col("f")).alias("b"))  # both directions of a pair meet in one shuffle
+    lo, hi, f, b = (F.col(c) for c in ("lo", "hi", "f", "b"))
+    ways = (f > 0).cast("long") + (b > 0).cast("long")
+    hashed = lambda n, one, two: F.when(n > 0, F.xxhash64(one, two)).otherwise(0)
+    return once.agg(
+        F.sum(f + b).alias("pairs"),
+        F.sum((lo == hi).cast("long")).alias("self_pairs"),
+        F.sum((f > 1).cast("long") + (b > 1).cast("long")).alias("repeated"),
+        F.sum(((lo < 0) | (hi < 0) | (lo >= rows) | (hi >= rows)).cast("long") * ways).alias("out_of_range"),
+        F.bit_xor(hashed(f, lo, hi).bitwiseXOR(hashed(b, hi, lo))).alias("digest"),
+        F.coalesce(F.sum((~F.coalesce(lo == hi, F.lit(False)) & (ways == 1)).cast("long")), F.lit(0)).alias("one_way"),
     )
-    return whole.crossJoin(back)  # one row each
 
 
 def ordered_digest(rows: DataFrame, columns: list[str], chunk: int = 1024) -> DataFrame:
