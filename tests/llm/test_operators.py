@@ -448,6 +448,26 @@ def test_decontamination_in_groups(together, monkeypatch):
     assert decontamination.Index([]).sizes == {}
 
 
+def test_decontamination_runs_no_python(spark, monkeypatch):
+    """Only SQL functions in any plan that runs; pairs and distances are those of the search on arrays."""
+    monkeypatch.setattr(decontamination, "TOGETHER", 300)
+    r = random.Random(31)
+    bench = [prose(n, 1300 + n).split() for n in (3, 7, 11, 19, 40, 63, 260)]
+    texts = [" ".join([*prose(r.randint(0, 90), k).split(), *bench[k % 7], *prose(r.randint(0, 400), k + 50).split()]) for k in range(28)] + [None, ""]
+    seen = []
+    wrote = decontamination.materialize
+    monkeypatch.setattr(decontamination, "materialize", lambda df, label: (seen.append(df), wrote(df, label))[1])
+    out = decontamination.contaminations(table(spark, texts), spark.createDataFrame(list(enumerate(map(" ".join, bench))), "item_id long, text string"))
+    rows = out.collect()
+    for df in [*seen, out]:
+        assert not re.search("EvalPython|InPandas|InArrow|PythonUDF", df._jdf.queryExecution().executedPlan().toString())
+    index = decontamination.Index([(k, decontamination.word_hashes(" ".join(w)).tobytes()) for k, w in enumerate(bench)])
+    want = decontamination.candidates([decontamination.word_hashes(t or "") for t in texts], index)
+    got = {(r.doc_id, r.item_id): r.hamming for r in rows}
+    assert len(got) >= 28 and {k: min(want[k].values()) for k in got} == got
+    assert all(got[k, k % 7] == 0 for k in range(28))
+
+
 def test_near_duplicates_of_long_texts(spark, monkeypatch):
     """Sets beyond the bytes that are compared together."""
     monkeypatch.setattr(near_dedup, "TOGETHER", 20_000)
