@@ -438,3 +438,46 @@ def test_validation_meets_both_directions_in_one_shuffle(spark):
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     none = relations.validation(df.where("false"), 5).first()
     assert none["pairs"] is None and none["one_way"] == 0 and none["digest"] is None
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_that_are_too_many_to_be_broadcast_are_dealt_by_groups(spark, monkeypatch):
+    r = np.random.default_rng(11)
+    x = np.round(r.normal(size=(900, 3)), 1)
+    monkeypatch.setattr(tiles, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(tiles, "GROUP_BYTES", 1 << 12)
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    df = frame(spark, x, "double")
+    found = tiles.pairs_within(df, None, 0.5)
+    i, j = np.nonzero(np.triu(d <= 0.5))
+    assert rows(found) == list(zip(i.tolist(), j.tolist()))
+    assert "Join" not in plan_of(found)  # a block is sent once a group of the other side, not once a block
+    left = df.where("id % 3 = 0")
+    i, j = np.nonzero(d[::3] <= 0.5)
+    assert rows(tiles.pairs_within(left, df, 0.5)) == sorted(zip((3 * i).tolist(), j.tolist()))
+
+
+@pytest.mark.parametrize("scale, offset", [(1.0, 0.0), (1e-30, 0.0), (1e25, 0.0), (1.0, 1e6), (1e-200, 0.0), (0.0, 1.0)])
+def test_single_precision_sifts_on_the_safe_side(scale, offset):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(80, 20)) * scale + offset
+    y = np.concatenate([r.normal(size=(60, 20)) * scale + offset, x[:20]])
+    d = tiles.folded("l2", x[:, None], y[None])
+    for limit in [*np.quantile(d, [0.01, 0.3]), d[3, 5], 0.0]:
+        a, b, sure = tiles.sifted("l2", x, y, float(limit))
+        inside = tiles.settled(x, y, a, b, sure, float(limit))
+        assert (d[a[sure], b[sure]] <= limit).all()
+        got = np.zeros(d.shape, bool)
+        got[a[inside], b[inside]] = True
+        assert (got == (d <= limit)).all()
+
+
+def test_tiles_count_bins_without_sorting_all_pairs():
+    x = np.random.default_rng(6).normal(size=(64, 8))
+    bins, pairs, slack = tiles._single_bins(x, x + 0.1, None)
+    d = np.sort(tiles.folded("l2", x[:, None], x[None] + 0.1).ravel())
+    low = tiles._begin(np.repeat(bins, pairs))
+    assert pairs.sum() == d.size and (d <= tiles._begin(np.repeat(bins, pairs) + 1)).all() and (d >= low - 2 * slack).all()
