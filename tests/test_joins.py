@@ -481,3 +481,20 @@ def test_tiles_count_bins_without_sorting_all_pairs():
     d = np.sort(tiles.folded("l2", x[:, None], x[None] + 0.1).ravel())
     low = tiles._begin(np.repeat(bins, pairs))
     assert pairs.sum() == d.size and (d <= tiles._begin(np.repeat(bins, pairs) + 1)).all() and (d >= low - 2 * slack).all()
+
+
+@pytest.mark.parametrize("scale, offset", [(1.0, 0.0), (1.0, 1e6), (1e-150, 0.0), (1e25, 3.0)])
+def test_stages_of_some_pairs_are_those_of_all(monkeypatch, scale, offset):
+    """The cascade asks its stages of pairs that one product leaves, not of whole blocks; accepted pairs are the same."""
+    r = np.random.default_rng(8)
+    x, y = r.normal(size=(70, 24)) * scale + offset, r.normal(size=(50, 24)) * scale + offset
+    x[3] = y[4]
+    d = tiles.folded("l2", x[:, None], y[None])
+    limit, ids, others = float(np.quantile(d, 0.05)), np.arange(70), np.arange(70, 120)
+    near = tiles.sifted("l2", x, y, limit)[:2]
+    if scale == 1.0 and offset == 0.0:
+        assert len(near[0]) < 0.06 * d.size
+    got = np.zeros(d.shape, int)
+    for a, b, _, state in joins.certified(ids, x, others, y, False, limit, near):
+        np.add.at(got, (a, b), 1 if state else 100)
+    assert ((got == 1) == (d <= limit)).all() and (got[got > 1] == 100).all()

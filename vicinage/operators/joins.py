@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinage.functions import metrics as M
-from vicinage.operators.tiles import binned_within, every_pair, nearest, over_tiles, pairs_within
+from vicinage.operators.tiles import binned_within, every_pair, nearest, over_tiles, pairs_within, sifted
 from vicinage.plans.storage import small, written
 
 STRATEGIES = ("tiles", "naive", "cascade", "pivot")
@@ -23,7 +23,7 @@ def similarity_join(left: DataFrame, right: DataFrame | None, limit: float, stra
     if strategy == "tiles":
         return pairs_within(left, right, limit, metric)
     if strategy == "cascade":
-        return cascade(left, right, limit).where("state = 1").select("i", "j")
+        return cascade_within(left, right, limit)
     if strategy == "pivot":
         return pivot_join(left, right, limit)
     if strategy == "naive":
@@ -72,8 +72,37 @@ def cascade(left: DataFrame, right: DataFrame | None, limit: float) -> DataFrame
     return over_tiles(left, right, kernel, "i long, j long, stage int, state int")
 
 
-def certified(ids, x, others, y, same: bool, limit: float):
-    """(rows of x, rows of y, stage, state) of all pairs of two blocks, i <= j where the block is the same; none is in two of them."""
+def _dots(x, y, a, b, some: int = 1024):
+    """Inner products of the rows a of x with the rows b of y."""
+    import numpy as np
+
+    out = np.empty(len(a))
+    for at in range(0, len(a), some):
+        np.einsum("ij,ij->i", x[a[at : at + some]], y[b[at : at + some]], out=out[at : at + some])
+    return out
+
+
+def cascade_within(left: DataFrame, right: DataFrame | None, limit: float) -> DataFrame:
+    """(i, j) that the cascade accepts. One matrix product sets far pairs aside, the stages are asked of the others only."""
+    import numpy as np
+    import pandas as pd
+
+    itself = right is None
+
+    def kernel(ids, x, others, y, same):
+        found = [(np.zeros(0, np.int64),) * 2]
+        if len(ids):
+            near = sifted("l2", x, y, limit)[:2]
+            found += [(a, b) for a, b, _, state in certified(ids, x, others, y, itself and same, limit, near) if state == 1]
+        a, b = (np.concatenate(f) for f in zip(*found))
+        i, j = ids[a], others[b]
+        return pd.DataFrame({"i": np.minimum(i, j), "j": np.maximum(i, j)} if itself else {"i": i, "j": j})
+
+    return over_tiles(left, right, kernel, "i long, j long")
+
+
+def certified(ids, x, others, y, same: bool, limit: float, pairs=None):
+    """(rows of x, rows of y, stage, state) of all pairs of two blocks, i <= j where the block is the same, or of some pairs (rows of x, rows of y) only; none is in two of them."""
     import numpy as np
 
     from vicinage.operators.tiles import folded
@@ -85,7 +114,9 @@ def certified(ids, x, others, y, same: bool, limit: float):
     shift = x.mean(0)  # differences stay, and codes are finer around a common offset
     zx, zy = x - shift, y - shift
     norm = lambda m: np.sqrt((m * m).sum(1)) * (1 + fold) + 2.0**-500
-    shifted = 4 * unit * (norm(zx)[:, None] + norm(zy)[None, :])
+    one, two = ((slice(None), None), (None, slice(None))) if pairs is None else ((pairs[0],), (pairs[1],))
+    nx, ny = norm(zx), norm(zy)
+    shifted = 4 * unit * (nx[one] + ny[two])
 
     def coded(z):
         top = np.abs(z).max(1)
@@ -95,20 +126,22 @@ def certified(ids, x, others, y, same: bool, limit: float):
 
     (cx, sx, ex), (cy, sy, ey) = coded(zx), coded(zy)
     qx, qy = (cx * cx).sum(1) * sx**2, (cy * cy).sum(1) * sy**2
-    square = qx[:, None] + qy[None, :] - 2 * np.outer(sx, sy) * (cx @ cy.T)  # code products are whole numbers below 2^53
-    slack = 32 * unit * (qx[:, None] + qy[None, :]) + least
-    apart = ex[:, None] + ey[None, :] + shifted
+    products = cx @ cy.T if pairs is None else _dots(cx, cy, *pairs)  # whole numbers below 2^53
+    square = qx[one] + qy[two] - 2 * (sx[one] * sy[two]) * products
+    slack = 32 * unit * (qx[one] + qy[two]) + least
+    apart = ex[one] + ey[two] + shifted
     lower = np.maximum(0, np.sqrt(np.maximum(0, square - slack)) - apart) ** 2 * (1 - 2 * fold) - least
     upper = (np.sqrt(np.maximum(0, square) + slack) + apart) ** 2 * (1 + 2 * fold) + least
-    wanted = ids[:, None] <= others[None, :] if same else np.ones(square.shape, bool)
-    out = [(*np.nonzero(wanted & (upper <= limit)), 1, 1), (*np.nonzero(wanted & (lower > limit)), 1, 0)]
-    a, b = np.nonzero(wanted & ~(upper <= limit) & ~(lower > limit))
+    wanted = ids[one] <= others[two] if same else np.ones(square.shape, bool)
+    places = lambda mask: np.nonzero(mask) if pairs is None else (pairs[0][mask], pairs[1][mask])
+    out = [(*places(wanted & (upper <= limit)), 1, 1), (*places(wanted & (lower > limit)), 1, 0)]
+    a, b = places(wanted & ~(upper <= limit) & ~(lower > limit))
     single = 2.0**-24
     with np.errstate(over="ignore", invalid="ignore"):
         x32, y32 = zx.astype(np.float32), zy.astype(np.float32)
         d32 = np.sqrt(((x32[a] - y32[b]) ** 2).sum(1, dtype=np.float32).astype(np.float64))
     # Beyond single precision's range nothing is decided; below it, what vanishes is added.
-    off = shifted[a, b] + 2 * single * (norm(zx)[a] + norm(zy)[b]) + d * 2.0**-74
+    off = 4 * unit * (nx[a] + ny[b]) + 2 * single * (nx[a] + ny[b]) + d * 2.0**-74
     rel = (d + 8) * single
     high = np.where(np.isfinite(d32), (d32 * (1 + rel) + off) ** 2 * (1 + 2 * fold) + least, np.inf)
     low = np.where(np.isfinite(d32), np.maximum(0, d32 * (1 - rel) - off) ** 2 * (1 - 2 * fold) - least, -np.inf)
